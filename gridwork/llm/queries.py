@@ -26,7 +26,19 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-ALL = [op2_token_binary, op9_piece_codec]
+def op4_ann_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.ann_blocks import search
+
+    return search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.hd_language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+ALL = [op2_token_binary, op4_ann_blocks, op8_hd_language, op9_piece_codec]
 
 
 def queries() -> dict:
