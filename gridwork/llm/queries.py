@@ -38,7 +38,29 @@ def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
-ALL = [op2_token_binary, op4_ann_blocks, op8_hd_language, op9_piece_codec]
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.html_cut import page_report
+
+    return page_report(table(spark, sf_dir, "pages"))
+
+
+#: Target weights of the sources; every other source weighs 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 1.5}
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.pfair_mix import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+ALL = [op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
 
 
 def queries() -> dict:
@@ -46,4 +68,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gridwork.llm import chat
+
+    return {"op3_chat_rotation": chat.ORACLE}
