@@ -60,7 +60,19 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
-ALL = [op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.merkle import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+ALL = [op1_jaccard_join, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
 
 
 def queries() -> dict:
