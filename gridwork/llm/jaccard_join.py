@@ -10,11 +10,12 @@ documents link when the sets' Jaccard similarity is at least 80 %. The plan:
    prefix: of a set of n shingles, the n - ceil(0.8 n) + 1 rarest. Linked sets
    share a shingle of both prefixes.
 3. Prefix shingles that two classes share are the only meeting places. First
-   every document meets one leader per place: the one with fewest rarer
-   shingles. Where these links already join all documents of a place there is
-   nothing left to find for the classes; elsewhere all pairs of
-   documents that are not joined yet are taken. Pairs pass the length and
-   positional filters, each pair once.
+   every document meets one leader per place: the one with the commonest
+   prefix, which is mostly the same one at all places that near copies share. Where these links already join all documents of a place there is
+   nothing left to find for the classes; elsewhere the pairs of documents that
+   are not joined yet are taken, and at crowded places only those that
+   share enough of their differences from the leader. Pairs pass the length
+   and positional filters, each pair once.
 4. Candidate pairs are verified on the whole sets: the suffix filter bounds the
    overlap by halving, then the intersection is counted. Classes are the connected
    components of the links.
@@ -47,6 +48,8 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, PIECE_BITS = 21, 16
 #: A shingle whose count may be above this meets by join, not in one window.
 LIGHT = 2000
+#: Places that more unsettled documents share are settled by differences from the leader, others pair by pair.
+CROWD = 48
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -163,7 +166,9 @@ def _statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([0] * m, batch.column(0).to_pylist(), [len(s) for s in sets], k1, k2, [None] * m, [None] * m), kinds)], names)
         if counts.any():
             width = 1 << PIECE_BITS
-            pieces = [counts[i : i + width].astype("<u4").tobytes() for i in range(0, len(counts), width)]
+            import zstandard
+
+            pieces = [zstandard.compress(counts[i : i + width].astype("<u8").tobytes(), 1) for i in range(0, len(counts), width)]
             m = len(pieces)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1] * m, [None] * m, [0] * m, [0] * m, [0] * m, list(range(m)), pieces), kinds)], names)
 
@@ -173,21 +178,22 @@ def _statistics(docs: DataFrame) -> DataFrame:
 def _sketch(pieces: DataFrame):
     """Counts over all documents (uint64 array of fixed width) from the tasks' pieces."""
     import numpy as np
+    import zstandard
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, object] = {}
         for batch in batches:
             for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(raw, np.uint32 if len(raw) == 4 << PIECE_BITS else np.uint64).astype(np.uint64)
+                found = np.frombuffer(zstandard.decompress(raw), np.uint64)
                 held[piece] = held[piece] + found if piece in held else found
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "counts": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in held.values()], pa.binary())})
 
     schema = "piece int, counts binary"
     # One row per task and piece becomes one per task, then one per piece: the driver gets the sketch once.
     whole = pieces.mapInArrow(add, schema).repartition("piece").mapInArrow(add, schema)
     counts = np.zeros(1 << SKETCH_BITS, np.uint64)
     for row in whole.collect():
-        counts[row.piece << PIECE_BITS : (row.piece + 1) << PIECE_BITS] += np.frombuffer(row.counts, np.uint64)
+        counts[row.piece << PIECE_BITS : (row.piece + 1) << PIECE_BITS] += np.frombuffer(zstandard.decompress(bytes(row.counts)), np.uint64)
     return counts
 
 
@@ -198,7 +204,11 @@ def _prefixes(docs: DataFrame, held) -> DataFrame:
         ranks = held.value
         for batch in slices(batches, "text"):
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            rows = [(d, len(s), ordered(s, ranks)[: prefix_size(len(s))].tobytes()) for d, s in zip(batch.column(0).to_pylist(), sets) if len(s) and d is not None]
+            rows = []
+            for d, s in zip(batch.column(0).to_pylist(), sets):
+                if len(s) and d is not None:
+                    keys = ordered(s, ranks)[: prefix_size(len(s))]
+                    rows.append((d, len(s), keys.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["doc", "n", "keys"])
 
@@ -206,7 +216,7 @@ def _prefixes(docs: DataFrame, held) -> DataFrame:
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """One row per prefix shingle: key, doc, n, pos."""
+    """One row per prefix shingle: key, doc, n, pos, and how rare the whole prefix is (smaller is commoner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -217,12 +227,14 @@ def _entries(prefixes: DataFrame) -> DataFrame:
                 keys = [np.frombuffer(k, np.int64) for k in part.column(2).to_pylist()]
                 sizes = np.array([len(k) for k in keys])
                 begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                rare = np.array([-int((k >> 56).mean() * 16) for k in keys], np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
                     pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array((np.arange(sizes.sum()) - begin).astype(np.int32)),
-                ], ["key", "doc", "n", "pos"])
+                    pa.array(np.repeat(rare, sizes)),
+                ], ["key", "doc", "n", "pos", "rare"])
 
-    return prefixes.mapInArrow(run, "key long, doc long, n int, pos int")
+    return prefixes.mapInArrow(run, "key long, doc long, n int, pos int, rare int")
 
 
 def _sets(docs: DataFrame, held) -> DataFrame:
@@ -275,7 +287,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = (pairs.join(sets.select(F.col("doc").alias("b"), F.col("keys").alias("y")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("keys").alias("x")), "a").select("a", "b", "x", "y"))
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _by_difference(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among documents that share a leader at a crowded place: crowd is (a: leader, b: document, root).
+
+    With X and Y the symmetric differences of x and y from their leader L, x
+    and y differ in |X| + |Y| - 2 |X and Y| elements; linked, they differ in at
+    most (nx + ny) / 9. A pair that is not joined yet has a member, say y, that is
+    not linked with L: |Y| > (nL + ny) / 9. So X and Y share more than
+    (|X| + (nL - nx) / 9) / 2 elements, at least one of which is in the first
+    |X| minus so many, plus one, of X. The order takes what x has beyond L first,
+    which few others have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        names = ["lead", "el", "doc", "n", "root", "pos", "size", "first", "far"]
+        for batch in batches:
+            out = []
+            for lead, doc, root, raw_l, raw_x in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                l, x = np.frombuffer(raw_l, np.int64), np.frombuffer(raw_x, np.int64)
+                added = x[~np.isin(x, l, assume_unique=True)]
+                removed = l[~np.isin(l, x, assume_unique=True)]
+                d = np.concatenate([added, removed])
+                far = len(x) - len(added) < overlap(len(x), len(l))
+                shared = int((9 * len(d) + len(l) - len(x)) // 18) + 1
+                half = max(0, len(d) - shared + 1)
+                kept = len(d) if far else half
+                if kept:
+                    out.append([np.full(kept, lead), d[:kept], np.full(kept, doc), np.full(kept, len(x), np.int32), np.full(kept, root), np.arange(kept, dtype=np.int32), np.full(kept, len(d), np.int32), np.arange(kept) < half, np.full(kept, far)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+    both = (crowd.join(sets.select(F.col("doc").alias("b"), F.col("keys").alias("x")), "b")
+            .join(sets.select(F.col("doc").alias("a"), F.col("keys").alias("l")), "a").select("a", "b", "root", "l", "x"))
+    rows = written(both.mapInArrow(run, "lead long, el long, doc long, n int, root long, pos int, size int, first boolean, far boolean"), "differences")
+    own = ("doc", "n", "root", "pos", "size")
+    x = rows.filter("first").select("lead", "el", *(F.col(c).alias(f"{c}_x") for c in own))
+    y = rows.filter("far").select("lead", "el", *(F.col(c).alias(f"{c}_y") for c in own))
+    nx, ny = F.col("n_x"), F.col("n_y")
+    differ = nx + ny - 2 * F.ceil(F.lit(PERCENT) * (nx + ny) / F.lit(100.0 + PERCENT) - 1e-9)
+    most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("size_x") - F.col("pos_x") - 1, F.col("size_y") - F.col("pos_y") - 1)
+    close = (F.lit(100) * F.least(nx, ny) >= F.lit(PERCENT) * F.greatest(nx, ny)) & (2 * most >= F.col("size_x") + F.col("size_y") - differ)
+    return x.join(y, ["lead", "el"]).filter((F.col("root_x") != F.col("root_y")) & close).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"))
 
 
 def _passes(nx, ny, i, j):
@@ -319,6 +376,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(np.minimum(127, np.rint(4 * np.log2(1.0 + counts))).astype(np.uint8))
     sizes = found.filter("row = 0").select("doc", "n", "k1", "k2")
     solo = sizes.filter("n > 0 AND doc IS NOT NULL")
+    repeats = not solo.groupBy("doc").count().filter("count > 1").isEmpty()
     classes = solo.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
     member = written(solo.join(classes, ["n", "k1", "k2"]).select("doc", "n", "rep").distinct(), "members")
     reps = member.filter("doc = rep").select("doc", F.col("n").cast("int").alias("m")).distinct()
@@ -328,27 +386,32 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rank_of_light = int(np.floor(4 * np.log2(1.0 + LIGHT)))
     light = F.shiftright("key", 56) <= rank_of_light
     window = Window.partitionBy("key")
-    first = F.struct("pos", "n", "doc")
-    entries = written(entries, "prefixes")
+    first = F.struct("rare", "n", "doc", "pos")
     near = entries.filter(light).withColumn("c", F.count("*").over(window)).filter("c > 1").withColumn("lead", F.min(first).over(window)).drop("c")
     heads = entries.filter(~light).groupBy("key").agg(F.count("*").alias("c"), F.min(first).alias("lead")).filter("c > 1").drop("c")
     places = written(near.unionByName(entries.filter(~light).join(heads, "key")).filter("n IS NOT NULL"), "places")
 
     leads = places.filter((F.col("doc") != F.col("lead.doc")) & _passes(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
     stars = written(leads.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct(), "stars")
-    first_links = written(_verified(stars, _sets_of(rows, stars, held)), "links")
+    first_links = written(_verified(stars, _sets_of(rows, stars, held, repeats)), "links")
     roots = components(first_links.unionByName(_repeats(member)))
 
     # Places whose documents are not all joined yet.
     named = places.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    named = written(named.join(open_keys, "key").select("key", "doc", "n", "pos", "root"), "open")
-    left = named.select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "root")))
-    right = named.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "root")))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).filter("r0 <> r1").select("key", "c")
+    named = written(named.join(open_keys, "key").select("key", "doc", "n", "pos", "root", F.col("lead.doc").alias("lead"), "c"), "open")
+    few = named.filter(F.col("c") <= CROWD)
+    left = few.select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "root")))
+    right = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "root")))
     more = left.join(right, "key").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("root_a") != F.col("root_b")) & _passes(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
-    more = more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    crowd = named.filter(F.col("c") > CROWD).filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), "root").distinct()
+    if not crowd.isEmpty():
+        crowd = written(crowd, "crowd")
+        more = more.union(_by_difference(crowd, _sets_of(rows, crowd, held, repeats)))
+    more = more.distinct().join(stars, ["a", "b"], "left_anti")
     more = written(more, "pairs")
-    late_links = _verified(more, _sets_of(rows, more, held))
+    late_links = _verified(more, _sets_of(rows, more, held, repeats))
     roots = components(first_links.unionByName(late_links).unionByName(_repeats(member)))
 
     joined = member.select("doc", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
@@ -365,12 +428,14 @@ def _repeats(member: DataFrame) -> DataFrame:
     return member.join(reps.select("doc", "a"), "doc").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
 
-def _sets_of(rows: DataFrame, pairs: DataFrame, held) -> DataFrame:
+def _sets_of(rows: DataFrame, pairs: DataFrame, held, repeats: bool) -> DataFrame:
     """The whole sets of the documents in ``pairs``, written: doc, keys."""
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = rows.join(ids, "doc", "left_semi")
-    return written(_sets(wanted, held).dropDuplicates(["doc"]), "sets")
+    # Rows that repeat an id and text would meet each other again and again.
+    wanted = wanted.dropDuplicates(["doc", "text"]) if repeats else wanted
+    return written(_sets(wanted, held), "sets")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
