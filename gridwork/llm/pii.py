@@ -100,6 +100,14 @@ def found(text: Column, pattern: str, k: int, base: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), nothing, walk, lambda s: s["all"])
 
 
+def _checked(kind: str):
+    return lambda x: valid(kind, x["match"])
+
+
+def _is_base(k: int):
+    return lambda x: x["base"] & (x["kind"] == k)
+
+
 def candidates(text: Column) -> Column:
     """Base spans and freer candidates of every kind, sorted by kind and start."""
     every = []
@@ -107,7 +115,7 @@ def candidates(text: Column) -> Column:
         both = []
         for pattern, base in ((BASE[kind], True), (FREER[kind], False)):
             hits = found(text, pattern, k, base)
-            hits = F.filter(hits, lambda x, kind=kind: valid(kind, x["match"])) if base else hits
+            hits = F.filter(hits, _checked(kind)) if base else hits
             both.append(F.when(F.regexp_like(text, F.lit(pattern)), hits).otherwise(F.array().cast(KIND)))
         every.append(F.when(text.rlike(SIGN[kind]), F.concat(*both)).otherwise(F.array().cast(KIND)))
     return F.concat(*every)
@@ -289,5 +297,5 @@ def pii_report(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
     return rows.select(
-        "doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        "doc_id", *[F.size(F.filter("spans", _is_base(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

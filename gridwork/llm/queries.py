@@ -72,7 +72,13 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-ALL = [op1_jaccard_join, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
 
 
 def queries() -> dict:
