@@ -16,8 +16,9 @@ documents link when the sets' Jaccard similarity is at least 80 %. The plan:
    are not joined yet are taken, and at crowded places only those that
    share enough of their differences from the leader. Pairs pass the length
    and positional filters, each pair once.
-4. Candidate pairs are verified on the whole sets: the suffix filter bounds the
-   overlap by halving, then the intersection is counted. Classes are the connected
+4. Signatures, counts over parts of the hash range, bound the overlap of each
+   candidate pair from above. What is left is verified on the whole sets: the
+   suffix filter bounds the overlap by halving, then the intersection is counted. Classes are the connected
    components of the links.
 
 The sketch never counts too little, so it tells which shingles may be in many
@@ -50,6 +51,8 @@ SKETCH_BITS, PIECE_BITS = 21, 16
 LIGHT = 2000
 #: Places that more unsettled documents share are settled by differences from the leader, others pair by pair.
 CROWD = 48
+#: Parts of a set's signature.
+SIGNATURE = 128
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -146,8 +149,48 @@ def ordered(found, ranks):
     return np.sort((rank << np.uint64(56)) | low).view(np.int64)
 
 
+def signature(found) -> bytes:
+    """How many of a set's shingles fall into each of SIGNATURE parts of the hash range, in as few bytes as hold them."""
+    import numpy as np
+
+    counts = np.bincount((found >> np.uint64(40)).astype(np.int64) & (SIGNATURE - 1), minlength=SIGNATURE)
+    top = int(counts.max())
+    return counts.astype("u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
+
+
+def counted(raw: bytes):
+    import numpy as np
+
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // SIGNATURE]).astype(np.int64)
+
+
+def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a link: sets overlap by at most the sum of the lesser counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = counted(x), counted(y)
+                kept.append(int(np.minimum(x, y).sum()) >= overlap(int(x.sum()), int(y.sum())))
+            yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
+
+    held = signatures.join(_ids(pairs), "doc", "left_semi").distinct()
+    both = (pairs.join(held.select(F.col("doc").alias("b"), F.col("sig").alias("y")), "b")
+            .join(held.select(F.col("doc").alias("a"), F.col("sig").alias("x")), "a").select("a", "b", "x", "y"))
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The documents in pairs, broadcast if they are few."""
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _statistics(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's n and digest, or a task's piece of the sketch (doc null, piece not null)."""
+    """Rows of two kinds: a document's n, digest and signature (row 0), or a task's piece of the sketch (row 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -163,7 +206,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
                 k1 = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
                 k2 = [int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([0] * m, batch.column(0).to_pylist(), [len(s) for s in sets], k1, k2, [None] * m, [None] * m), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([0] * m, batch.column(0).to_pylist(), [len(s) for s in sets], k1, k2, [None] * m, [signature(s) if len(s) else None for s in sets]), kinds)], names)
         if counts.any():
             width = 1 << PIECE_BITS
             import zstandard
@@ -393,7 +436,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     leads = places.filter((F.col("doc") != F.col("lead.doc")) & _passes(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
     stars = written(leads.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct(), "stars")
-    first_links = written(_verified(stars, _sets_of(rows, stars, held, repeats)), "links")
+    signatures = found.filter("row = 0 AND n > 0").select("doc", F.col("counts").alias("sig"))
+    likely = written(_possible(stars, signatures), "likely")
+    first_links = written(_verified(likely, _sets_of(rows, likely, held, repeats)), "links")
     roots = components(first_links.unionByName(_repeats(member)))
 
     # Places whose documents are not all joined yet.
@@ -410,7 +455,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         crowd = written(crowd, "crowd")
         more = more.union(_by_difference(crowd, _sets_of(rows, crowd, held, repeats)))
     more = more.distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    more = written(_possible(written(more, "pairs"), signatures), "likely")
     late_links = _verified(more, _sets_of(rows, more, held, repeats))
     roots = components(first_links.unionByName(late_links).unionByName(_repeats(member)))
 
@@ -430,9 +475,7 @@ def _repeats(member: DataFrame) -> DataFrame:
 
 def _sets_of(rows: DataFrame, pairs: DataFrame, held, repeats: bool) -> DataFrame:
     """The whole sets of the documents in ``pairs``, written: doc, keys."""
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = rows.join(ids, "doc", "left_semi")
+    wanted = rows.join(_ids(pairs), "doc", "left_semi")
     # Rows that repeat an id and text would meet each other again and again.
     wanted = wanted.dropDuplicates(["doc", "text"]) if repeats else wanted
     return written(_sets(wanted, held), "sets")
