@@ -53,6 +53,8 @@ LIGHT = 2000
 CROWD = 48
 #: Parts of a set's signature.
 SIGNATURE = 128
+#: Bytes of text hashed at a time (the arrays take some fifty times that), and pairs compared at a time.
+SLICE_BYTES, PAIRS = 1_000_000, 256
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -164,13 +166,20 @@ def counted(raw: bytes):
     return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // SIGNATURE]).astype(np.int64)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, PAIRS at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PAIRS):
+            yield batch.slice(a, PAIRS)
+
+
 def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures allow a link: sets overlap by at most the sum of the lesser counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in parts(batches):
             kept = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = counted(x), counted(y)
@@ -198,7 +207,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["row", "doc", "n", "k1", "k2", "piece", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
@@ -245,7 +254,7 @@ def _prefixes(docs: DataFrame, held) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = held.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             rows = []
             for d, s in zip(batch.column(0).to_pylist(), sets):
@@ -264,18 +273,16 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                keys = [np.frombuffer(k, np.int64) for k in part.column(2).to_pylist()]
-                sizes = np.array([len(k) for k in keys])
-                begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-                rare = np.array([-int((k >> 56).mean() * 16) for k in keys], np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
-                    pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array((np.arange(sizes.sum()) - begin).astype(np.int32)),
-                    pa.array(np.repeat(rare, sizes)),
-                ], ["key", "doc", "n", "pos", "rare"])
+        for part in parts(batches):
+            keys = [np.frombuffer(k, np.int64) for k in part.column(2).to_pylist()]
+            sizes = np.array([len(k) for k in keys])
+            begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rare = np.array([-int((k >> 56).mean() * 16) for k in keys], np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
+                pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array((np.arange(sizes.sum()) - begin).astype(np.int32)),
+                pa.array(np.repeat(rare, sizes)),
+            ], ["key", "doc", "n", "pos", "rare"])
 
     return prefixes.mapInArrow(run, "key long, doc long, n int, pos int, rare int")
 
@@ -285,7 +292,7 @@ def _sets(docs: DataFrame, held) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = held.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], ["doc", "keys"])
 
@@ -324,7 +331,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in parts(batches):
             kept = [linked(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
@@ -349,7 +356,7 @@ def _by_difference(crowd: DataFrame, sets: DataFrame) -> DataFrame:
         import numpy as np
 
         names = ["lead", "el", "doc", "n", "root", "pos", "size", "first", "far"]
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for lead, doc, root, raw_l, raw_x in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 l, x = np.frombuffer(raw_l, np.int64), np.frombuffer(raw_x, np.int64)
