@@ -128,7 +128,7 @@ def structure_issues(catalog: DataFrame, template: Template) -> DataFrame:
     want = expected_frame(catalog, template)
     names = want.select("ord", "expected", "want", "position", "required", F.explode("names").alias("n")).withColumn("_key", F.lower("n"))
     files = catalog.select("file_name").distinct()
-    actual = catalog.withColumn("_key", F.lower("col_name"))
+    actual = catalog.select("file_name", "col_name", "col_idx", "type", F.lower("col_name").alias("_key"))
     met = actual.join(F.broadcast(names), "_key")
     first = met.groupBy("file_name", "ord").agg(F.min_by(F.struct("col_name", "col_idx", "type", "expected", "want", "position"), "col_idx").alias("m"))
     wrong_place = first.filter("m.position >= 0 AND m.col_idx <> m.position").select("file_name", F.col("m.expected").alias("column"), F.lit("WrongPosition").alias("issue"), F.lit("Warning").alias("severity"))
@@ -151,5 +151,4 @@ def report(issues: DataFrame) -> DataFrame:
 
 def error_summary(issues: DataFrame) -> DataFrame:
     """Issues in all, by severity, and by context, from one scan: severity, context, n."""
-    issues.createOrReplaceTempView("_issues")
     return issues.groupingSets([["severity"], ["file_name"], []], "severity", "file_name").agg(F.count("*").alias("n")).withColumnRenamed("file_name", "context")
