@@ -35,15 +35,19 @@ def tree(text: Column) -> Column:
     return F.transform(leaves(F.coalesce(text, F.lit(""))), lambda x: F.xxhash64(x))
 
 
-def sections(hashes: Column) -> Column:
-    """Hash of each section: of its leaves' hashes, in order.
+def ends(hashes: Column) -> Column:
+    """Where sections end: places (from 1) of leaves whose hash is divisible by SECTION, and the last place."""
+    marked = F.transform(hashes, lambda h, i: F.when(F.pmod(h, F.lit(SECTION)) == 0, i + 1))
+    return F.array_union(F.filter(marked, lambda i: i.isNotNull()), F.filter(F.array(F.size(hashes)), lambda n: n > 0))
+
 
-    Ends are the places of leaves whose hash is divisible by SECTION, and the last place.
+def sections(hashes: Column, to: Column) -> Column:
+    """Hash of each section: of its leaves' hashes, in order. ``to`` holds the sections' ends.
+
+    Both should be columns of their own, so that no section computes them again.
     """
-    marked = F.transform(hashes, lambda h, i: F.when(F.pmod(h, F.lit(SECTION)) == 0, i + 1))
-    ends = F.array_union(F.filter(marked, lambda i: i.isNotNull()), F.filter(F.array(F.size(hashes)), lambda n: n > 0))
-    starts = F.concat(F.array(F.lit(0)), ends)
-    return F.transform(ends, lambda e, k: F.xxhash64(F.slice(hashes, F.get(starts, k) + 1, e - F.get(starts, k))))
+    since = F.slice(F.concat(F.array(F.lit(0)), to), F.lit(1), F.size(to))
+    return F.zip_with(since, to, lambda a, b: F.xxhash64(F.slice(hashes, a + 1, b - a)))
 
 
 def root(text: Column, of_sections: Column) -> Column:
@@ -123,7 +127,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     rows = with_next(docs)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(length(text) / 4) as int))")))
     for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"l_{name}", tree(F.col(name))).withColumn(f"s_{name}", sections(F.col(f"l_{name}"))).withColumn(f"r_{name}", root(F.col(name), F.col(f"s_{name}")))
+        rows = rows.withColumn(f"l_{name}", tree(F.col(name))).withColumn(f"e_{name}", ends(F.col(f"l_{name}"))).withColumn(f"s_{name}", sections(F.col(f"l_{name}"), F.col(f"e_{name}"))).withColumn(f"r_{name}", root(F.col(name), F.col(f"s_{name}")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("r_text"), F.col("s_text")).alias("fingerprint"),
