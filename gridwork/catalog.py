@@ -253,6 +253,11 @@ def csv_sanitize(spark, sf):
     return Tables(spark, sf).documents.filter(F.col("text").rlike("^[A-Za-z]")).select("doc_id", X.csv_guard(text).alias("guarded"))
 
 
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^([=@\t\r]|[+-]([^0-9]|$))') THEN '''' || text ELSE text END AS guarded FROM documents")
+def csv_guard_documents(spark, sf):
+    return Tables(spark, sf).documents.select("doc_id", X.csv_guard(F.col("text")).alias("guarded"))
+
+
 @query("SELECT page_id, substr(md5(lower(url)), 1, 6) AS hash FROM pages")
 def path_hash(spark, sf):
     return Tables(spark, sf).pages.select("page_id", X.path_hash(F.col("url")).alias("hash"))

@@ -2,6 +2,7 @@
 
 import zipfile
 
+from gridwork import catalog
 from gridwork.sinks.delimited import write_csv
 from gridwork.sources.delimited import detect_delimiter, read_csv
 from gridwork.sources.xlsx import read_xlsx
@@ -20,6 +21,15 @@ def test_csv_guard_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, f"{tmp_path}/g", ",").collect()] == [("'=1+1", 'a "b", c', "TRUE")]
 
 
+def test_guard_of_whole_documents(spark, tmp_path):
+    """Every row in full, whatever it begins with."""
+    tail = "x" * 100
+    texts = [f"={tail}", f"+{tail}", f"-{tail}", f"@{tail}", f"\t{tail}", f"\r{tail}", "-", "+5", f"-1{tail}", f"7{tail}", f"é{tail}", f" ={tail}", f"A{tail}", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.guarded for r in catalog.queries()["csv_guard_documents"](spark, str(tmp_path)).collect()}
+    assert rows == {i: f"'{t}" if i < 7 else t for i, t in enumerate(texts)}
+
+
 def test_xlsx(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
