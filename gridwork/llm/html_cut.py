@@ -9,9 +9,12 @@ cheapest labelling, and the blocks on the source's side are the main text.
 
 Defined results: a null or empty page, or one without content, gives an empty
 text and 0 characters; text without any tag is content; an element left open
-ends with its parent; white space of any kind inside a block is one space; a
-page of any length is read whole; repeated rows are extracted alike; an empty
-table gives no rows; other columns are left alone.
+ends with its parent (script, style, textarea and title: with the page), and
+what it holds is then read even if its kind is not, so a missing end of a
+canvas or noscript loses no article; what an attribute hides (hidden,
+aria-hidden=true, style display:none) is not read; white space of any kind
+inside a block is one space; a page of any length is read whole; repeated rows
+are extracted alike; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ from gridwork.llm._chunks import slices
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>|[^>]*>)))""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+EACH = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDDEN = re.compile(r"hidden|display", re.I)  # an element without either word is shown
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
-# Fixed values of HTML: elements without content, with raw text, and within a line of text.
+# Fixed values of HTML: elements without content, with raw text, with other content than text, and within a line of text (of MathML too).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select option datalist head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title".split())
+UNREAD = frozenset("noscript template svg iframe object canvas select option datalist head annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd semantics".split())
 SELF_CLOSING = frozenset("p h1 h2 h3 h4 h5 h6 dt dd tr td th option".split())
 
 #: Log-odds for content of an element in a block's chain, by its name.
@@ -54,6 +60,8 @@ BY_WORD = {
     "comment": -12.0, "comments": -12.0, "disqus": -12.0, "reply": -10.0, "replies": -10.0, "respond": -10.0, "discussion": -10.0,
     "share": -10.0, "social": -10.0, "related": -10.0, "recommended": -10.0, "newsletter": -12.0, "subscribe": -12.0, "signup": -12.0, "login": -12.0, "search": -10.0, "pagination": -10.0, "pager": -10.0, "tags": -8.0, "toolbar": -10.0, "skip": -8.0,
 }
+#: Elements that may hold the whole page or its article: a word of their class never counts against them.
+WHOLE = frozenset("html body main article".split())
 #: Capacity of the edge between neighbours, and between the nearest blocks of one parent.
 NEXT_TO, SAME_PARENT = 0.6, 1.2
 
@@ -62,11 +70,24 @@ def words_of(attributes: str) -> list[str]:
     return [w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")]
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element says by an attribute of its own that it isn't shown."""
+    if not HIDDEN.search(attributes):
+        return False
+    for m in EACH.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
+            return True
+        if name == "style" and any("".join(x.split()) in ("display:none", "display:none!important") for x in value.split(";")):
+            return True
+    return False
+
+
 def odds_of(tag: str, attributes: str) -> float:
     """Log-odds that one element gives the blocks in it."""
     odds = BY_TAG.get(tag, 0.0)
     if "=" in attributes:
-        found = [BY_WORD[w] for w in words_of(attributes) if w in BY_WORD]
+        found = [BY_WORD[w] for w in words_of(attributes) if w in BY_WORD and (BY_WORD[w] > 0 or tag not in WHOLE)]
         if found:
             odds += min(found) if min(found) < 0 else max(found)
     return odds
@@ -78,7 +99,7 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int]]:
     Of elements of one sign only the strongest two count, so deep nesting says no more than near nesting.
     """
     found: list[tuple[str, float, float, int]] = []
-    stack: list[tuple[str, float, int]] = []  # open elements: name, own log-odds, number
+    stack: list[tuple[str, float, int, tuple[int, int, str]]] = []  # open elements: name, own log-odds, number; and blocks, link and heading before it
     parts: list[str] = []
     linked, in_link, count, at, n = 0, 0, 0, 0, len(page)
     heading = ""
@@ -123,29 +144,40 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int]]:
                 heading = ""
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if name in UNREAD:
+                        kept, in_link, heading = stack[k][3]
+                        del found[kept:]
                     del stack[k:]
                     if hidden_at >= len(stack):
                         hidden_at = -1
                     break
         elif name in RAW:
             flush()
-            if name != "head" or "</head" in page[at:].lower():
-                if not m[3].endswith("/>"):
-                    close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if name not in _CLOSE else _CLOSE[name].search(page, at)
-                    at = close.end() if close else n
+            if not m[3].endswith("/>"):
+                close = _CLOSE[name].search(page, at)
+                at = close.end() if close else n
         else:
             flush()
             if name in SELF_CLOSING:
                 heading = name if name[0] == "h" else ""
-            elif name not in VOID and not m[3].endswith("/>"):
+            if name in _ENDS and stack and stack[-1][0] == _ENDS[name]:
+                kept, in_link, heading = stack.pop()[3]
+                del found[kept:]
+                if hidden_at >= len(stack):
+                    hidden_at = -1
+            if name in SELF_CLOSING and name not in UNREAD:
+                continue
+            if name not in VOID and not m[3].endswith("/>"):
                 count += 1
-                if hidden_at < 0 and len(m[3]) > 6 and HIDDEN.search(m[3]):
+                if hidden_at < 0 and len(m[3]) > 6 and is_hidden(m[3]):
                     hidden_at = len(stack)
-                stack.append((name, odds_of(name, m[3]), count))
+                stack.append((name, odds_of(name, m[3]), count, (len(found), in_link, heading)))
     flush()
     return found
 
 
+#: Elements whose start ends another one that is left open.
+_ENDS = {"option": "option", "optgroup": "option", "body": "head"}
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 

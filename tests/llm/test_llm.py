@@ -171,6 +171,29 @@ def test_html(spark):
     assert [(r.text, r.n_chars) for r in rows[1:]] == [("", 0), ("", 0)] and rows[0].n_chars == len(rows[0].text)
 
 
+ARTICLE = "<article><p>First words that make a sentence of some length.</p><p>More words, which follow the first ones here.</p></article>"
+WORDS_OF_ARTICLE = "First words that make a sentence of some length. More words, which follow the first ones here."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='overflow-hidden'>{ARTICLE}</body>", f"<main style='overflow:hidden'>{ARTICLE}</main>", f"<div class='hidden-xs'>{ARTICLE}</div>",
+    f"<div aria-hidden='false'>{ARTICLE}</div>", f"<div data-hidden='1' title='display: none'>{ARTICLE}</div>",
+    *(f"<body><div><{x}></div>{ARTICLE}</body>" for x in "noscript object template canvas svg math option iframe select datalist".split()),
+    *(f"<body><{x}>{ARTICLE}</body>" for x in "noscript object template canvas svg option".split()),
+    f"<body><select><option>One<option>Two</select><noscript><a href=/>no <h2>no</noscript>{ARTICLE}</body>", f"<head><noscript>no</noscript><body>{ARTICLE}</body>",
+    f"<body class='has-sidebar'><main>{ARTICLE}</main></body>", f"<html class='no-cookie-banner'><body class='menu'>{ARTICLE}</body></html>",
+    f"<svg><svg></svg>no</svg>{ARTICLE}", f"<div hidden><p>A sentence that nobody sees, of some length.</p></div>{ARTICLE}",
+    f"<div style='color:red; Display : none'><p>A sentence that nobody sees, of some length.</p></div>{ARTICLE}", f"{ARTICLE}<section aria-hidden=true><p>A sentence that nobody sees.</p></section>",
+    f"<div>{ARTICLE}<script>var a = '<p>no</p>'"])
+def test_html_whole_article(page):
+    assert html_cut.extract(page) == WORDS_OF_ARTICLE
+
+
+def test_html_formula():
+    page = "<article><p>The sum <math><semantics><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a + b</annotation></semantics></math> is shown in this sentence.</p></article>"
+    assert html_cut.extract(page) == "The sum a+b is shown in this sentence."
+
+
 def test_chat_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
