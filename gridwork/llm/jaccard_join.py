@@ -489,6 +489,17 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, held, repeats: bool) -> DataFram
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class of linked documents: that of the smallest id. Documents without a set all stay."""
-    classes = jaccard_classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(classes, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    """One row of each class of linked rows: that of the smallest id, null last. Rows without a set all stay.
+
+    Rows are compared by their texts alone: where an id is null or repeated,
+    the rows are numbered in the order of id and text, and the numbers are the
+    ids, so no row is lost for its id and no copy stays for it.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    if ids.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
+        rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    else:
+        rows = docs.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "text").withColumn("_id", F.monotonically_increasing_id())
+        rows = written(rows, "numbered")
+    classes = jaccard_classes(rows.select(F.col("_id").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return rows.join(classes, "_id", "left_semi").select(*docs.columns)

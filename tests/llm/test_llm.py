@@ -217,6 +217,17 @@ def test_odd_rows(spark, f):
     assert f(odd(spark).filter("false")).count() == 0
 
 
+def test_keep_first_odd(spark):
+    rows = jaccard_join.keep_first(odd(spark)).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3, 5, 7, 8, 9]
+    # Ids say nothing of the texts: three texts stay, a copy of each goes.
+    texts = [(None, "here is a text of its own"), (None, "here is a text of its own"), (5, "some other text that has no id like it"), (5, "yet another one under the same number"), (5, "yet another one under the same number"), (9, "some other text that has no id like it")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = jaccard_join.keep_first(docs).collect()
+    assert sorted(map(tuple, rows), key=repr) == [(5, texts[2][1]), (5, texts[3][1]), (None, texts[0][1])]
+    assert jaccard_join.keep_first(odd(spark).filter("false")).collect() == []
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
