@@ -4,8 +4,10 @@ language   documents that the language profiles reject (no letter, or nothing
            like any learned language) go; all others stay as they are
 near_dups  one document of each group of n-gram Jaccard links stays
 pii        personal data in the text is replaced by its kind
-mix        documents are put in the order of the Pfair mix of sources
-encode     SentencePiece ids: doc_id, source, lang, n_tokens, ids
+mix        documents are put in the order of the Pfair mix of sources, and get
+           their position in it
+encode     SentencePiece ids: doc_id, source, lang, position, n_tokens, ids;
+           the mix is the rows in the order of position
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = piece_codec.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary("piece_bpe_32k.model"))
-    return rows.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    rows = piece_codec.encode(docs.select("doc_id", "source", "lang", "position", "text"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "source", "lang", "position", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("language", language), ("near_dups", near_dups), ("pii", personal), ("mix", mix), ("encode", encode)]

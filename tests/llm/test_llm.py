@@ -228,6 +228,22 @@ def test_keep_first_odd(spark):
     assert jaccard_join.keep_first(odd(spark).filter("false")).collect() == []
 
 
+def test_mix_reaches_the_end(spark, sf, tmp_path):
+    """Every prefix of the encoded documents has each source's share, less than a block off."""
+    import corpus_pipeline
+
+    blocks = {"src0": 40, "src1": 20, "src2": 15, "other": 10}  # all end together under MIX_WEIGHTS
+    docs = spark.createDataFrame([(i * 1000 + k, f"text {k} of {s}", "en", s, 9) for i, (s, n) in enumerate(blocks.items()) for k in range(n * pfair_mix.BLOCK)], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mix"](spark, docs.repartition(7), sf).write.parquet(f"{tmp_path}/mix")
+    rows = stages["encode"](spark, spark.read.parquet(f"{tmp_path}/mix"), sf).select("source", "position").collect()
+    order = [r.source for r in sorted(rows, key=lambda r: r.position)]
+    assert len(order) == docs.count() == len({r.position for r in rows})
+    for end in range(pfair_mix.BLOCK, len(order) + 1, pfair_mix.BLOCK):
+        for s, n in blocks.items():
+            assert abs(order[:end].count(s) - end * n / sum(blocks.values())) < pfair_mix.BLOCK
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
