@@ -1,45 +1,95 @@
 """Tokenising by memorised chunks.
 
 A text is cut where no token can cross; every chunk's ids are looked up in a
-bounded per-worker memory and only unseen chunks go through the tokenizer
-library, many at a time.
+worker's memory and only unseen chunks go through the tokenizer library, many
+at a time. The memory is bounded in bytes, and ``released`` gives it back when
+a partition ends: workers outlive their task, and several share an executor.
 """
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
-#: Chunks that a worker remembers, and characters encoded at a time.
-MEMORY = 800_000
-SLICE_BYTES = 4_000_000
+#: Bytes that a worker remembers, about (text, ids and the dictionary's own); bytes of text of the longest remembered chunk.
+MEMORY_BYTES, LONGEST = 32_000_000, 64
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 1_000_000
+#: What an entry takes besides the bytes it holds: two objects and its place in the table.
+ENTRY = 220
 
 
 class ChunkMemory:
     """chunk -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode_many: Callable[[list], list[bytes]], limit: int = MEMORY):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    def __init__(self, encode_many: Callable[[list], list[bytes]], limit: int = MEMORY_BYTES):
+        self.encode_many, self.limit, self.known, self.held = encode_many, limit, {}, 0
 
     def encode(self, texts: list[list]) -> Iterator[bytes]:
         """The ids of each list of chunks, joined."""
-        wanted = set().union(*texts)
-        missing = [c for c in wanted if c not in self.known]
+        known = self.known
+        missing = [c for c in set().union(*texts) if c not in known]
+        extra: dict = {}  # chunks of this call that are not remembered
         if missing:
-            if len(self.known) + len(missing) > self.limit:
-                self.known.clear()
-                missing = list(wanted)
-            self.known.update(zip(missing, self.encode_many(missing)))
-        get = self.known.__getitem__
+            if self.held > self.limit:
+                known.clear()
+                self.held = 0
+                missing = list(set().union(*texts))
+            for c, ids in zip(missing, self.encode_many(missing)):
+                if len(c) <= LONGEST and self.held <= self.limit:
+                    known[c] = ids
+                    self.held += ENTRY + len(c) + len(ids)
+                else:
+                    extra[c] = ids
+        if extra:
+            get = lambda c: known[c] if c in known else extra[c]
+        else:
+            get = known.__getitem__
         for chunks in texts:
             yield b"".join(map(get, chunks))
 
+    def clear(self) -> None:
+        self.known.clear()
+        self.held = 0
 
-def by_separator(tokenizer, mark: str, mark_id: int, joined: int = 400, odd_tokenizer=None) -> Callable[[list[str]], list[bytes]]:
+
+@contextmanager
+def released(*memories):
+    """Clears ``memories`` at the end of a partition and gives freed pages back to the system."""
+    try:
+        yield
+    finally:
+        for m in memories:
+            m.clear()
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def segments(text, edge: re.Pattern, limit: int = SLICE_BYTES) -> Iterator:
+    """A text (str or bytes) in pieces of about ``limit``, each but the first beginning with a match of ``edge``, so that a text of any length is cut a piece at a time."""
+    at = 0
+    while len(text) - at > limit and (m := edge.search(text, at + limit)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def by_separator(tokenizer, mark: str, mark_id: int, joined: int = 400, marks_are_text: bool = False) -> Callable[[list[str]], list[bytes]]:
     """An ``encode_many`` that joins chunks by a special token, which keeps them apart, and cuts the ids at it.
 
-    Chunks that might hold the mark go one by one, through ``odd_tokenizer`` if given.
+    Chunks that might hold a special token's name go one by one; with
+    ``marks_are_text`` such a name is ordinary text there.
     """
     import numpy as np
 
@@ -47,17 +97,21 @@ def by_separator(tokenizer, mark: str, mark_id: int, joined: int = 400, odd_toke
         out: list[bytes] = [b""] * len(chunks)
         plain = [i for i, c in enumerate(chunks) if "<" not in c]
         groups = [plain[i : i + joined] for i in range(0, len(plain), joined)]
-        found = tokenizer.encode_batch_fast([mark.join(chunks[i] for i in g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, found):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == mark_id)
-            raw, begin = ids.tobytes(), 0
-            for i, end in zip(g, [*cuts.tolist(), len(ids)]):
-                out[i] = raw[4 * begin : 4 * end]
-                begin = end + 1
+        for a in range(0, len(groups), 32):
+            found = tokenizer.encode_batch_fast([mark.join(chunks[i] for i in g) for g in groups[a : a + 32]], add_special_tokens=False)
+            for g, e in zip(groups[a : a + 32], found):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == mark_id)
+                raw, begin = ids.tobytes(), 0
+                for i, end in zip(g, [*cuts.tolist(), len(ids)]):
+                    out[i] = raw[4 * begin : 4 * end]
+                    begin = end + 1
         odd = [i for i, c in enumerate(chunks) if "<" in c]
-        for i, e in zip(odd, (odd_tokenizer or tokenizer).encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        if odd:
+            tokenizer.encode_special_tokens = marks_are_text
+            for i, e in zip(odd, tokenizer.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False)):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+            tokenizer.encode_special_tokens = False
         return out
 
     return encode_many

@@ -5,11 +5,15 @@ the scores (unigram pieces, or merges ranked by score) and byte fallback are
 rebuilt as a ``tokenizers.Tokenizer``. Texts are encoded in batches, many
 chunks at a time with the library's own threads. Parity with the sentencepiece
 library is checked on every distinct chunk a worker meets; as texts are cut
-only where no piece can cross, chunk parity is text parity.
+only where no piece can cross, chunk parity is text parity. A chunk that differs
+takes that library's ids and is counted.
 
 Defined results: a null text encodes to null and decodes to null; an empty text
 encodes to no ids and decodes to an empty text. U+2581 in a text stands for a
-space, as in the sentencepiece library itself. Ids out of range raise.
+space, as in the sentencepiece library itself. Ids out of range raise. Texts of
+any length are encoded whole, a segment at a time; repeated rows are encoded
+alike; an empty table gives no rows; a column named as the result is replaced,
+all others are left alone.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwork.llm._chunks import ChunkMemory, by_separator, slices
+from gridwork.llm._chunks import ChunkMemory, by_separator, released, segments, slices
 
 MARK = "▁"
 #: Fixed values of the model file: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CUT = "<|cut|>"
+#: The first space of a run.
+EDGE = re.compile("(?<! ) ")
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -133,6 +139,9 @@ def build_tokenizer(path: str, whole_texts: bool = True, cut_token: bool = False
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
     if cut_token:
         tokenizer.add_special_tokens([AddedToken(CUT, special=True, normalized=False)])
+    own = [AddedToken(p, normalized=False) for p, _, k in m["pieces"] if k == USER_DEFINED]
+    if own:
+        tokenizer.add_tokens(own)
     return tokenizer
 
 
@@ -145,15 +154,16 @@ def pattern(text: str):
 def separable(path: str) -> bool:
     """Whether chunks that begin with a run of markers can be encoded apart: no piece has a marker after another character, and the normaliser is the identity."""
     m = parse_model(path)
-    return not m["charsmap"] and not m["strip"] and m["dummy_prefix"] and m["type"] == BPE and not any(MARK in p.lstrip(MARK) for p, _, k in m["pieces"] if k != CONTROL)
+    return not m["charsmap"] and not m["strip"] and m["dummy_prefix"] and m["type"] == BPE and not any(k == USER_DEFINED or MARK in p.lstrip(MARK) for p, _, k in m["pieces"] if k != CONTROL)
 
 
-def cut(text: str) -> list[str]:
-    """Chunks of a text, each without its first space; the text gets the leading space first."""
+def cut(text: str, inside: bool = False) -> list[str]:
+    """Chunks of a text without markers, each without its first space; the text gets the leading space first.
+
+    ``inside``: the text is a later segment, whose first space is already taken off.
+    """
     if not text:
-        return []
-    if MARK in text:
-        text = text.replace(MARK, " ")
+        return [""] if inside else []
     if "  " not in text and text[0] != " " and text[-1] != " ":
         return text.split(" ")
     return [c[1:] for c in re.findall(r" +[^ ]+| +", " " + text)]
@@ -162,96 +172,108 @@ def cut(text: str) -> list[str]:
 class _Codec:
     """A worker's tokenizer, chunk memory and decoding table."""
 
-    def __init__(self, path: str, verify: bool):
+    def __init__(self, path: str):
         import numpy as np
 
-        self.path, self.mismatches, self.checked = path, 0, 0
+        self.path, self.reference = path, None
+        self.fallen: set[str] = set()  # chunks that took the sentencepiece library's ids
         m = parse_model(path)
         self.table = [bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in m["pieces"]]
-        self.byte_ids = np.array([k == BYTE for _, _, k in m["pieces"]])
-        if verify:
-            import sentencepiece
-
-            reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.prefixed = m["dummy_prefix"]
+        for i, (_, _, k) in enumerate(m["pieces"]):
+            if k == UNKNOWN:
+                self.table[i] = " ⁇ ".encode()
         if separable(path):
             tokenizer = build_tokenizer(path, whole_texts=False, cut_token=True)
-            many = by_separator(tokenizer, CUT, tokenizer.token_to_id(CUT), odd_tokenizer=build_tokenizer(path, whole_texts=False))
-
-            def encode_many(chunks: list[str]) -> list[bytes]:
-                found = many([MARK + c for c in chunks])
-                if verify:
-                    self.compare(found, chunks, reference)
-                return found
-
-            self.memory, self.cut = ChunkMemory(encode_many), cut
+            many = by_separator(tokenizer, CUT, tokenizer.token_to_id(CUT), marks_are_text=True)
+            mine = lambda chunks: many([MARK + c for c in chunks])
+            # A later segment begins with a space that ``cut`` would put there.
+            self.cut = lambda text: [c for i, s in enumerate(segments(text.replace(MARK, " "), EDGE)) for c in cut(s[1:] if i else s, bool(i))]
         else:
             whole = build_tokenizer(path)
+            mine = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+            self.cut = lambda text: [text] if text else []
 
-            def encode_many(texts: list[str]) -> list[bytes]:
-                found = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
-                if verify:
-                    self.compare(found, texts, reference)
-                return found
+        def encode_many(chunks: list[str]) -> list[bytes]:
+            return self.compared(mine(chunks), chunks) if self.reference else mine(chunks)
 
-            self.memory, self.cut = ChunkMemory(encode_many, limit=10_000), lambda text: [text] if text else []
+        self.memory = ChunkMemory(encode_many)
 
-    def compare(self, found: list[bytes], texts: list[str], reference) -> None:
+    def compared(self, found: list[bytes], texts: list[str]) -> list[bytes]:
+        """``found`` with the sentencepiece library's ids where they differ; such chunks are remembered."""
         import numpy as np
 
         # An empty chunk is a lone marker here, and nothing at all to the library.
-        both = [(x, t) for x, t in zip(found, texts) if t]
-        for i in range(0, len(both), 20_000):
-            mine = [x for x, _ in both[i : i + 20_000]]
-            theirs = reference.encode([t for _, t in both[i : i + 20_000]], num_threads=1)
+        both = [i for i, t in enumerate(texts) if t]
+        for a in range(0, len(both), 5_000):
+            part = both[a : a + 5_000]
+            theirs = self.reference.encode([texts[i] for i in part], num_threads=1)
             sizes = [len(x) for x in theirs]
-            if sizes != [len(x) // 4 for x in mine] or b"".join(mine) != np.fromiter(chain.from_iterable(theirs), "<u4", sum(sizes)).tobytes():
-                self.mismatches += sum(x != np.array(y, "<u4").tobytes() for x, y in zip(mine, theirs))
-        self.checked += len(both)
+            if sizes != [len(found[i]) // 4 for i in part] or b"".join([found[i] for i in part]) != np.fromiter(chain.from_iterable(theirs), "<u4", sum(sizes)).tobytes():
+                for i, y in zip(part, theirs):
+                    raw = np.array(y, "<u4").tobytes()
+                    if found[i] != raw:
+                        found[i] = raw
+                        self.fallen.add(texts[i])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        found = list(self.memory.encode([self.cut(t or "") for t in texts]))
-        if self.mismatches:
-            raise ValueError(f"{self.mismatches} of {self.checked} chunks differ from the sentencepiece library")
-        return found
+        return list(self.memory.encode([self.cut(t or "") for t in texts]))
+
+    def n_fallen(self, text: str) -> int:
+        return sum(c in self.fallen for c in self.cut(text)) if self.fallen else 0
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.table.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if self.prefixed and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def clear(self) -> None:
+        self.memory.clear()
+        self.fallen.clear()
 
-_CODECS: dict[tuple[str, bool], _Codec] = {}
+
+_CODEC: list[_Codec] = []
 
 
 def _codec(path: str, verify: bool = False) -> _Codec:
-    if (path, verify) not in _CODECS:
-        _CODECS[path, verify] = _Codec(path, verify)
-    return _CODECS[path, verify]
+    """This worker's codec; it has one at a time."""
+    if not _CODEC or _CODEC[0].path != path:
+        _CODEC[:] = [_Codec(path)]
+    if verify and not _CODEC[0].reference:
+        import sentencepiece
+
+        _CODEC[0].reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        _CODEC[0].clear()
+    return _CODEC[0]
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", to: str = "ids", verify: bool = True) -> DataFrame:
-    """Every column of ``df`` and ``to``: the text's ids as array<int>.
+    """Every column of ``df`` and ``to``: the text's ids as array<int>; a column of that name is replaced.
 
     With ``verify`` a chunk whose ids differ from the sentencepiece library's
-    fails the task: a wrong token stream is never returned.
+    takes those instead: a wrong token stream is never returned.
     """
+    df = df.drop(to) if to != text else df
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         codec = _codec(model_path, verify)
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text))
-            ids = [np.frombuffer(raw, "<i4") for raw in codec.encode(texts.to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "i4")])), mask=texts.is_null() if texts.null_count else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, to])
+        with released(codec):
+            for batch in slices(batches, text):
+                texts = batch.column(batch.schema.get_field_index(text))
+                ids = [np.frombuffer(raw, "<i4") for raw in codec.encode(texts.to_pylist())]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "i4")])), mask=texts.is_null() if texts.null_count else None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, to])
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Every column of ``df`` and ``to``: the text that the ids stand for. Bytes that are not UTF-8 become U+FFFD."""
+    """Every column of ``df`` and ``to``: the text that the ids stand for; a column of that name is replaced. Bytes that are not UTF-8 become U+FFFD."""
+    df = df.drop(to) if to != ids else df
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +287,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded"
 
 
 def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode whole texts: doc_id, n_chars, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip.
+    """Encode and decode whole texts: doc_id, n_chars, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip, n_fallen (chunks that took the sentencepiece library's ids).
 
     Both directions run on the same Arrow batch, so only digests leave a task.
     """
@@ -276,17 +298,19 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
         import numpy as np
 
         codec = _codec(model_path, True)
-        for batch in slices(batches, "text"):
-            texts = batch.column(1).to_pylist()
-            found = codec.encode(texts)
-            back = [codec.decode(np.frombuffer(raw, "<u4").tolist()) for raw in found]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([None if t is None else len(t) for t in texts], pa.int64()),
-                pa.array([None if t is None else len(raw) // 4 for t, raw in zip(texts, found)], pa.int64()),
-                pa.array([None if t is None else zlib.crc32(raw) for t, raw in zip(texts, found)], pa.int64()),
-                pa.array([None if t is None else b == t.replace(MARK, " ") for t, b in zip(texts, back)], pa.bool_()),
-            ], ["doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip"])
+        with released(codec):
+            for batch in slices(batches, "text"):
+                texts = batch.column(1).to_pylist()
+                found = codec.encode(texts)
+                same = [t is not None and codec.decode(np.frombuffer(raw, "<u4").tolist()) == t.replace(MARK, " ") for t, raw in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0),
+                    pa.array([None if t is None else len(t) for t in texts], pa.int64()),
+                    pa.array([None if t is None else len(raw) // 4 for t, raw in zip(texts, found)], pa.int64()),
+                    pa.array([None if t is None else zlib.crc32(raw) for t, raw in zip(texts, found)], pa.int64()),
+                    pa.array([None if t is None else x for t, x in zip(texts, same)], pa.bool_()),
+                    pa.array([None if t is None else codec.n_fallen(t) for t in texts], pa.int64()),
+                ], ["doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip", "n_fallen"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean, n_fallen long")

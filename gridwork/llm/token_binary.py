@@ -23,6 +23,7 @@ is a document of its own; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwork.llm._chunks import ChunkMemory, by_separator, slices
+from gridwork.llm._chunks import ChunkMemory, by_separator, released, segments, slices
 from gridwork.llm._common import fresh_path, written
 
 # Fixed values of the zstandard seekable format.
@@ -39,23 +40,34 @@ SEEK_MAGIC = 0x184D2A5E
 FOOTER_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
-_MEMORIES: dict[str, ChunkMemory] = {}
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 256_000_000
+#: ASCII white space.
+EDGE = re.compile(rb"[\x20\x09-\x0D]")
+
+_MEMORY: list[tuple[str, ChunkMemory]] = []
 
 
 def _memory(tokenizer_path: str) -> ChunkMemory:
-    """This worker's chunk memory for a tokenizer that drops white space.
+    """This worker's chunk memory for a tokenizer that drops white space; a worker has one at a time.
 
     ASCII white space never lies inside a token of such a tokenizer and no
     normalisation crosses it, so the pieces between may be encoded apart.
     """
-    if tokenizer_path not in _MEMORIES:
+    if not _MEMORY or _MEMORY[0][0] != tokenizer_path:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         mark = "<|endoftext|>"
         many = by_separator(tokenizer, mark, tokenizer.token_to_id(mark))
-        _MEMORIES[tokenizer_path] = ChunkMemory(lambda chunks: many([c.decode("utf-8") for c in chunks]))
-    return _MEMORIES[tokenizer_path]
+        _MEMORY[:] = [(tokenizer_path, ChunkMemory(lambda chunks: many([c.decode("utf-8") for c in chunks])))]
+    return _MEMORY[0][1]
+
+
+def encoded(memory: ChunkMemory, texts: list[bytes | None]) -> Iterator[bytes]:
+    """The ids of each text; a long text is cut a segment at a time."""
+    for text in texts:
+        yield b"".join(x for s in segments(text or b"", EDGE) for x in memory.encode([s.split()]))
 
 
 def _open(path: str, mode: str):
@@ -151,19 +163,22 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, pa
         part = TaskContext.get().partitionId()
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tokens"
         tokens = 0
-        for batch in slices(batches, "text"):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for doc_id, found in zip(ids, memory.encode([(t or b"").split() for t in texts])):
-                out = out or ShardWriter(name)
-                out.add(doc_id, found + end)
-                n, tokens = n + 1, tokens + len(found) // 4 + 1
+        with released(memory):
+            for batch in slices(batches, "text"):
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                many = memory.encode([(t or b"").split() for t in texts]) if len(texts) > 1 else encoded(memory, texts)
+                for doc_id, found in zip(batch.column(0).to_pylist(), many):
+                    out = out or ShardWriter(name)
+                    out.add(doc_id, found + end)
+                    n, tokens = n + 1, tokens + len(found) // 4 + 1
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n], "n_tokens": [tokens]})
 
-    sort = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    sort = rows.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return written(sort.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
 
 
