@@ -140,6 +140,59 @@ def test_nearest_brute_force(spark, sf):
             assert [x[1] for x in found] == [i for _, i in want]
 
 
+def brute_nearest(rows, k=20):
+    """query (id, vector) -> ids and scores; sums in component order, as exact fractions where they overflow."""
+    from fractions import Fraction
+
+    def score(v, w):
+        total = 0.0
+        for x, y in zip(v, w):
+            total += x * y
+        if not np.isfinite(total):
+            exact = sum(Fraction(x) * Fraction(y) for x, y in zip(v, w))
+            try:
+                total = float(exact)
+            except OverflowError:
+                total = float("inf") if exact > 0 else float("-inf")
+        return total
+
+    out = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            out[q, tuple(v)] = sorted((-score(v, w), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+    return out
+
+
+@pytest.mark.parametrize("case", ["plain", "huge", "tiny", "both", "ties", "repeats", "lengths"])
+def test_nearest_odd(spark, case):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 6))
+    rows = [(i, list(map(float, x))) for i, x in enumerate(v)]
+    if case == "huge":
+        rows = [(i, [c * 1e160 for c in x]) for i, x in rows]
+    if case == "tiny":
+        rows = [(i, [c * 1e-322 for c in x]) for i, x in rows]
+    if case == "both":
+        rows = [(i, [c * 10.0 ** (300 - 37 * (i % 17)) for c in x]) for i, x in rows]
+    if case == "ties":
+        rows = [(i, [float(round(c)) or 1.0 for c in x]) for i, x in rows] + [(100 + i, [1.0] * 6) for i in range(70)]
+    if case == "repeats":
+        rows += rows[:5] * 9 + [(20, [0.5] * 6), (40, rows[3][1]), (40, rows[3][1])]
+    if case == "lengths":
+        rows = [(i, x[: 3 + i % 3]) for i, x in rows]
+    bad = [(200, None), (220, [0.0] * 6), (None, [1.0] * 6), (240, [float("nan")] + [1.0] * 5), (260, [float("inf")] * 6), (280, []), (300, [None] + [1.0] * 5)]
+    table = spark.createDataFrame([(i, x, "z") for i, x in rows + bad], "vec_id long, embedding array<double>, h string")
+    sound = [(i, x) for i, x in rows if any(x)]
+    for block in (8192, 16):
+        usable = ann_blocks.usable(table)
+        got = {}
+        for r in ann_blocks.nearest(usable.filter("id % 20 = 0"), usable, 20, block, 2).collect():
+            got.setdefault((r.query_id, r.query_hash), []).append((r.rank, -r.score, r.vec_id))
+        found = sorted((q, [(s, i) for _, s, i in sorted(x)]) for (q, _), x in got.items())
+        assert found == sorted((q, w) for (q, _), w in brute_nearest(sound).items())
+    assert ann_blocks.search(table.filter("false")).collect() == []
+
+
 def test_language_held_out(spark, sf):
     rows = hd_language.language_report(documents(spark, sf)).join(documents(spark, sf).select("doc_id", "lang", "text"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
