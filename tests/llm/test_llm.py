@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwork.llm import ann_blocks, hd_language, html_cut, jaccard_join, merkle, pfair_mix, pii, piece_codec, queries, token_binary
 
@@ -201,20 +202,104 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def brute_likeness(a, b, sections_of):
+    """Likeness of two texts from plain Python sets, given each text's sections as lists of paragraph texts."""
+    if a == b:
+        return 1.0
+    mine, theirs = sections_of[a], sections_of[b]
+    n, k = [0, 0], [set(), set()]
+    for i, (own, other) in enumerate(((mine, theirs), (theirs, mine))):
+        for s in own:
+            cut = [y for p in s for y in pieces_of(p)]
+            if s in other:
+                n[i] += len(cut)
+            else:
+                k[i] |= set(cut)
+    total = sum(n) + len(k[0]) + len(k[1])
+    return min((sum(n) + 2 * len(k[0] & k[1])) / total, 1 - 1 / (1 + total)) if total else 0.0
+
+
+def pieces_of(paragraph):
+    """Sentences, cut after 32 code points since the last cut."""
+    out, at = [], 0
+    for i in range(1, len(paragraph) + 1):
+        ends = i == len(paragraph) or paragraph[i - 1] in ".!?\n。" and paragraph[i] not in ".!?\n。" or i - at == merkle.LONGEST
+        if ends:
+            out.append(paragraph[at:i])
+            at = i
+    return out
+
+
+def sections_in(fingerprint, text):
+    """The text's sections by a fingerprint's lengths; checks every digest on the way."""
+    root, *sections = fingerprint.split(";")
+    out, at, digests = [], 0, []
+    for s in sections:
+        h, *paragraphs = s.split(",")
+        texts, below = [], []
+        for p in paragraphs:
+            digest, n, k = p.split(".")
+            part = text[at : at + int(n, 16)]
+            at += len(part)
+            below.append(hashlib.sha256(part.encode()).hexdigest())
+            assert below[-1].startswith(digest) and len(k) == 8 * len(pieces_of(part)), part
+            texts.append(part)
+        digests.append(hashlib.sha256("".join(below).encode()).hexdigest())
+        assert digests[-1].startswith(h)
+        out.append(texts)
+    assert at == len(text) and hashlib.sha256("".join(digests).encode()).hexdigest() == root
+    assert [p for s in out for p in s] == re.findall(r"[^\n]*\n+|[^\n]+", text)
+    return out
+
+
 def test_merkle(spark, sf):
-    docs = documents(spark, sf)
-    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    docs = documents(spark, sf).select("doc_id", "text").filter("doc_id % 3 = 0")
+    more = [None, "", "one\n\ntwo\n" * 40, "same\n" * 100 + "end", "no line end. but two sentences", "\n\n\n", "x" * 400]
+    docs = docs.union(spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    rows = docs.orderBy("doc_id").collect()
     got = {r.doc_id: r for r in merkle.fingerprint_report(docs).collect()}
-    by_print = {}
+    assert len(got) == len(rows)
+    sections = {r.text or "": sections_in(got[r.doc_id].fingerprint, r.text or "") for r in rows}
     for r, after in zip(rows, [*rows[1:], rows[0]]):
         text, cut = r.text or "", len(r.text or "") // 4
         edited = text[: len(text) - cut] + (after.text or "")[:cut]
         out = got[r.doc_id]
         assert out.n_chars == len(text) and out.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        by_print.setdefault(out.fingerprint, set()).add(text)
-        by_print.setdefault(out.edited_fingerprint, set()).add(edited)
-        assert (out.near_edited == 1) == (edited == text) and 0 <= out.near_next <= 1
-    assert all(len(x) == 1 for x in by_print.values())
+        mine = sections | {edited: sections_in(out.edited_fingerprint, edited)}
+        assert out.near_edited == pytest.approx(brute_likeness(text, edited, mine)), text
+        assert out.near_next == pytest.approx(brute_likeness(text, after.text or "", mine)), text
+        if text == edited:
+            assert out.edit_begin is None
+        else:
+            a, b = out.edit_begin, out.edit_end
+            tail = len(text) - b
+            assert text[:a] == edited[:a] and text[b:] == edited[len(edited) - tail :] and a <= len(text) - cut
+
+
+def test_merkle_locates_edits(spark):
+    base = [f"paragraph {i} says {i * i}." for i in range(300)]
+    cases = {"insert": base[:100] + ["new one"] + base[100:], "delete": base[:50] + base[53:], "reorder": base[:20] + base[40:60] + base[20:40] + base[60:], "change": base[:299] + ["last"], "none": base, "all": []}
+    join = lambda x: "".join(f"{p}\n" for p in x)
+    df = spark.createDataFrame([(n, join(base), join(x)) for n, x in cases.items()], "name string, a string, b string")
+    a, b = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
+    kept = df.select("*", a.alias("ta"), b.alias("tb"), merkle.fingerprint(a).alias("fa"), merkle.fingerprint(b).alias("fb"))
+    stored = kept.select("*", merkle.parsed(F.col("fa")).alias("pa"), merkle.parsed(F.col("fb")).alias("pb"))
+    for r in stored.select("name", "a", "b", merkle.differing(F.col("ta"), F.col("tb")).alias("d"), merkle.differing(F.col("pa"), F.col("pb")).alias("e"), merkle.likeness(F.col("ta"), F.col("tb")).alias("l"), merkle.likeness(F.col("pa"), F.col("pb")).alias("m"), (F.col("ta") == F.col("pa")).alias("same")).collect():
+        assert r.d == r.e and r.l == r.m and r.same
+        if r.name == "none":
+            assert r.d is None and r.l == 1
+            continue
+        lines = lambda x: "".join(join(base[:x]))
+        want = {"insert": (len(lines(100)), len(lines(100))), "delete": (len(lines(50)), len(lines(53))), "reorder": (len(lines(20)), len(lines(60))), "change": (len(lines(299)), len(r.a)), "all": (0, len(r.a))}[r.name]
+        assert (r.d.begin, r.d.end) == want and (r.l > 0.8 or r.name == "all")
+
+
+def test_merkle_hot_id(spark):
+    """An id that fills many ranges is cut by hash; the order stays that of id, hash and text."""
+    rows = [(7, f"text {i % 5000}") for i in range(9000)] + [(None, "x")] * 4000 + [(i, f"t{i}") for i in range(100)]
+    got = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text", "next_text").collect()
+    order = sorted(got, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h, r.text))
+    assert len(got) == len(rows) and all(a.next_text == b.text for a, b in zip(order, [*order[1:], order[0]]))
 
 
 def test_html(spark):
