@@ -1,33 +1,36 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
-Generators of high recall propose overlapping spans of four kinds: email, ip,
-card, phone. Boosted trees score each candidate from its format and from the
-text around it, and a threshold per kind, calibrated for precision on rows that
-the trees have not seen, selects what is redacted. Spans of the base patterns
-(see ``BASE``) are personal data by definition: they always stay, and the trees
-add spans of freer formats. A chosen span that overlaps another one of its kind
-gives way to a base span, then to the one that starts first.
+Generators of high recall propose overlapping spans of five kinds: email, ip,
+card, phone and secret (keys and tokens). Boosted trees score each candidate
+from its format and from the text around it, and a threshold per kind, calibrated
+for precision on rows that the trees have not seen, selects what is redacted.
+Spans of the base patterns (see ``BASE``) are personal data by definition: they
+always stay, and the trees add spans of freer formats. Of chosen spans of one kind
+that overlap, base ones stay first, then those of higher score.
 
 The trees are fitted by Spark's own gradient boosting on a bounded, labelled set
-that is generated from a rule (``EXAMPLES`` rows: proper items and look-alikes in
-neutral, telling and misleading surroundings), so neither the model nor its
-size depends on the corpus. They become one SQL expression, and detection is a
+(``EXAMPLES`` texts from ``pii_examples``: every surface form occurs as an item
+and as a look-alike, so only checks and surroundings tell them apart; a
+candidate is right if it is exactly the item), so neither the model nor its size
+depends on the corpus. They become one expression, and detection is a
 projection: no exchange, no state, and every row on its own.
 
 Defined results: a null text counts as empty; a text without spans gives zero
 counts and the digest of an empty string; positions are code points, end
 exclusive; texts of any length are searched whole; rows that repeat are searched
-alike; an empty table gives no rows; other columns are left alone.
+alike; an empty table gives no rows; a column named as the result is replaced,
+all others are left alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 
 #: Base patterns. Each finds what the plain pattern beside it finds, leftmost
 #: and non-overlapping, but cannot step back over a run again and again.
@@ -41,23 +44,44 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Candidates of freer format.
-FREER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40}+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{2,40}+(?: ?[\[({](?:dot|DOT)[\])}] ?[A-Za-z0-9-]{2,20}+)+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+_NAME, _HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+", r"[A-Za-z0-9-]{1,63}+"
+#: Generators of high recall: whatever might be an item, and much that is none.
+GENERATORS = (
+    ("email", rf"{_NAME} ?[\[({{<] ?(?i:at) ?[\])}}>] ?{_HOST}(?:[.][A-Za-z0-9-]{{2,24}}+| ?[\[({{<] ?(?i:dot) ?[\])}}>] ?[A-Za-z0-9-]{{2,24}}+){{1,4}}"),
+    ("email", rf"{_NAME} (?i:at) {_HOST}(?:[.][A-Za-z0-9-]{{2,24}}+){{1,4}}"),
+    ("email", rf"{_NAME} (?i:at) {_HOST}(?: (?i:dot) [A-Za-z0-9-]{{2,24}}+){{1,4}}"),
+    ("email", rf"{_NAME} ?@ ?{_HOST}(?:[.][A-Za-z0-9-]{{2,24}}+){{0,4}}"),
+    ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?: ?\[?[.]\]? ?[0-9]{1,3}){3}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z+])\(?[0-9]{1,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+.])[0-9]{7,12}(?![0-9A-Za-z])"),
+    ("secret", r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,127}[0-9])(?=[0-9_+/=.-]{0,127}[A-Za-z])[A-Za-z0-9_+/=.-]{16,128}(?<![.])(?![A-Za-z0-9_+/=-])"),
+)
+#: A cheap sign without which a text has no candidate at all.
+SIGN = r"[0-9]|@|[\[({<] ?(?i:at) ?[\])}>]| (?i:at) \S++(?: (?i:dot) |(?<=[A-Za-z0-9-][.][A-Za-z]{2,9}))"
+
+#: Code points of context on either side, texts of the generated set, precision to hold, rounds and depth of the trees.
+AROUND, EXAMPLES, PRECISION, ROUNDS, DEPTH = 28, 9000, 0.95, 14, 5
+
+#: Words that tell a kind, and words that tell against all.
+TELLING = {
+    "email": "e-?mails?|mail|contact|write|reach|inbox|courriel|correo|mailto|address|send|from",
+    "ip": "ips?|ipv[46]|host|server|gateway|subnet|ping|dns|connect|address|login|client|node|router",
+    "card": "cards?|visa|mastercard|amex|credit|debit|payment|paid|cc|karte|carte|tarjeta|charge|charged",
+    "phone": "phone|tel|telephone|call|mobile|fax|cell|whatsapp|sms|dial|telefon|ring|text|hotline|number",
+    "secret": "tokens?|key|secret|passwords?|passwd|pwd|api|api_key|auth|bearer|credentials?|access|private",
 }
-#: Cheap signs without which a text has no candidate of the kind.
-SIGN = {"email": r"@|[\[({](?:at|AT)[\])}]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[+][0-9]|[0-9]{3}[ .)-]"}
+MISLEADING = ("version|release|orders?|invoice|isbn|section|figure|parts?|serial|build|chapter|ratio|article|no|nr|ref|id|sku|tracking|ticket|commit|sha|sha1|checksum|md5|pages?|"
+              "date|dated|year|population|score|scored|coordinates|lat|lon|mac|time|file|image|slug|between|total|batch|item|model|rev|digest|hash|uuid|meet|look|arrived|stayed")
+#: Ends of common domains.
+DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|me|co|eu|de|fr|es|it|nl|be|ch|at|uk|us|ca|au|br|mx|ar|jp|cn|in|ru|pl|se|no|dk|fi|pt|ie"
+KIND = "array<struct<kind:int,start:int,end:int,base:boolean,match:string>>"
 
-#: Code points of context on either side, rows of the generated set, precision to hold, size of the trees.
-AROUND, EXAMPLES, PRECISION, ROUNDS, DEPTH = 24, 6000, 0.98, 12, 3
 
-#: Words that tell a kind, or tell against all.
-TELLING = r"(?i)\b(?:mail|email|e-mail|contact|phone|tel|call|mobile|fax|card|visa|credit|ip|host|address|server)\b"
-MISLEADING = r"(?i)\b(?:version|release|order|invoice|isbn|section|figure|part|serial|build|chapter|ratio|article|no)\b"
-KIND = "array<struct<kind:int,start:int,end:int,base:boolean,match:string>>"
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def digits(text: Column) -> Column:
@@ -109,60 +133,68 @@ def _is_base(k: int):
 
 
 def candidates(text: Column) -> Column:
-    """Base spans and freer candidates of every kind, sorted by kind and start."""
+    """Base spans and freer candidates of every kind."""
     every = []
-    for k, kind in enumerate(KINDS):
-        both = []
-        for pattern, base in ((BASE[kind], True), (FREER[kind], False)):
-            hits = found(text, pattern, k, base)
-            hits = F.filter(hits, _checked(kind)) if base else hits
-            both.append(F.when(F.regexp_like(text, F.lit(pattern)), hits).otherwise(F.array().cast(KIND)))
-        every.append(F.when(text.rlike(SIGN[kind]), F.concat(*both)).otherwise(F.array().cast(KIND)))
+    for kind, pattern, base in [(k, p, True) for k, p in BASE.items()] + [(k, p, False) for k, p in GENERATORS]:
+        hits = found(text, pattern, KINDS.index(kind), base)
+        hits = F.filter(hits, _checked(kind)) if base else hits
+        every.append(F.when(F.regexp_like(text, F.lit(pattern)), hits).otherwise(F.array().cast(KIND)))
     return F.concat(*every)
 
 
-FEATURES = ("kind", "size", "n_digits", "n_marks", "repeats", "checks", "telling", "misleading", "letter_near", "digit_near", "quoted")
+def _flag(test: Column) -> Column:
+    return F.when(test, 1.0).otherwise(0.0)
 
 
 def features(kind: Column, match: Column, before: Column, after: Column) -> list[Column]:
     """Numbers the trees look at: the match's format, then its surroundings."""
     d = digits(match)
+    words = lambda w: rf"(?i)(?<![A-Za-z]){'(?:' + w + ')'}(?![A-Za-z])"
+    own = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]))) for k, name in enumerate(KINDS)])
+    near = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]) + r"[^A-Za-z]*(?:[A-Za-z]{1,3}[^A-Za-z]*)?$")) for k, name in enumerate(KINDS)])
     return [
         kind.cast("double"), F.length(match).cast("double"), F.length(d).cast("double"),
         F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")).cast("double"),
-        F.length(F.regexp_replace(d, r"(.)\1+", "$1")).cast("double"),
-        F.when((F.length(d) > 0) & luhn(F.when(F.length(d) > 0, d).otherwise(F.lit("0"))), 1.0).otherwise(0.0),
-        before.rlike(TELLING).cast("double"), before.rlike(MISLEADING).cast("double"),
-        F.when(before.rlike(r"[A-Za-z]$") | after.rlike("^[A-Za-z]"), 1.0).otherwise(0.0),
-        F.when(before.rlike(r"[0-9][^A-Za-z]?$") | after.rlike("^[^A-Za-z]?[0-9]"), 1.0).otherwise(0.0),
-        F.when(before.rlike("[\"'#=/_]$"), 1.0).otherwise(0.0),
+        F.length(F.regexp_replace(match, "[^A-Za-z]", "")).cast("double"),
+        F.length(F.regexp_replace(match, "[^A-Z]", "")).cast("double"),
+        _flag((F.length(d) > 0) & luhn(F.when(F.length(d) > 0, d).otherwise(F.lit("0")))),
+        F.size(F.array_distinct(F.split(F.lower(match), ""))).cast("double"),
+        F.size(F.split(match, r"[^0-9A-Za-z]+")).cast("double"),
+        F.length(F.regexp_extract(match, r"([0-9]+)[^0-9]*$", 1)).cast("double"),
+        F.length(F.regexp_extract(match, r"^[^0-9]*([0-9]+)", 1)).cast("double"),
+        F.when(F.length(d) > 0, F.left(d, F.lit(1))).otherwise(F.lit("-1")).cast("double"),
+        _flag(match.rlike(r"^[(]?(?:(?:19|20)[0-9]{2}[-./ ]+[0-9]{1,2}[-./ ]+[0-9]{1,2}|[0-9]{1,2}[-./ ]+[0-9]{1,2}[-./ ]+(?:19|20)?[0-9]{2}|(?:19|20)[0-9]{2}[-/ ]+(?:19|20)[0-9]{2})[)]?$")),
+        _flag(match.rlike(r"^(?:AKIA|ghp_|gho_|sk-|sk_|xox[bp]-|eyJ|glpat-)")),
+        _flag(match.rlike("^[0-9a-fA-F]+$")),
+        _flag(match.rlike(rf"(?i)(?:[.]|dot[^a-z]{{0,2}})(?:{DOMAINS})$")),
+        _flag(F.forall(F.split(match, r"[^0-9]+"), lambda x: (F.length(x) == 0) | x.rlike("^(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"))),
+        _flag(match.rlike("::")), F.size(F.split(match, ":")).cast("double"),
+        _flag(match.rlike(r"[.+_%-][A-Za-z0-9]|[0-9]") & (kind == 0)),
+        _flag(match.rlike("[()\\[{<]")),
+        _flag(match.rlike(r"[a-z]{3,}[-_/.][a-z]{3,}[-_/.][a-z]{3,}")),
+        _flag(own), _flag(near), _flag(before.rlike(words(MISLEADING))),
+        _flag(before.rlike(words(MISLEADING) + r"[^A-Za-z]*$")),
+        _flag(before.rlike(r"[A-Za-z]$") | after.rlike("^[A-Za-z]")),
+        _flag(before.rlike(r"[0-9][^A-Za-z]?$") | after.rlike("^[^A-Za-z,;]?[0-9]")),
+        _flag(before.rlike("[\"'`]$")), _flag(before.rlike(r"[=:] ?[\"'`]?$")), _flag(before.rlike("[#$€£/_-]$")),
+        _flag(after.rlike(r"^ ?(?:%|km|kg|cm|mm|ms|px|GB|MB|EUR|USD|euros?|dollars?|people|pieces|points|years?)(?![A-Za-z])")),
     ]
 
 
 def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
-    """The generated, labelled set: kind, match, before, after, label, part (0 to fit on, 1 to calibrate on).
-
-    Proper items stand in neutral or telling surroundings; look-alikes (order
-    numbers, versions, measures, parts of longer numbers) in misleading or neutral ones.
-    """
-    u = lambda salt, m: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(m))
-    num = lambda salt, w: F.lpad(u(salt, 10**w).cast("string"), w, "0")
-    word = lambda salt: F.element_at(F.array(*[F.lit(x) for x in ("lorem", "the", "with", "nova", "and", "sur", "von", "para", "item", "deno")]), (u(salt, 10) + 1).cast("int"))
-    rows = spark.range(n).withColumn("kind", u("kind", 4).cast("int")).withColumn("label", u("label", 2).cast("int"))
-    good = (F.when(F.col("kind") == 0, F.concat(word("a"), num("b", 2), F.lit(" [at] "), word("c"), F.lit(" [dot] com")))
-            .when(F.col("kind") == 1, F.concat_ws(":", *[F.substring(F.sha2(F.concat(F.lit(str(i)), F.col("id").cast("string")), 256), 1, 4) for i in range(8)]))
-            .when(F.col("kind") == 2, F.concat_ws(".", F.concat(F.lit("4"), num("d", 3)), num("e", 4), num("f", 4), num("g", 4)))
-            .otherwise(F.concat(F.lit("("), num("h", 3), F.lit(") "), num("i", 3), F.lit("-"), num("j", 4))))
-    bad = (F.when(F.col("kind") == 0, F.concat(word("a"), F.lit(" (at) "), word("c"), F.lit("(dot)"), word("k")))
-           .when(F.col("kind") == 1, F.concat_ws(":", *[num(f"t{i}", 2) for i in range(8)]))
-           .when(F.col("kind") == 2, F.concat_ws("/", num("d", 4), num("e", 4), num("f", 4), num("g", 4)))
-           .otherwise(F.concat_ws(" ", num("h", 3), num("i", 3), num("j", 4))))
-    tell = F.element_at(F.array(*[F.lit(x) for x in ("contact: ", "phone ", "card ", "mail ", "host ", "call ")]), (u("l", 6) + 1).cast("int"))
-    mislead = F.element_at(F.array(*[F.lit(x) for x in ("order ", "version ", "serial #", "isbn ", "build ", "12 ")]), (u("m", 6) + 1).cast("int"))
-    neutral = F.concat(word("n"), F.lit(" "), word("o"), F.lit(" "))
-    before = (F.when((F.col("label") == 1) & (u("p", 2) == 0), F.concat(neutral, tell)).when((F.col("label") == 0) & (u("p", 4) > 0), F.concat(neutral, mislead)).otherwise(neutral))
-    after = F.when((F.col("label") == 0) & (u("q", 3) == 0), F.concat(F.lit("-"), num("r", 3))).otherwise(F.concat(F.lit(" "), word("s")))
-    return rows.select("kind", F.when(F.col("label") == 1, good).otherwise(bad).alias("match"), before.alias("before"), after.alias("after"), F.col("label").cast("double").alias("label"), u("part", 3).cast("int").alias("part")).withColumn("part", F.when(F.col("part") == 2, 1).otherwise(0))
+    """The generated, labelled set, one row per candidate: kind, f, label, part (0 to fit on, 1 to calibrate on)."""
+    from gridwork.llm.pii_examples import labelled
+
+    rows = json.dumps([{"id": i, "text": t, "kind": k, "start": a, "end": b} for i, (t, k, a, b) in enumerate(labelled(n, 11))])
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<id:int,text:string,kind:int,start:int,end:int>>")).alias("r")).select("r.*")
+    table = table.withColumn("x", F.explode(F.filter(candidates(F.col("text")), lambda x: ~x["base"])))
+    right = (F.col("x.kind") == F.col("kind")) & (F.col("x.start") == F.col("start")) & (F.col("x.end") == F.col("end"))
+    return table.select(F.col("x.kind").alias("kind"), F.array(*_features_at(F.col("text"), F.col("x"))).alias("f"), F.coalesce(right, F.lit(False)).cast("double").alias("label"), F.when(F.col("id") % 3 == 2, 1).otherwise(0).alias("part"))
+
+
+def _features_at(text: Column, x: Column) -> list[Column]:
+    before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
+    return features(x["kind"], x["match"], before, F.substring(text, x["end"] + 1, F.lit(AROUND)))
 
 
 def _as_sql(description: str, depth_first: bool = True) -> str:
@@ -194,14 +226,13 @@ def model(spark: SparkSession) -> tuple[str, list[float]]:
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.functions import array_to_vector
 
-        rows = examples(spark).coalesce(1)
-        rows = rows.select("label", "part", "kind", F.array(*features(F.col("kind"), F.col("match"), F.col("before"), F.col("after"))).alias("f")).persist()
+        rows = examples(spark).coalesce(1).persist()
         fit = rows.filter("part = 0").select("label", array_to_vector("f").alias("features"))
-        trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, cacheNodeIds=True).fit(fit)
+        trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, maxBins=24, cacheNodeIds=True).fit(fit)
         parts = [f"{w!r} * ({_as_sql(t.toDebugString.split(chr(10), 1)[1])})" for t, w in zip(trees.trees, trees.treeWeights)]
         score = " + ".join(parts)
         # The lowest margin at which the kind's unseen rows are as precise as asked, in steps of a tenth.
-        steps = rows.filter("part = 1").select("kind", "label", F.expr(score).alias("s")).withColumn("step", F.explode(F.array(*[F.lit(i / 10) for i in range(0, 16)]))).filter("s >= step")
+        steps = rows.filter("part = 1").select("kind", "label", F.expr(score).alias("s")).withColumn("step", F.explode(F.array(*[F.lit(i / 10) for i in range(-10, 16)]))).filter("s >= step")
         precise = steps.groupBy("kind", "step").agg(F.avg("label").alias("p")).filter(F.col("p") >= PRECISION).groupBy("kind").agg(F.min("step").alias("t"))
         least = {r.kind: r.t for r in precise.collect()}
         rows.unpersist()
@@ -209,31 +240,37 @@ def model(spark: SparkSession) -> tuple[str, list[float]]:
     return _MODELS["it"]
 
 
-def spans(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
-    """Every column of ``df`` and ``to``: array of (kind, start, end, base, match), sorted by kind and start."""
-    score, thresholds = model(df.sparkSession)
-    # Most texts have no sign of any kind and skip all of this.
-    whole = F.coalesce(F.col(text), F.lit(""))
-    sign = whole.rlike(r"@|[0-9]|[\[({](?:at|AT)[\])}]")
-    rows = df.withColumn("_found", F.when(sign, candidates(whole)).otherwise(F.array().cast(KIND)))
+def spans_of(spark: SparkSession, text: Column) -> Column:
+    """Array of (kind, start, end, base, match), sorted by kind and start, of a text that is not null."""
+    score, thresholds = model(spark)
     limit = F.array(*[F.lit(float(t)) for t in thresholds])
+    scored = lambda x: F.struct(x.alias("x"), let(F.array(*_features_at(text, x)), lambda f: _evaluate(score, f)).alias("s"))
+    touch = lambda x, y: (x["kind"] == y["kind"]) & (x["start"] < y["end"]) & (y["start"] < x["end"])
 
-    def scored(x: Column) -> Column:
-        before = F.substring(whole, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-        after = F.substring(whole, x["end"] + 1, F.lit(AROUND))
-        f = F.array(*features(x["kind"], x["match"], before, after))
-        return F.transform(F.array(f), lambda f: margin(f))[0]
+    def chosen(every: Column) -> Column:
+        return let(F.filter(every, lambda x: x["base"]), lambda base: F.concat(base, best(F.filter(every, lambda x: ~x["base"] & ~F.exists(base, lambda b: touch(x, b))))))
 
-    def margin(f: Column) -> Column:
-        """The trees' sum; rebuilt from the SQL text on the lambda's variable."""
-        return _evaluate(score, f)
+    def best(free: Column) -> Column:
+        """In order of place; of two that overlap the one of higher score stays, then the first."""
+        kept = F.filter(F.transform(free, scored), lambda y: y["s"] >= F.get(limit, y["x"]["kind"]))
+        placed = F.array_sort(F.transform(kept, lambda y: F.struct(y["x"]["kind"].alias("kind"), y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"].alias("x"), y["s"].alias("s"))))
 
-    free = F.transform(F.filter("_found", lambda x: ~x["base"]), lambda x: F.struct(x.alias("x"), scored(x).alias("s")))
-    free = F.transform(F.filter(free, lambda y: y["s"] >= F.get(limit, y["x"]["kind"])), lambda y: y["x"])
-    free = F.filter(free, lambda x: ~F.exists("_base", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rows = rows.withColumn("_base", F.filter("_found", lambda x: x["base"]))
-    rows = rows.withColumn(to, F.when(F.size("_found") > F.size("_base"), F.array_sort(F.concat("_base", free))).otherwise(F.col("_base")))
-    return rows.drop("_found", "_base")
+        def step(out: Column, y: Column) -> Column:
+            last = F.get(out, F.size(out) - 1)
+            shorter = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+            return (F.when(F.size(out) == 0, F.array(y)).when(~touch(last, y), F.concat(out, F.array(y)))
+                    .when(y["s"] > last["s"], F.concat(shorter, F.array(y))).otherwise(out))
+
+        nothing = F.array().cast(f"array<struct<kind:int,start:int,end:int,x:{KIND[6:-1]},s:double>>")
+        return F.when(F.size(placed) > 0, F.transform(F.aggregate(placed, nothing, step), lambda y: y["x"])).otherwise(F.array().cast(KIND))
+
+    # Most texts have no sign of any kind and skip all of this.
+    return F.when(text.rlike(SIGN), F.array_sort(let(candidates(text), chosen))).otherwise(F.array().cast(KIND))
+
+
+def spans(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+    """Every column of ``df`` and ``to``: array of (kind, start, end, base, match), sorted by kind and start."""
+    return df.withColumn(to, spans_of(df.sparkSession, F.coalesce(F.col(text), F.lit(""))))
 
 
 def _evaluate(sql: str, f: Column) -> Column:
@@ -275,27 +312,31 @@ def _evaluate(sql: str, f: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """The same columns; every span in ``text`` becomes its kind in brackets. Spans that overlap become one, named by the first."""
+    """The same columns; every span in ``text`` becomes its kind in brackets. Spans that overlap become one, named by the first; a null text stays null."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    rows = spans(df, text, "_spans")
-    by_place = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
+    whole = F.col(text)
+
+    def clean(found: Column) -> Column:
+        by_place = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+        def step(state: Column, x: Column) -> Column:
+            fresh = x["start"] >= state["at"]
+            piece = F.concat(F.substring(whole, state["at"] + 1, x["start"] - state["at"]), F.get(names, x["kind"]))
+            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
-        piece = F.concat(F.substring(F.col(text), state["at"] + 1, x["start"] - state["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        joined = F.aggregate(by_place, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
+        return F.when(F.size(found) > 0, joined).otherwise(whole)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(by_place, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*df.columns)
+    return df.withColumn(text, F.when(whole.isNotNull(), let(spans_of(df.sparkSession, whole), clean)))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, their digest, and all spans as text."""
+    """doc_id, counts of base spans by kind, their digest, all spans as text, and n_spans (how many they are)."""
     names = F.array(*[F.lit(k) for k in KINDS])
     rows = spans(docs.select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
     return rows.select(
-        "doc_id", *[F.size(F.filter("spans", _is_base(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+        "doc_id", *[F.size(F.filter("spans", _is_base(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -102,6 +102,78 @@ def test_pii_brute_force(spark, sf):
         assert set(want) <= set(r.spans.split(",")) | {""}
 
 
+def planted_texts(n=1500, seed=77):
+    """Texts with spans that the base patterns miss, and look-alikes; words, surroundings and numbers are not the training set's."""
+    r = __import__("random").Random(seed)
+    fill = "Yesterday our small team walked along a quiet canal while two friends discussed plans about music gardens and old trains".split()
+    some = lambda k: " ".join(r.choices(fill, k=k))
+    n4 = lambda: f"{r.randrange(10**4):04}"
+    three = lambda: str(r.randrange(200, 999))
+    name, host = lambda: r.choice(["maria.lopez", "j.smith", "peter_k", "anna88", "t.o.brien", "k-lee", "sam.w21"]), lambda: r.choice(["acme", "bigbank", "mail-hub", "uni-ulm", "shop24"])
+
+    def card():
+        body = r.choice("345") + "".join(r.choices("0123456789", k=14))
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    def good():
+        a, b, c, d = three(), three(), n4(), card()
+        hexes = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+        return r.choice([
+            ("email", lambda: f"{name()} [at] {host()} [dot] {r.choice(['com', 'org', 'de'])}", ""), ("email", lambda: f"{name()}(at){host()}(dot)net", ""),
+            ("email", lambda: f"{name()} at {host()} dot com", "please write to "), ("email", lambda: f"{name()} @ {host()}.org", ""), ("email", lambda: f"{name()} (at) {host()}.de", "my mail is "),
+            ("phone", lambda: f"({a}) {b}-{c}", ""), ("phone", lambda: f"{a}-{b}-{c}", ""), ("phone", lambda: f"{a}.{b}.{c}", "please call "), ("phone", lambda: f"{a} {b} {c}", "phone "),
+            ("phone", lambda: f"{a}-{b}-{c}", "tel: "), ("phone", lambda: f"0{three()[:2]} {n4()} {n4()}", "dial "), ("phone", lambda: f"{a}{b}{c}", "my mobile "),
+            ("card", lambda: ".".join(d[i : i + 4] for i in (0, 4, 8, 12)), ""), ("card", lambda: "_".join(d[i : i + 4] for i in (0, 4, 8, 12)), "visa card "), ("card", lambda: "/".join(d[i : i + 4] for i in (0, 4, 8, 12)), ""),
+            ("ip", lambda: ":".join(hexes(4) for _ in range(8)), ""), ("ip", lambda: f"2001:db8::{hexes(3)}:{hexes(2)}", "our server "), ("ip", lambda: f"{r.randrange(1, 255)}[.]{r.randrange(255)}[.]{r.randrange(255)}[.]{r.randrange(255)}", ""),
+            ("secret", lambda: hexes(40), 'token = "'), ("secret", lambda: hexes(32), "api_key: "), ("secret", lambda: "ghp_" + "".join(r.choices("abcdEFGH0123456789", k=36)), ""), ("secret", lambda: "AKIA" + "".join(r.choices("ABCDEFGH234567", k=16)), "secret "),
+        ])
+
+    def bad():
+        a, b, c = three(), three(), n4()
+        wrong = next(x for x in iter(lambda: "5" + "".join(r.choices("0123456789", k=15)), None) if not luhn(x))
+        hexes = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+        return r.choice([
+            lambda: f"order no. {a}-{b}-{c}", lambda: f"invoice {a}.{b}.{c}", lambda: f"serial no. {a} {b} {c}", lambda: f"on {r.randrange(1950, 2030)}-0{r.randrange(1, 9)}-{r.randrange(10, 28)}", lambda: f"from {r.randrange(1, 28)}.{r.randrange(1, 12)}.{r.randrange(1950, 2020)}",
+            lambda: f"in {r.randrange(1950, 2000)}-{r.randrange(2000, 2020)}", lambda: f"part no. {a}{b}{c}", lambda: f"about {a} {b} people", lambda: ".".join(wrong[i : i + 4] for i in (0, 4, 8, 12)), lambda: "/".join(wrong[i : i + 4] for i in (0, 4, 8, 12)),
+            lambda: f"at {r.randrange(10, 24)}:{r.randrange(10, 60)}:{r.randrange(10, 60)}", lambda: "mac " + ":".join(hexes(2) for _ in range(6)), lambda: f"version {r.randrange(9)}[.]{r.randrange(9)}[.]{r.randrange(9)}[.]{r.randrange(9)}", lambda: f"commit {hexes(40)}", lambda: f"md5 {hexes(32)}",
+            lambda: "they looked at canal.old trains", lambda: "meet (at) garden (dot) later", lambda: f"page-about-old-trains-{r.randrange(1950, 2020)}", lambda: f"paid 5 @ {r.randrange(10, 90)} each", lambda: f"score {r.randrange(10, 99)}-{r.randrange(10, 99)}",
+        ])
+
+    out = []
+    for i in range(n):
+        text, spans = some(4), []
+        for _ in range(2):
+            if r.random() < 0.5:
+                kind, make, before = good()
+                text += " " + before
+                item = make()
+                spans.append(f"{kind}:{len(text)}:{len(text) + len(item)}")
+                text += item + ('"' if before.endswith('"') else "")
+            else:
+                text += " " + bad()()
+            text += r.choice([" ", ". ", ", "]) + some(4)
+        out.append((i, text, spans))
+    return out
+
+
+def test_pii_added_spans(spark):
+    """Exact added spans on texts that the trees have not seen: precision and recall of at least 0.9 each."""
+    texts = planted_texts()
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.pii_report(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    found, want, right = {}, {}, {}
+    for i, text, spans in texts:
+        added = got[i] - set(base_spans(text))
+        for kind in pii.KINDS:
+            own = {s for s in spans if s.startswith(kind)}
+            mine = {s for s in added if s.startswith(kind)}
+            found[kind] = found.get(kind, 0) + len(mine)
+            want[kind] = want.get(kind, 0) + len(own)
+            right[kind] = right.get(kind, 0) + len(own & mine)
+    print({k: (round(right[k] / max(1, found[k]), 3), round(right[k] / want[k], 3)) for k in pii.KINDS})
+    assert sum(right.values()) >= 0.9 * sum(found.values()) and sum(right.values()) >= 0.9 * sum(want.values())
+    assert all(right[k] >= 0.8 * found[k] and right[k] >= 0.8 * want[k] for k in pii.KINDS)
+
+
 def test_tokens_brute_force(spark, sf):
     from tokenizers import Tokenizer
 
