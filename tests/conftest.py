@@ -11,12 +11,13 @@ DATA = os.environ.get("GRIDWORK_DATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (SparkSession.builder.master("local[8]").appName("gridwork-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
