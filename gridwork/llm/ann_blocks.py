@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwork.llm._common import written
+from gridwork.llm._common import in_batches, written
 
 #: Vectors in a candidate block and in a query block of one tile.
 CANDIDATE_BLOCK = 8192
@@ -102,7 +102,7 @@ def with_codes(rows: DataFrame, keep: str) -> DataFrame:
                 kept = [batch.column(batch.schema.get_field_index(c)).take(at) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (one, two)), *map(pa.array, rest)], [*names, *(c.split()[0] for c in CODES.split(", "))])
 
-    return rows.mapInArrow(run, f"{keep}, {CODES}")
+    return in_batches(rows, run, f"{keep}, {CODES}")
 
 
 def codes_of(table: pa.Table) -> tuple:
@@ -249,7 +249,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, candidate_bl
                 score = inner(matrix(part.column(4)), matrix(part.column(5)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(score), *part.columns[6:]], ["id", "dim", "h", "g", "score", "ids", "times"])
 
-    lists = both.mapInArrow(exact, scored)
+    lists = in_batches(both, exact, scored)
     if n_c.get(True) or n_q.get(True):
         lists = lists.unionByName(_unbounded(asked, held, "true", "wild", n_q, n_c, k, grid, scored)).unionByName(_unbounded(asked, held, "wild", "NOT wild", n_q, n_c, k, grid, scored))
     return _merged(lists, k)
@@ -310,7 +310,7 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema.names).cast(schema)
 
     ordered = lists.repartition(*own).sortWithinPartitions(*own)
-    return ordered.mapInArrow(merge, "query_id long, rank int, vec_id long, score double, query_hash long")
+    return in_batches(ordered, merge, "query_id long, rank int, vec_id long, score double, query_hash long")
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

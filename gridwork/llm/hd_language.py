@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwork.llm._chunks import slices
+from gridwork.llm._common import in_batches
 
 #: Symbols (0 is the gap, 1 to 26 are a to z), length of vectors and of n-grams, seed of the letters' vectors.
 SYMBOLS, DIM, N, SEED = 64, 1024, 3, 20_240_229
@@ -108,7 +109,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_pydict({"lang": [name], "hv": pa.array([whole.tolist()], pa.list_(pa.float64()))})
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    parts = rows.mapInArrow(run, "lang string, hv array<double>")
+    parts = in_batches(rows, run, "lang string, hv array<double>")
     sums = parts.select("lang", F.posexplode("hv").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     whole = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("hv"))  # DIM numbers a language
     found = {}
@@ -150,7 +151,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "te
                     score[a + i] = float(min(1.0, max(0.0, cosine[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwork.llm._chunks import slices
+from gridwork.llm._common import in_batches
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>|[^>]*>)))""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -256,7 +257,7 @@ def main_text(pages: DataFrame, html: str = "html", to: str = "text") -> DataFra
             found = [extract(x) for x in batch.column(batch.schema.get_field_index(html)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, to])
 
-    return pages.mapInArrow(run, schema)
+    return in_batches(pages, run, schema)
 
 
 def page_report(pages: DataFrame) -> DataFrame:

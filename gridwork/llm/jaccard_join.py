@@ -42,11 +42,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwork.llm._chunks import slices
-from gridwork.llm._common import written
+from gridwork.llm._common import in_batches, removed, written
 
 WORDS, PERCENT = 5, 80
-#: log2 of the sketch's width and of its pieces' width; a sketch takes 8 * 2**SKETCH_BITS bytes whatever the input.
-SKETCH_BITS, PIECE_BITS = 21, 16
+#: The sketch has a cell for so many bytes of text, within limits: log2 of its least and greatest width, and of its pieces' width.
+#: A task counts in 4 bytes a cell, the driver gets one byte a cell. Wider input makes counts coarser: more candidates, the same result.
+CELL_BYTES, LEAST_BITS, MOST_BITS, PIECE_BITS = 256, 16, 24, 14
 #: A shingle whose count may be above this meets by join, not in one window.
 LIGHT = 2000
 #: Places that more unsettled documents share are settled by differences from the leader, others pair by pair.
@@ -147,7 +148,7 @@ def ordered(found, ranks):
     import numpy as np
 
     low = found & np.uint64((1 << 56) - 1)
-    rank = ranks[(low & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    rank = ranks[(low & np.uint64(len(ranks) - 1)).astype(np.int64)].astype(np.uint64)
     return np.sort((rank << np.uint64(56)) | low).view(np.int64)
 
 
@@ -189,7 +190,7 @@ def _possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     held = signatures.join(_ids(pairs), "doc", "left_semi").distinct()
     both = (pairs.join(held.select(F.col("doc").alias("b"), F.col("sig").alias("y")), "b")
             .join(held.select(F.col("doc").alias("a"), F.col("sig").alias("x")), "a").select("a", "b", "x", "y"))
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(both, run, "a long, b long").distinct()
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -198,19 +199,26 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _statistics(docs: DataFrame) -> DataFrame:
+def _bits(docs: DataFrame) -> int:
+    """log2 of the sketch's width for the texts' bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // CELL_BYTES).bit_length()))
+
+
+def _statistics(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of two kinds: a document's n, digest and signature (row 0), or a task's piece of the sketch (row 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         names = ["row", "doc", "n", "k1", "k2", "piece", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            cells, n = np.unique((every & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
+            counts[cells] += n.astype(np.uint32)
             with np.errstate(over="ignore"):
                 k1 = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
                 k2 = [int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
@@ -224,29 +232,47 @@ def _statistics(docs: DataFrame) -> DataFrame:
             m = len(pieces)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1] * m, [None] * m, [0] * m, [0] * m, [0] * m, list(range(m)), pieces), kinds)], names)
 
-    return docs.mapInArrow(run, "row long, doc long, n long, k1 long, k2 long, piece int, counts binary")
+    return in_batches(docs, run, "row long, doc long, n long, k1 long, k2 long, piece int, counts binary")
 
 
-def _sketch(pieces: DataFrame):
-    """Counts over all documents (uint64 array of fixed width) from the tasks' pieces."""
+def _sketch(pieces: DataFrame, bits: int):
+    """Ranks (uint8 array, a byte a cell) by the counts over all documents, from the tasks' pieces."""
     import numpy as np
     import zstandard
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, object] = {}
-        for batch in batches:
-            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(zstandard.decompress(raw), np.uint64)
-                held[piece] = held[piece] + found if piece in held else found
+        held = _added(batches)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in held.values()], pa.binary())})
 
-    schema = "piece int, counts binary"
-    # One row per task and piece becomes one per task, then one per piece: the driver gets the sketch once.
-    whole = pieces.mapInArrow(add, schema).repartition("piece").mapInArrow(add, schema)
-    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in whole.collect():
-        counts[row.piece << PIECE_BITS : (row.piece + 1) << PIECE_BITS] += np.frombuffer(zstandard.decompress(bytes(row.counts)), np.uint64)
-    return counts
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _added(batches)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "ranks": pa.array([rank_of(x).tobytes() for x in held.values()], pa.binary())})
+
+    # One row per task and piece becomes one per task, then one per piece: the driver gets a byte a cell, once.
+    whole = in_batches(in_batches(pieces, add, "piece int, counts binary").repartition("piece"), ranked, "piece int, ranks binary")
+    ranks = np.zeros(1 << bits, np.uint8)
+    for row in whole.toLocalIterator():
+        ranks[row.piece << PIECE_BITS : (row.piece + 1) << PIECE_BITS] = np.frombuffer(row.ranks, np.uint8)
+    return ranks
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict:
+    import numpy as np
+    import zstandard
+
+    held: dict = {}
+    for batch in batches:
+        for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(zstandard.decompress(raw), np.uint64)
+            held[piece] = held[piece] + found if piece in held else found
+    return held
+
+
+def rank_of(counts):
+    """Counts on a logarithmic scale, one byte each; 7 bits keep order keys positive."""
+    import numpy as np
+
+    return np.minimum(127, np.rint(4 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, held) -> DataFrame:
@@ -264,7 +290,7 @@ def _prefixes(docs: DataFrame, held) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["doc", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n int, keys binary")
+    return in_batches(docs, run, "doc long, n int, keys binary")
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
@@ -284,7 +310,7 @@ def _entries(prefixes: DataFrame) -> DataFrame:
                 pa.array(np.repeat(rare, sizes)),
             ], ["key", "doc", "n", "pos", "rare"])
 
-    return prefixes.mapInArrow(run, "key long, doc long, n int, pos int, rare int")
+    return in_batches(prefixes, run, "key long, doc long, n int, pos int, rare int")
 
 
 def _sets(docs: DataFrame, held) -> DataFrame:
@@ -296,7 +322,7 @@ def _sets(docs: DataFrame, held) -> DataFrame:
             sets = shingles([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(s, ranks).tobytes() for s in sets], pa.binary())], ["doc", "keys"])
 
-    return docs.mapInArrow(run, "doc long, keys binary")
+    return in_batches(docs, run, "doc long, keys binary")
 
 
 def suffix_allows(x, y, allowed: int, depth: int = 2) -> bool:
@@ -337,10 +363,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = (pairs.join(sets.select(F.col("doc").alias("b"), F.col("keys").alias("y")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("keys").alias("x")), "a").select("a", "b", "x", "y"))
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(both, run, "a long, b long").distinct()
 
 
-def _by_difference(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+def _by_difference(crowd: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
     """Candidate pairs (a, b) among documents that share a leader at a crowded place: crowd is (a: leader, b: document, root).
 
     With X and Y the symmetric differences of x and y from their leader L, x
@@ -374,7 +400,7 @@ def _by_difference(crowd: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = (crowd.join(sets.select(F.col("doc").alias("b"), F.col("keys").alias("x")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("keys").alias("l")), "a").select("a", "b", "root", "l", "x"))
-    rows = written(both.mapInArrow(run, "lead long, el long, doc long, n int, root long, pos int, size int, first boolean, far boolean"), "differences")
+    rows = written(in_batches(both, run, "lead long, el long, doc long, n int, root long, pos int, size int, first boolean, far boolean"), "differences", scratch)
     own = ("doc", "n", "root", "pos", "size")
     x = rows.filter("first").select("lead", "el", *(F.col(c).alias(f"{c}_x") for c in own))
     y = rows.filter("far").select("lead", "el", *(F.col(c).alias(f"{c}_y") for c in own))
@@ -397,17 +423,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round ties all neighbours of a node to the smallest of them, first the
     larger ones, then the smaller: paths shrink by half, stars stay stars. Rounds
-    go on until nothing changes; each is written out.
+    go on until nothing changes; each is written out, and so are the smallest
+    neighbours, so that the join of a node with very many can be split.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    spark = links.sparkSession
+    scratch: list[str] = []
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", scratch)
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least", scratch)
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", scratch)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least", scratch)
         small = large.join(least, "u")
-        edges = written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        edges = written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges", scratch)
+        removed(spark, scratch[:-1])
+        scratch = scratch[-1:]
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -418,40 +449,39 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (the smallest id of an equal set) for every row of (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    found = written(_statistics(rows), "statistics")
-    counts = _sketch(found.filter("row = 1").select("piece", "counts"))
-    import numpy as np
-
-    # Ranks on a logarithmic scale, one byte each; 7 bits keep order keys positive.
-    held = spark.sparkContext.broadcast(np.minimum(127, np.rint(4 * np.log2(1.0 + counts))).astype(np.uint8))
+    scratch: list[str] = []  # tables that the result doesn't read
+    bits = _bits(rows)
+    found = written(_statistics(rows, bits), "statistics")
+    held = spark.sparkContext.broadcast(_sketch(found.filter("row = 1").select("piece", "counts"), bits))
     sizes = found.filter("row = 0").select("doc", "n", "k1", "k2")
     solo = sizes.filter("n > 0 AND doc IS NOT NULL")
     repeats = not solo.groupBy("doc").count().filter("count > 1").isEmpty()
-    classes = solo.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
-    member = written(solo.join(classes, ["n", "k1", "k2"]).select("doc", "n", "rep").distinct(), "members")
+    # Written, so that the join of a class of very many copies can be split.
+    classes = written(solo.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep")), "classes", scratch)
+    member = solo.join(classes, ["n", "k1", "k2"]).select("doc", "n", "rep")
+    member = written(member.distinct() if repeats else member, "members")
     reps = member.filter("doc = rep").select("doc", F.col("n").cast("int").alias("m")).distinct()
 
     prefixes = _prefixes(rows, held).join(reps, "doc").filter("n = m").select("doc", "n", "keys")
     entries = _entries(prefixes)
-    rank_of_light = int(np.floor(4 * np.log2(1.0 + LIGHT)))
-    light = F.shiftright("key", 56) <= rank_of_light
+    light = F.shiftright("key", 56) <= int(rank_of(LIGHT)) - 1
     window = Window.partitionBy("key")
     first = F.struct("rare", "n", "doc", "pos")
     near = entries.filter(light).withColumn("c", F.count("*").over(window)).filter("c > 1").withColumn("lead", F.min(first).over(window)).drop("c")
     heads = entries.filter(~light).groupBy("key").agg(F.count("*").alias("c"), F.min(first).alias("lead")).filter("c > 1").drop("c")
-    places = written(near.unionByName(entries.filter(~light).join(heads, "key")).filter("n IS NOT NULL"), "places")
+    places = written(near.unionByName(entries.filter(~light).join(heads, "key")).filter("n IS NOT NULL"), "places", scratch)
 
     leads = places.filter((F.col("doc") != F.col("lead.doc")) & _passes(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")))
-    stars = written(leads.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct(), "stars")
+    stars = written(leads.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct(), "stars", scratch)
     signatures = found.filter("row = 0 AND n > 0").select("doc", F.col("counts").alias("sig"))
-    likely = written(_possible(stars, signatures), "likely")
-    first_links = written(_verified(likely, _sets_of(rows, likely, held, repeats)), "links")
+    likely = written(_possible(stars, signatures), "likely", scratch)
+    first_links = written(_verified(likely, _sets_of(rows, likely, held, repeats, scratch)), "links", scratch)
     roots = components(first_links.unionByName(_repeats(member)))
 
     # Places whose documents are not all joined yet.
     named = places.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_keys = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).filter("r0 <> r1").select("key", "c")
-    named = written(named.join(open_keys, "key").select("key", "doc", "n", "pos", "root", F.col("lead.doc").alias("lead"), "c"), "open")
+    named = written(named.join(open_keys, "key").select("key", "doc", "n", "pos", "root", F.col("lead.doc").alias("lead"), "c"), "open", scratch)
     few = named.filter(F.col("c") <= CROWD)
     left = few.select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "root")))
     right = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "root")))
@@ -459,12 +489,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     more = more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     crowd = named.filter(F.col("c") > CROWD).filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), "root").distinct()
     if not crowd.isEmpty():
-        crowd = written(crowd, "crowd")
-        more = more.union(_by_difference(crowd, _sets_of(rows, crowd, held, repeats)))
+        crowd = written(crowd, "crowd", scratch)
+        more = more.union(_by_difference(crowd, _sets_of(rows, crowd, held, repeats, scratch), scratch))
     more = more.distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_possible(written(more, "pairs"), signatures), "likely")
-    late_links = _verified(more, _sets_of(rows, more, held, repeats))
+    more = written(_possible(written(more, "pairs", scratch), signatures), "likely", scratch)
+    late_links = _verified(more, _sets_of(rows, more, held, repeats, scratch))
     roots = components(first_links.unionByName(late_links).unionByName(_repeats(member)))
+    removed(spark, scratch)
+    held.destroy()
 
     joined = member.select("doc", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     joined = joined.groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("component_id"), F.min("rep").alias("class_id"))
@@ -480,12 +512,12 @@ def _repeats(member: DataFrame) -> DataFrame:
     return member.join(reps.select("doc", "a"), "doc").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
 
-def _sets_of(rows: DataFrame, pairs: DataFrame, held, repeats: bool) -> DataFrame:
+def _sets_of(rows: DataFrame, pairs: DataFrame, held, repeats: bool, scratch: list[str]) -> DataFrame:
     """The whole sets of the documents in ``pairs``, written: doc, keys."""
     wanted = rows.join(_ids(pairs), "doc", "left_semi")
     # Rows that repeat an id and text would meet each other again and again.
     wanted = wanted.dropDuplicates(["doc", "text"]) if repeats else wanted
-    return written(_sets(wanted, held), "sets")
+    return written(_sets(wanted, held), "sets", scratch)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

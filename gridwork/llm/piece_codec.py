@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwork.llm._chunks import ChunkMemory, by_separator, released, segments, slices
+from gridwork.llm._common import in_batches
 
 MARK = "▁"
 #: Fixed values of the model file: kinds of pieces and of models.
@@ -268,7 +269,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", to: str = "ids",
                 found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "i4")])), mask=texts.is_null() if texts.null_count else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -283,7 +284,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded"
             out = [codec.decode(column[k].values.to_numpy().tolist()) if column[k].is_valid else None for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
@@ -313,4 +314,4 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
                 ], ["doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip", "n_fallen"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean, n_fallen long")
+    return in_batches(docs, run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean, n_fallen long")

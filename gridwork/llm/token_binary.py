@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwork.llm._chunks import ChunkMemory, by_separator, released, segments, slices
-from gridwork.llm._common import fresh_path, written
+from gridwork.llm._common import fresh_path, in_batches, written
 
 # Fixed values of the zstandard seekable format.
 IDS_MAGIC = 0x184D2A50
@@ -179,7 +179,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, pa
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     sort = rows.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return written(sort.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
+    return written(in_batches(sort, write, "part long, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 shard.close()
 
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return in_batches(shards, read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -58,6 +58,29 @@ def test_jaccard_brute_force(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd, light", [(2, 1), (48, 1)])
+def test_jaccard_crowded_places(spark, monkeypatch, crowd, light):
+    """One passage in all texts, chains and groups of near copies: every place is crowded, heavy or both."""
+    r = __import__("random").Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows, shared = [], r.choices(words, k=40)
+    for g in range(12):
+        base = r.choices(words, k=60)
+        for v in range(9):
+            text = list(base)
+            for _ in range(v % 4):
+                text[r.randrange(60)] = r.choice(words)
+            rows.append((len(rows), " ".join(shared + text)))
+    chain = r.choices(words, k=100)
+    for _ in range(25):
+        chain = chain[3:] + r.choices(words, k=3)
+        rows.append((len(rows), " ".join(chain)))
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) < len(rows)
+
+
 def test_jaccard_odd(spark):
     rows = jaccard_join.jaccard_classes(odd(spark)).collect()
     assert len(rows) == 12
