@@ -1,20 +1,24 @@
 """Main-text extraction by minimum cut.
 
 A page becomes a list of text blocks, each with the chain of elements it lies
-in. A classifier turns a block's chain, link density, length and punctuation
-into the cost of calling it content and the cost of calling it boilerplate;
-these are its capacities to the two terminals. Neighbouring blocks and blocks
-of one parent element are tied by smoothness edges. The maximum flow gives the
+in. A logistic classifier, fitted on a bounded set of generated pages
+(``html_examples``: EXAMPLES of them, whatever the input), turns a block's chain,
+link density, length and punctuation into a probability; the negative logarithms
+of both labels' probabilities are the block's capacities to the two terminals.
+Neighbouring blocks and blocks of one parent element are tied by smoothness
+edges on the same scale, whose capacities are those of the best token F1 on
+generated pages that the classifier has not seen. The maximum flow gives the
 cheapest labelling, and the blocks on the source's side are the main text.
 
 Defined results: a null or empty page, or one without content, gives an empty
 text and 0 characters; text without any tag is content; an element left open
-ends with its parent (script, style, textarea and title: with the page), and
+ends with its parent (script: with the page; style, textarea and title: at the next tag), and
 what it holds is then read even if its kind is not, so a missing end of a
 canvas or noscript loses no article; what an attribute hides (hidden,
 aria-hidden=true, style display:none) is not read; white space of any kind
 inside a block is one space; a page of any length is read whole; repeated rows
-are extracted alike; an empty table gives no rows; other columns are left alone.
+are extracted alike; an empty table gives no rows; a column named as the
+result is replaced, all others are left alone.
 """
 
 from __future__ import annotations
@@ -43,28 +47,29 @@ RAW = frozenset("script style textarea title".split())
 UNREAD = frozenset("noscript template svg iframe object canvas select option datalist head annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
                    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd semantics".split())
-SELF_CLOSING = frozenset("p h1 h2 h3 h4 h5 h6 dt dd tr td th option".split())
-
-#: Log-odds for content of an element in a block's chain, by its name.
-BY_TAG = {
-    "article": 6.0, "main": 3.0, "section": 0.2, "p": 1.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5,
-    "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -5.0,
-    "button": -12.0, "fieldset": -8.0, "address": -3.0, "ul": -0.5, "ol": -0.2, "table": -0.2,
-}
-#: Log-odds by a word of its class, id or role; the first group found counts once per element.
-BY_WORD = {
-    "article": 3.0, "content": 2.0, "post": 2.0, "story": 2.0, "entry": 2.0, "main": 2.0, "body": 0.5, "text": 1.0,
-    "ad": -12.0, "ads": -12.0, "advert": -12.0, "advertisement": -12.0, "sponsor": -12.0, "sponsored": -12.0, "promo": -12.0, "banner": -10.0,
-    "nav": -12.0, "navbar": -12.0, "navigation": -12.0, "menu": -12.0, "breadcrumb": -12.0, "breadcrumbs": -12.0, "sidebar": -12.0, "widget": -10.0,
-    "footer": -12.0, "header": -6.0, "masthead": -10.0, "topbar": -10.0, "copyright": -10.0, "legal": -8.0, "complementary": -12.0, "contentinfo": -12.0,
-    "cookie": -12.0, "cookies": -12.0, "consent": -12.0, "notice": -12.0, "gdpr": -12.0, "popup": -12.0, "modal": -12.0, "overlay": -10.0, "alert": -10.0,
-    "comment": -12.0, "comments": -12.0, "disqus": -12.0, "reply": -10.0, "replies": -10.0, "respond": -10.0, "discussion": -10.0,
-    "share": -10.0, "social": -10.0, "related": -10.0, "recommended": -10.0, "newsletter": -12.0, "subscribe": -12.0, "signup": -12.0, "login": -12.0, "search": -10.0, "pagination": -10.0, "pager": -10.0, "tags": -8.0, "toolbar": -10.0, "skip": -8.0,
+#: Elements that a block's start, or the start of one of the named, ends.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+
+#: Features of a block's chain: elements, and words of their class, id or role by group.
+TAGS = "article main section p blockquote pre figcaption nav footer aside form menu dialog header button fieldset address ul ol table".split()
+WORDS = {
+    "content": "article content post story entry main body text".split(),
+    "ads": "ad ads advert advertisement sponsor sponsored promo banner widget".split(),
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs sidebar complementary pagination pager toolbar search skip tags".split(),
+    "head": "footer header masthead topbar copyright legal contentinfo".split(),
+    "notice": "cookie cookies consent notice gdpr popup modal overlay alert login signup newsletter subscribe".split(),
+    "comment": "comment comments disqus reply replies respond discussion".split(),
+    "social": "share social related recommended".split(),
 }
+GROUP_OF = {w: g for g, words in WORDS.items() for w in words}
+#: Further features: heading, no element or word of the above, share of linked characters, length, end mark, and the constant.
+FEATURES = [*TAGS, *WORDS, "heading", "bare", "links", "length", "mark", "one"]
+PLACE = {f: i for i, f in enumerate(FEATURES)}
 #: Elements that may hold the whole page or its article: a word of their class never counts against them.
 WHOLE = frozenset("html body main article".split())
-#: Capacity of the edge between neighbours, and between the nearest blocks of one parent.
-NEXT_TO, SAME_PARENT = 0.6, 1.2
+#: Generated pages (half to fit on, half to choose the edges' capacities on), and capacities to choose from.
+EXAMPLES, CAPACITIES = 800, (0.0, 0.25, 0.5, 1.0, 1.5, 2.0)
 
 
 def words_of(attributes: str) -> list[str]:
@@ -84,27 +89,27 @@ def is_hidden(attributes: str) -> bool:
     return False
 
 
-def odds_of(tag: str, attributes: str) -> float:
-    """Log-odds that one element gives the blocks in it."""
-    odds = BY_TAG.get(tag, 0.0)
+def marks_of(tag: str, attributes: str) -> tuple[int, ...]:
+    """Features that one element gives the blocks in it: its name, and of its words the first group that speaks against content, else content."""
+    found = [PLACE[tag]] if tag in PLACE else []
     if "=" in attributes:
-        found = [BY_WORD[w] for w in words_of(attributes) if w in BY_WORD and (BY_WORD[w] > 0 or tag not in WHOLE)]
-        if found:
-            odds += min(found) if min(found) < 0 else max(found)
-    return odds
-
-
-def blocks_of(page: str) -> list[tuple[str, float, float, int]]:
-    """Blocks in page order: text, log-odds of its chain, share of linked characters, number of its parent element.
-
-    Of elements of one sign only the strongest two count, so deep nesting says no more than near nesting.
-    """
-    found: list[tuple[str, float, float, int]] = []
-    stack: list[tuple[str, float, int, tuple[int, int, str]]] = []  # open elements: name, own log-odds, number; and blocks, link and heading before it
+        groups = {GROUP_OF[w] for w in words_of(attributes) if w in GROUP_OF}
+        against = sorted(groups - {"content"})
+        if against and tag not in WHOLE:
+            found.append(PLACE[against[0]])
+        elif "content" in groups:
+            found.append(PLACE["content"])
+    return tuple(found)
+
+
+def blocks_of(page: str) -> list[tuple[str, frozenset[int], float, int]]:
+    """Blocks in page order: text, features of its chain, share of linked characters, number of its parent element."""
+    found: list[tuple[str, frozenset[int], float, int]] = []
+    stack: list[tuple[str, tuple[int, ...], int, int, int]] = []  # open elements: name, features, number; blocks and link before it
     parts: list[str] = []
     linked, in_link, count, at, n = 0, 0, 0, 0, len(page)
-    heading = ""
     hidden_at = -1
+    heading = PLACE["heading"]
 
     def flush() -> None:
         nonlocal linked
@@ -112,11 +117,21 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text and hidden_at < 0:
-                own = sorted(x[1] for x in stack)
-                odds = sum(o for o in own[:2] if o < 0) + sum(o for o in own[-2:] if o > 0)
-                found.append((text, odds + (1.0 if heading else 0.0), min(1.0, linked / len(text)), stack[-1][2] if stack else 0))
+                marks = frozenset(i for x in stack for i in x[1])
+                parent = next((x[2] for x in reversed(stack) if x[0] not in BLOCKS), 0)
+                found.append((text, marks, min(1.0, linked / len(text)), parent))
         linked = 0
 
+    def close(k: int, take_back: bool) -> None:
+        """Ends the open elements from place k on; with ``take_back`` what they hold is not read."""
+        nonlocal hidden_at, in_link
+        if take_back:
+            del found[stack[k][3] :]
+            in_link = stack[k][4]
+        del stack[k:]
+        if hidden_at >= len(stack):
+            hidden_at = -1
+
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
@@ -141,120 +156,202 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int]]:
                 in_link = 0 if m[1] else 1
         elif m[1]:
             flush()
-            if name in SELF_CLOSING:
-                heading = ""
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name in UNREAD:
-                        kept, in_link, heading = stack[k][3]
-                        del found[kept:]
-                    del stack[k:]
-                    if hidden_at >= len(stack):
-                        hidden_at = -1
+                    close(k, name in UNREAD)
                     break
         elif name in RAW:
             flush()
             if not m[3].endswith("/>"):
-                close = _CLOSE[name].search(page, at)
-                at = close.end() if close else n
+                tail = _CLOSE[name].search(page, at)
+                if tail:
+                    at = tail.end()
+                else:  # left open: a script takes the rest, others end at the next tag
+                    after = TOKEN.search(page, at) if name != "script" else None
+                    at = after.start() if after else n
         else:
             flush()
-            if name in SELF_CLOSING:
-                heading = name if name[0] == "h" else ""
-            if name in _ENDS and stack and stack[-1][0] == _ENDS[name]:
-                kept, in_link, heading = stack.pop()[3]
-                del found[kept:]
-                if hidden_at >= len(stack):
-                    hidden_at = -1
-            if name in SELF_CLOSING and name not in UNREAD:
-                continue
+            if stack and stack[-1][0] in BLOCKS:
+                close(len(stack) - 1, False)
+            while stack and name in ENDED_BY.get(stack[-1][0], ()):
+                close(len(stack) - 1, stack[-1][0] in ("option", "head"))
+                if name == "tr" or not stack:
+                    continue
+                break
             if name not in VOID and not m[3].endswith("/>"):
                 count += 1
                 if hidden_at < 0 and len(m[3]) > 6 and is_hidden(m[3]):
                     hidden_at = len(stack)
-                stack.append((name, odds_of(name, m[3]), count, (len(found), in_link, heading)))
+                marks = marks_of(name, m[3])
+                stack.append((name, (*marks, heading) if name in BLOCKS and name != "p" else marks, count, len(found), in_link))
     flush()
     return found
 
 
-#: Elements whose start ends another one that is left open.
-_ENDS = {"option": "option", "optgroup": "option", "body": "head"}
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_END_MARKS = ".!?…\"'”»:;。"
+
+
+def features_of(block: tuple[str, frozenset[int], float, int]) -> list[tuple[int, float]]:
+    """A block's features that are not 0."""
+    text, marks, links, _ = block
+    out = [(i, 1.0) for i in marks]
+    if not marks:
+        out.append((PLACE["bare"], 1.0))
+    return [*out, (PLACE["links"], links), (PLACE["length"], min(1.0, len(text) / 200)), (PLACE["mark"], float(text[-1] in _END_MARKS)), (PLACE["one"], 1.0)]
+
+
+def log_odds(block: tuple[str, frozenset[int], float, int], weights: list[float]) -> float:
+    """The classifier's log-odds for content: the difference of the costs of the two labels."""
+    return sum(weights[i] * x for i, x in features_of(block))
+
+
+def fitted(examples: list[list[tuple[str, frozenset[int], float, int]]]) -> list[float]:
+    """Weights of a logistic regression with an L2 penalty on labelled blocks, by Newton's method; a block's label is its text's first letter."""
+    import numpy as np
+
+    blocks = [b for page in examples for b in page]
+    x = np.zeros((len(blocks), len(FEATURES)))
+    for row, b in zip(x, blocks):
+        for i, v in features_of(b):
+            row[i] = v
+    y = np.array([b[0][0] == "c" for b in blocks], float)
+    w = np.zeros(len(FEATURES))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w.tolist()
 
 
-def costs(block: tuple[str, float, float, int]) -> tuple[float, float]:
-    """The classifier's costs of calling a block boilerplate and of calling it content."""
-    text, odds, links, _ = block
-    n = len(text)
-    odds += min(2.0, n / 100) - 0.5 - 5.0 * links
-    if text[-1] in ".!?…\"'”»:;。":
-        odds += 0.5
-    return max(odds, 0.0), max(-odds, 0.0)
+def edges_of(blocks: list[tuple[str, frozenset[int], float, int]], next_to: float, same_parent: float) -> list[tuple[int, int, float]]:
+    edges, last = [], {}
+    for i, block in enumerate(blocks):
+        if i and next_to:
+            edges.append((i - 1, i, next_to))
+        j = last.get(block[3])
+        if j is not None and same_parent:
+            edges.append((j, i, same_parent))
+        last[block[3]] = i
+    return edges
 
 
-def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the source's side of a minimum cut; augments along shortest paths.
+def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Whether each node is on the source's side of a minimum cut, by blocking flows over shortest paths.
 
-    Of all minimum cuts it is the one with the fewest nodes on the source's side.
+    ``odds`` is a node's capacity from the source less that to the sink: what both
+    have in common flows through in any case. Of all minimum cuts it is the one
+    with the fewest nodes on the source's side.
     """
-    excess = [a - b for a, b in zip(source, sink)]  # a path source-node-sink is saturated at once
-    near: list[dict[int, float]] = [{} for _ in excess]
+    n, tiny = len(odds), 1e-9
+    excess = list(odds)
+    near: list[list[int]] = [[] for _ in range(n)]  # places of arcs in head and left; an arc and its reverse are neighbours
+    head: list[int] = []
+    left: list[float] = []
     for a, b, c in edges:
-        near[a][b] = near[a].get(b, 0.0) + c
-        near[b][a] = near[b].get(a, 0.0) + c
-    tiny = 1e-12
+        near[a].append(len(head))
+        near[b].append(len(head) + 1)
+        head += (b, a)
+        left += (c, c)
     while True:
-        before: dict[int, int] = {i: -1 for i, x in enumerate(excess) if x > tiny}
-        queue, meet = list(before), -1
+        level = [-1] * n
+        queue = [i for i in range(n) if excess[i] > tiny]
         for i in queue:
-            for j, c in near[i].items():
-                if c > tiny and j not in before:
-                    before[j] = i
-                    if excess[j] < -tiny:
-                        meet = j
-                        break
+            level[i] = 0
+        depth = -1  # of the nearest node that can still take something
+        for i in queue:
+            if 0 <= depth <= level[i]:
+                break
+            for e in near[i]:
+                j = head[e]
+                if left[e] > tiny and level[j] < 0:
+                    level[j] = level[i] + 1
                     queue.append(j)
-            if meet >= 0:
+                    if excess[j] < -tiny and depth < 0:
+                        depth = level[j]
+        if depth < 0:
+            return [x >= 0 for x in level]
+        arc = [0] * n
+        for root in queue:
+            if level[root]:
                 break
-        if meet < 0:
-            return [i in before for i in range(len(excess))]
-        path, i = [], meet
-        while before[i] >= 0:
-            path.append((before[i], i))
-            i = before[i]
-        flow = min(excess[i], -excess[meet], *(near[a][b] for a, b in path))
-        excess[i] -= flow
-        excess[meet] += flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] += flow
-
-
-def extract(page: str | None) -> str:
+            path: list[int] = []
+            i = root
+            while excess[root] > tiny:
+                if excess[i] < -tiny and path:
+                    flow = min(excess[root], -excess[i], *(left[e] for e in path))
+                    excess[root] -= flow
+                    excess[i] += flow
+                    for e in path:
+                        left[e] -= flow
+                        left[e ^ 1] += flow
+                    path.clear()
+                    i = root
+                    continue
+                while arc[i] < len(near[i]):
+                    e = near[i][arc[i]]
+                    if left[e] > tiny and level[head[e]] == level[i] + 1 and level[head[e]] <= depth:
+                        break
+                    arc[i] += 1
+                else:
+                    if not path:
+                        break
+                    i = head[path.pop() ^ 1]
+                    arc[i] += 1
+                    continue
+                path.append(e)
+                i = head[e]
+
+
+def tokens_f1(kept: list[tuple[list, list[bool]]]) -> float:
+    """F1 of the words of blocks kept, against blocks whose text begins with c."""
+    right = found = want = 0
+    for blocks, side in kept:
+        for b, keep in zip(blocks, side):
+            size = b[0].count(" ") + 1
+            found += size * keep
+            want += size * (b[0][0] == "c")
+            right += size * (keep and b[0][0] == "c")
+    return 2 * right / max(1, found + want)
+
+
+_MODEL: list[tuple[list[float], float, float]] = []
+
+
+def model() -> tuple[list[float], float, float]:
+    """Weights, and the capacities of edges between neighbours and between the nearest blocks of one parent; made once per process."""
+    if not _MODEL:
+        from gridwork.llm.html_examples import pages
+
+        examples = [blocks_of(p) for p in pages(EXAMPLES, 5, WORDS)]
+        weights = fitted(examples[: EXAMPLES // 2])
+        rest = [(b, [log_odds(x, weights) for x in b]) for b in examples[EXAMPLES // 2 :]]
+        best = max(((tokens_f1([(b, min_cut(o, edges_of(b, x, y))) for b, o in rest]), -x - y, x, y) for x in CAPACITIES for y in CAPACITIES))
+        _MODEL.append((weights, best[2], best[3]))
+    return _MODEL[0]
+
+
+def extract(page: str | None, fit: tuple[list[float], float, float] | None = None) -> str:
     """The main text of one page."""
     blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    edges, last = [], {}
-    for i, block in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, NEXT_TO))
-        j = last.get(block[3])
-        if j is not None:
-            edges.append((j, i, SAME_PARENT))
-        last[block[3]] = i
-    both = [costs(b) for b in blocks]
-    side = min_cut([a for a, _ in both], [b for _, b in both], edges)
+    weights, next_to, same_parent = fit or model()
+    if not any(b[1] for b in blocks):  # no element says anything
+        return " ".join(b[0] for b in blocks)
+    side = min_cut([log_odds(b, weights) for b in blocks], edges_of(blocks, next_to, same_parent))
     return " ".join(b[0] for b, keep in zip(blocks, side) if keep)
 
 
 def main_text(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame:
     """Every column of ``pages`` and ``to``: the main text of the whole page."""
+    fit = model()
+    pages = pages.drop(to) if to != html else pages
     schema = T.StructType([*pages.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, html):
-            found = [extract(x) for x in batch.column(batch.schema.get_field_index(html)).to_pylist()]
+            found = [extract(x, fit) for x in batch.column(batch.schema.get_field_index(html)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, to])
 
     return in_batches(pages, run, schema)

@@ -422,6 +422,53 @@ def test_html_whole_article(page):
     assert html_cut.extract(page) == WORDS_OF_ARTICLE
 
 
+@pytest.mark.parametrize("page", [
+    f"<p class='advert'>Buy one of these today, they are cheap.</p>{ARTICLE}", f"<title>Never closed<body>{ARTICLE}</body>", f"<style>p {{}}<body>{ARTICLE}</body>", f"<table><tr><td class='sidebar'>Some words at the side.<td class=ad>more</table>{ARTICLE}",
+    f"{ARTICLE}<ul class='comments'><li>I liked it.<li>So did I.</ul>"])
+def test_html_broken_or_named_elements(page):
+    assert html_cut.extract(page) == WORDS_OF_ARTICLE
+
+
+def test_min_cut_exhaustive():
+    """Every labelling of small graphs: none is cheaper, and the cut has the fewest nodes of content among the cheapest."""
+    from itertools import product
+
+    r = __import__("random").Random(4)
+    for _ in range(300):
+        n = r.randrange(1, 8)
+        odds = [r.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(n)]
+        edges = [(a, b, r.choice([0.25, 0.5, 1.0, 2.0])) for a in range(n) for b in range(a) if r.random() < 0.5]
+        cost = lambda side: sum(o for s, o in zip(side, odds) if o > 0 and not s) - sum(o for s, o in zip(side, odds) if o < 0 and s) + sum(c for a, b, c in edges if side[a] != side[b])
+        best = min(product([False, True], repeat=n), key=lambda s: (round(cost(s), 9), sum(s)))
+        assert tuple(html_cut.min_cut(odds, edges)) == best
+
+
+def test_cut_changes_labels_for_the_better():
+    from gridwork.llm.html_examples import pages
+
+    weights, next_to, same_parent = html_cut.model()
+    cut, alone, changed = [], [], 0
+    for blocks in map(html_cut.blocks_of, pages(300, 99, html_cut.WORDS)):
+        odds = [html_cut.log_odds(b, weights) for b in blocks]
+        cut.append((blocks, html_cut.min_cut(odds, html_cut.edges_of(blocks, next_to, same_parent))))
+        alone.append((blocks, [o > 0 for o in odds]))
+        changed += sum(a != b for a, b in zip(cut[-1][1], alone[-1][1]))
+    assert changed > 0 and html_cut.tokens_f1(cut) > max(0.98, html_cut.tokens_f1(alone))
+
+
+def test_html_odd(spark):
+    began = __import__("time").time()
+    many = 40_000
+    long = "<html><body><nav>" + "<div>some words</div>" * many + "</nav><article>" + "<p>words of it that stay.</p>" * many + "</article></body></html>"
+    rows = [(1, "u", long, "clash"), (1, "u", long, "clash"), (None, None, "plain words, no tag", None), (3, "u", "<p>a<b", None), (4, "u", "<<<>>>&&&", None), (5, "u", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.text, r.n_chars) for r in html_cut.page_report(df).collect()}
+    whole = " ".join(["words of it that stay."] * many)
+    assert (1, whole, len(whole)) in got and (None, "plain words, no tag", 19) in got and (5, "", 0) in got and len(got) == 5
+    assert html_cut.main_text(df).columns == ["page_id", "url", "html", "text"] and html_cut.page_report(df.filter("false")).collect() == []
+    assert __import__("time").time() - began < 120
+
+
 def test_html_formula():
     page = "<article><p>The sum <math><semantics><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a + b</annotation></semantics></math> is shown in this sentence.</p></article>"
     assert html_cut.extract(page) == "The sum a+b is shown in this sentence."
