@@ -483,12 +483,58 @@ def test_chat_sql(spark, sf):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
+def fluid_amounts(sizes, weights, slot):
+    """Blocks of each source that the fluid mix has given before a slot, exactly."""
+    from fractions import Fraction
+
+    given, left, t = {s: Fraction(0) for s in sizes}, dict(sizes), Fraction(0)
+    while t < slot:
+        active = [s for s in sizes if given[s] < sizes[s]]
+        total = sum(Fraction(weights[s]) for s in active)
+        step = min([slot - t, *((sizes[s] - given[s]) * total / Fraction(weights[s]) for s in active)])
+        for s in active:
+            given[s] += step * Fraction(weights[s]) / total
+        t += step
+    return given
+
+
+@pytest.mark.parametrize("sizes", [{"a": 400, "b": 133, "c": 61, "d": 7, "e": 300}, {"a": 1}, {"a": 600, "b": 600}, {"a": 513, **{f"s{i}": 3 for i in range(60)}}])
+def test_pfair_lag(spark, sizes):
+    """Over several frames: no block early or late, and at every slot less than one block from the fluid mix."""
+    weights = {"a": 4.0, "b": 2.0, "c": 0.75}
+    of = {s: weights.get(s, 1.0) for s in sizes}
+    rows = sorted(pfair_mix.schedule(spark.createDataFrame(list(sizes.items()), "_source string, blocks long"), weights, 1.0).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(sum(sizes.values())))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    placed = {s: 0 for s in sizes}
+    for r in rows:
+        placed[r.name] += 1
+        assert r.block == placed[r.name]
+        if r.slot % 7 == 0 or r.slot < 300:
+            ideal = fluid_amounts(sizes, of, r.slot + 1)
+            assert all(abs(placed[s] - ideal[s]) < 1 for s in sizes)
+
+
+def test_pfair_bundles(spark, monkeypatch):
+    """More sources than a plan holds: every block once, and less than two blocks from the fluid mix of equal sources."""
+    monkeypatch.setattr(pfair_mix, "MOST_SOURCES", 12)
+    sizes = {f"s{i}": 10 for i in range(90)}
+    rows = sorted(pfair_mix.schedule(spark.createDataFrame(list(sizes.items()), "_source string, blocks long"), {"s0": 1.0}, 1.0).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(900)) and len({(r.name, r.block) for r in rows}) == 900
+    placed = {s: 0 for s in sizes}
+    for r in rows:
+        placed[r.name] += 1
+        assert r.block == placed[r.name] and all(abs(n - (r.slot + 1) / 90) < 2 for n in placed.values())
+
+
 def test_pfair(spark, sf):
     docs = documents(spark, sf)
     rows = pfair_mix.mix_report(docs, queries.MIX_WEIGHTS).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
-    assert all(r.release <= r.slot < max(r.deadline, r.release + 1) + 1 for r in rows)
+    assert all(r.release <= r.slot < r.deadline for r in rows)
     assert len({r.position for r in rows}) == len(rows)
+    clash = odd(spark).withColumn("slot", F.lit("x")).withColumn("position", F.lit("y"))
+    assert pfair_mix.mix(clash).select("position").distinct().count() == 12
 
 
 @pytest.mark.parametrize("f", [hd_language.language_report, merkle.fingerprint_report, pii.pii_report, pfair_mix.mix_report, lambda d: token_binary.token_report(d, queries.vocabulary("word_bpe_49k.json")), lambda d: piece_codec.codec_report(d, queries.vocabulary("piece_bpe_32k.model"))])
