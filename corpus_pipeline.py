@@ -8,6 +8,12 @@ mix        documents are put in the order of the Pfair mix of sources, and get
            their position in it
 encode     SentencePiece ids: doc_id, source, lang, position, n_tokens, ids;
            the mix is the rows in the order of position
+
+Defined results: a null or empty text has no letter, so language drops it; a null
+id, source or lang stays null, and rows are told apart by their texts; repeated
+rows are copies, of which near_dups keeps one; texts of any length are treated
+whole; an empty table gives no rows; extra columns of documents are carried along
+to mix, whose ``position`` replaces one of that name, and encode leaves them out.
 """
 
 from __future__ import annotations
@@ -25,8 +31,9 @@ LEAST_COSINE = 0.01
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = hd_language.learn(docs.filter(~hd_language.held_out()))
-    rows = hd_language.predict(docs, prototypes)
-    return rows.filter((F.col("lang_pred") != hd_language.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    # The documents' own columns stay apart, whatever their names.
+    rows = hd_language.predict(docs.select(F.struct(*docs.columns).alias("own"), F.col("text").alias("_text")), prototypes, "_text")
+    return rows.filter((F.col("lang_pred") != hd_language.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select("own.*")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
