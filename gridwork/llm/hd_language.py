@@ -13,8 +13,9 @@ vector per task and language, however long the texts are.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 and for every text when there is nothing to learn from; ties between languages
-go to the first name in order; repeated rows count as often as they occur; an
-empty table gives no rows; other columns are left alone.
+go to the first name in order; repeated rows count as often as they occur; texts
+of any length are read whole; an empty table gives no rows; columns named
+lang_pred and score are replaced, all others are left alone.
 """
 
 from __future__ import annotations
@@ -46,12 +47,12 @@ _SYMBOL_OF: list = []
 
 
 def _symbols():
-    """Symbol of each code point below 0x30000; made once per worker."""
+    """Symbol of each code point below 0x40000, beyond which there are no letters; made once per worker."""
     if not _SYMBOL_OF:
         import numpy as np
 
-        table = np.zeros(0x30000, np.int32)
-        for cp in range(0x30000):
+        table = np.zeros(0x40000, np.int32)
+        for cp in range(0x40000):
             if not 0xD800 <= cp < 0xE000 and (c := chr(cp)).isalpha():
                 low = ord(c.lower()[0])
                 table[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % (SYMBOLS - 27)
@@ -66,7 +67,7 @@ def grams(texts: list[str]):
     ends = np.cumsum([len(t) + N for t in texts])
     joined = (" " * N).join(texts) + " " * N
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    symbol = _symbols()[np.minimum(code, 0x2FFFF)]
+    symbol = _symbols()[np.minimum(code, 0x3FFFF)]
     g = symbol[:-2] * (SYMBOLS * SYMBOLS) + symbol[1:-1] * SYMBOLS + symbol[2:]
     at = np.flatnonzero(g)
     return g[at], np.searchsorted(ends, at, side="right")
@@ -122,6 +123,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text") -> DataFrame:
     """Every column of ``docs`` with lang_pred and score (the cosine, at least 0)."""
+    docs = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
     names = sorted(prototypes)
     held = docs.sparkSession.sparkContext.broadcast([prototypes[n] for n in names])
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

@@ -211,6 +211,89 @@ def test_tokens_brute_force(spark, sf):
         start += len(ids)
 
 
+def test_token_shards_random_access(spark, sf, tmp_path):
+    """Single documents, in any order, without decompressing others; damage is noticed in the damaged frame only."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    manifest = token_binary.write_token_shards(docs, queries.vocabulary("word_bpe_49k.json"), 2, f"{tmp_path}/shards").orderBy("part").collect()
+    whole = {r.doc_id: r.ids for r in token_binary.read_token_shards(spark.createDataFrame(manifest)).collect()}
+    assert len(whole) == docs.count() and sum(m.n_docs for m in manifest) == len(whole)
+    path = manifest[0].path
+    shard = token_binary.ShardReader(path)
+    for k in (len(shard) - 1, 0, len(shard) // 2):
+        assert shard.ids(k) == bytes(whole[shard.doc_ids[k]])
+    raw = bytearray(open(path, "rb").read())
+    raw[shard.begins[1] + int(shard.table[1, 0]) // 2] ^= 255
+    open(f"{tmp_path}/bad", "wb").write(raw)
+    bad = token_binary.ShardReader(f"{tmp_path}/bad")
+    assert bad.ids(0) == shard.ids(0) and bad.ids(2) == shard.ids(2)
+    with pytest.raises(Exception):
+        bad.ids(1)
+    open(f"{tmp_path}/short", "wb").write(raw[:-3])
+    with pytest.raises(ValueError):
+        token_binary.ShardReader(f"{tmp_path}/short")
+    assert token_binary.write_token_shards(docs.filter("false"), queries.vocabulary("word_bpe_49k.json")).collect() == []
+
+
+def message(*fields):
+    """A protobuf message of (number, value): bytes, text, float or int."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while True:
+            out += bytes([x & 127 | (128 if x > 127 else 0)])
+            x >>= 7
+            if not x:
+                return out
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("kind, own", [(1, False), (1, True), (2, True), (2, False)])
+def test_pieces_of_a_small_model(spark, tmp_path, kind, own):
+    """A unigram and a BPE model written by hand, with byte fallback and pieces of the user's own, against the sentencepiece library."""
+    import sentencepiece
+
+    words = ["\u2581", "a", "b", "c", "d", "ab", "abc", "\u2581a", "\u2581ab", "bc", "cd", "\u2581d", "dd", "\u2581b"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)] + ([("XY", 0.0, 4)] if own else [])
+    pieces += [(w, -1.0 - i / 7 if kind == 1 else -float(i), 1) for i, w in enumerate(words)]
+    model = message(*((1, message((1, p), (2, s), (3, k))) for p, s, k in pieces), (2, message((3, kind), (35, 1))), (3, message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    path = f"{tmp_path}/small.model"
+    open(path, "wb").write(model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = __import__("random").Random(2)
+    texts = ["", None, "abc d", "aXYb", "é", "  two  spaces ", "ab cd XY XYX"] + ["".join(r.choice("abcd  XYé") for _ in range(r.randrange(1, 60))) for _ in range(300)]
+    rows = piece_codec.decode(piece_codec.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path), path).collect()
+    for row in rows:
+        if row.text is None:
+            assert row.ids is None and row.decoded is None
+        else:
+            assert list(row.ids) == sp.encode(row.text) and row.decoded == sp.decode(list(row.ids)), row.text
+    report = piece_codec.codec_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert own or sum(x.n_fallen or 0 for x in report) <= 3  # equal sums of scores, rounded another way
+
+
+def test_pieces_decode(spark, sf):
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = documents(spark, sf).select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "\u2581x  y \n😀")], "doc_id long, text string"))
+    rows = piece_codec.decode(piece_codec.encode(docs, path), path).collect()
+    assert all(r.decoded == (None if r.text is None else r.text.replace("\u2581", " ")) == (None if r.text is None else sp.decode(list(r.ids))) for r in rows)
+    bad = piece_codec.decode(spark.createDataFrame([([3 + 0xC3],)], "ids array<int>"), path).collect()
+    assert bad[0].decoded == "\ufffd"
+
+
 def test_pieces_parity(spark, sf):
     import sentencepiece
 
@@ -591,6 +674,26 @@ def test_mix_reaches_the_end(spark, sf, tmp_path):
             assert abs(order[:end].count(s) - end * n / sum(blocks.values())) < pfair_mix.BLOCK
 
 
+def test_pipeline_odd(spark, sf):
+    """Nulls, copies, clashing columns and an empty table through all stages."""
+    import corpus_pipeline
+
+    docs = odd(spark).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(1)).withColumn("position", F.lit("p")).withColumn("ids", F.lit("i"))
+    for source, want in ((docs, True), (docs.filter("false"), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, source, sf)
+            if name in ("language", "near_dups", "pii"):
+                assert after.columns == source.columns
+            source = after
+        rows = source.collect()
+        assert len(rows) == len({r.position for r in rows}) and source.columns == ["doc_id", "source", "lang", "position", "n_tokens", "ids"]
+        if want:
+            # Not kept: no text, no letters, and what is a copy of another text.
+            assert {5, 8, 9} <= {r.doc_id for r in rows} <= {3, 5, 7, 8, 9}
+        else:
+            assert rows == []
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
