@@ -485,8 +485,11 @@ def merge_complexity(spark, sf):
 
 
 def queries() -> dict:
+    from gridwork import catalog_sheets  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(SQL)

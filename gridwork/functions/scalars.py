@@ -17,10 +17,14 @@ CURRENCY_NUMBER_SIGNS = "$€£¥₹₽₩₴"
 SIGN_CODES = (("€", "EUR"), ("$", "USD"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), ("₩", "KRW"))
 # Parts of a number format that make it a date format.
 DATE_PARTS = r"mm|dd|yy|m/d|d/m|h:|am/pm"
-# European locale ids whose decimals are written with a comma (German, French, Italian, Spanish).
-COMMA_LOCALES = {"407": "EUR", "40C": "EUR", "410": "EUR", "40A": "EUR", "C0A": "EUR"}
-# Locale ids with a currency of their own.
-LOCALE_CODES = COMMA_LOCALES | {"409": "USD", "809": "GBP", "411": "JPY", "1409": "CAD"}
+# Locale ids with a currency of their own (hexadecimal, and a decimal one among them).
+LOCALE_CODES = {
+    "407": "EUR", "40C": "EUR", "410": "EUR", "C0A": "EUR", "413": "EUR",
+    "409": "USD", "1009": "CAD", "1409": "CAD", "C09": "CAD", "809": "GBP", "0C09": "AUD",
+    "411": "JPY", "412": "KRW", "404": "CNY",
+}
+# Locale ids whose decimals are written with a comma.
+COMMA_LOCALES = ("407", "40C", "410", "C0A", "413", "816", "813", "40E", "415", "405", "406", "41D", "414", "422", "419")
 MAX_SERIAL = 2958465
 
 
@@ -58,6 +62,7 @@ def parse_date(text: Column) -> Column:
     t = F.trim(text)
     shapes = (
         (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", None),
+        (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
         (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
         (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"), (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"),
     )
@@ -110,22 +115,38 @@ def infer_text(text: Column) -> Column:
             .when(F.lower(t).isin("true", "false"), "Boolean").when(parse_date(t).isNotNull(), "DateTime").otherwise("Text"))
 
 
+BRACKET = r"\[\$([^\]-]*)(?:-([0-9A-Fa-f]+))?\]"
+
+
+def _choice(value: Column, pairs) -> Column:
+    return reduce(lambda e, kv: e.when(value == kv[0], kv[1]), pairs, F.when(F.lit(False), ""))
+
+
 def currency_code(fmt: Column) -> Column:
-    """ISO code of a number format: ``[$sign-locale]``, then ``[ISO]``, then a bare sign; else null."""
-    locale = F.upper(F.regexp_extract(fmt, r"\[\$[^\]-]*-([0-9A-Fa-f]+)\]", 1))
-    sign = F.regexp_extract(fmt, r"\[\$([^\]-]*)", 1)
-    iso = F.regexp_extract(fmt, r"\[\$?([A-Z]{3})\]", 1)
-    by_locale = reduce(lambda e, kv: e.when(locale == kv[0], kv[1]), LOCALE_CODES.items(), F.when(F.lit(False), ""))
-    by_sign = lambda t: reduce(lambda e, kv: e.when(t.contains(kv[0]), kv[1]), SIGN_CODES, F.when(F.lit(False), ""))
-    return F.coalesce(F.when(locale != "", by_locale), F.when(sign != "", by_sign(sign)), F.when(iso != "", iso), by_sign(fmt))
+    """ISO code of a number format: ``[$sign-locale]`` by locale, else by its whole sign, else none; without such a part ``[ISO]``, then a bare sign."""
+    locale, sign = F.upper(F.regexp_extract(fmt, BRACKET, 2)), F.regexp_extract(fmt, BRACKET, 1)
+    iso = F.regexp_extract(fmt, r"\[([A-Z]{3})\]", 1)
+    bare = reduce(lambda e, kv: e.when(fmt.contains(kv[0]), kv[1]), SIGN_CODES, F.when(F.lit(False), ""))
+    return (F.when(fmt.rlike(BRACKET), F.coalesce(_choice(locale, LOCALE_CODES.items()), _choice(sign, SIGN_CODES)))
+            .when(iso != "", iso).otherwise(bare))
 
 
 def currency_confidence(fmt: Column) -> Column:
-    """Unambiguous where a locale or an ISO code names the currency, Low for a bare sign, null without currency."""
-    sure = fmt.rlike(r"\[\$[^\]-]*-[0-9A-Fa-f]+\]") | fmt.rlike(r"\[\$?[A-Z]{3}\]")
+    """Unambiguous where a locale or an ISO code names the currency, Low for a sign alone, null without currency."""
+    sure = F.when(fmt.rlike(BRACKET), F.regexp_extract(fmt, BRACKET, 2) != "").otherwise(fmt.rlike(r"\[[A-Z]{3}\]"))
     return F.when(currency_code(fmt).isNull(), None).when(sure, "Unambiguous").otherwise("Low")
 
 
+def separators(fmt: Column) -> Column:
+    """(decimal, thousand): as the format writes them, the other way about in locales with a decimal comma."""
+    decimal, thousand = F.regexp_extract(fmt, "0([.,])0", 1), F.regexp_extract(fmt, "#([.,])##", 1)
+    other = lambda c: F.when(c == ".", ",").otherwise(".")
+    d = F.when(decimal != "", decimal).when(thousand != "", other(thousand)).otherwise(".")
+    t = F.when((decimal != "") & (thousand != ""), thousand).otherwise(other(d))
+    comma = F.upper(F.regexp_extract(fmt, BRACKET, 2)).isin(*COMMA_LOCALES)
+    return F.struct(F.when(comma, t).otherwise(d).alias("decimal"), F.when(comma, d).otherwise(t).alias("thousand"))
+
+
 def decimal_places(fmt: Column) -> Column:
     return F.length(F.regexp_extract(fmt, r"[.,](0+)", 1))
 
@@ -221,6 +242,62 @@ def render_double(x: Column) -> Column:
     return F.when(whole, F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(x.cast("string"), "E(?=[0-9])", "E+"))
 
 
+def is_display_date(fmt: Column) -> Column:
+    """Whether a numeric cell is shown as a date; another rule than ``is_date_format``."""
+    low = F.lower(fmt)
+    return F.coalesce(low.contains("yy") | low.contains("mm") & low.contains("dd") | low.rlike("d-|-d|h:|:ss"), F.lit(False))
+
+
+def date_text(at: Column, fmt: Column) -> Column:
+    """A timestamp by a spreadsheet's date format: its parts in turn, everything else as it stands; without format the date, with a time if it has one."""
+    names = {  # longest first: part of the format, in lower case -> pattern
+        "yyyy": "yyyy", "yy": "yy", "mmmm": "MMMM", "mmm": "MMM", "mm": "MM", "m": "M", "dddd": "EEEE", "ddd": "EEE", "dd": "dd", "d": "d", "hh": "HH", "h": "H", "ss": "ss", "s": "s", "am/pm": "a"}
+    parts = F.regexp_extract_all(F.regexp_replace(fmt, r"\[[^\]]*\]", ""), F.lit(r"(?i:am/pm)|y{4}|y{2}|m{1,4}|d{1,4}|h{1,2}|s{1,2}|."), F.lit(0))
+    shown = F.transform(parts, lambda p: reduce(lambda e, kv: e.when(F.lower(p) == kv[0], F.date_format(at, kv[1])), names.items(), F.when(F.lit(False), "")).otherwise(p))
+    plain = F.when(F.date_format(at, "HH:mm:ss") == "00:00:00", F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+    return F.when(fmt.isNull() | (fmt == ""), plain).otherwise(F.trim(F.array_join(shown, "")))
+
+
+def display_number(value: Column, fmt: Column) -> Column:
+    """A floating-point number with the format's decimals (none if it has no point); without format at most 10 significant digits."""
+    places = F.when(fmt.contains("."), F.length(F.regexp_extract(fmt, r"\.([0#]*)", 1))).otherwise(0)
+    fixed = F.coalesce(*[F.when(places == n, F.format_string(f"%.{n}f", value)) for n in range(8)], F.format_string("%.8f", value))
+    magnitude = F.floor(F.log10(F.abs(value))).cast("int")
+    decimals = F.greatest(F.lit(0), F.least(F.lit(15), 9 - magnitude))
+    short = F.coalesce(*[F.when(decimals == n, F.format_string(f"%.{n}f", value)) for n in range(16)])
+    short = F.when(short.contains("."), F.regexp_replace(short, r"\.?0+$", "")).otherwise(short)
+    general = F.when(value == 0, "0").when(F.abs(value).between(1e-5, 1e10), short).otherwise(render_double(value))
+    return F.when(fmt.isNull() | (fmt == ""), general).otherwise(fixed)
+
+
+def display(tag: Column, text: Column, fmt: Column) -> Column:
+    """What a comparison shows of a cell: numbers with a date format as dates, floating-point numbers by format, all else as it is."""
+    number = text.try_cast("double")
+    date = tag.isin("Integer", "FloatingPoint") & is_display_date(fmt) & number.between(-657434, 2958465)
+    at = F.timestamp_seconds(F.round((number - 25569) * 86400, 0))
+    return F.when(date, date_text(at, fmt)).when(tag == "FloatingPoint", display_number(number, fmt)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def error_message(kind: Column, detail: Column) -> Column:
+    """(message, recoverable) for a reader's exception by its class name."""
+    base = F.regexp_extract(detail, r"([^/\\]*)$", 1)
+    message = (F.when(kind == "FileNotFoundError", F.concat(F.lit("There is no file "), base)).when(kind == "PermissionError", "The file may not be read; check its permissions")
+               .when(kind == "OSError", F.concat(F.lit("The file could not be read: "), detail)).when(kind.isin("ValueError", "KeyError", "TypeError"), "The workbook's parts do not fit together").otherwise("Something unforeseen went wrong"))
+    return F.struct(message.alias("message"), kind.isin("FileNotFoundError", "PermissionError", "OSError").alias("recoverable"))
+
+
+def log_filename(path: Column, at: Column) -> Column:
+    """Name of a file's load log: sanitised base name, hash of the path, time."""
+    base = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    return F.concat(F.regexp_replace(F.lower(base), "[^a-z0-9_-]+", "_"), F.lit("_"), path_hash(path), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".json"))
+
+
+def export_filename(at: Column, words: Column, extension: str) -> Column:
+    """``yyyy-MM-dd_HHmm[_word][_word].ext`` with at most two words, sanitised; empty ones are left out."""
+    clean = F.filter(F.transform(F.slice(words, 1, 2), filename_keyword), lambda w: w != "")
+    return F.concat(F.array_join(F.concat(F.array(F.date_format(at, "yyyy-MM-dd_HHmm")), clean), "_"), F.lit("." + extension))
+
+
 def intensity(rank: Column, groups: Column) -> Column:
     """ln(1 + rank / (groups - 1) (e - 1)), 0 for one group, within 0 and 1."""
     raw = F.log1p(rank / (groups - 1) * (F.lit(2.718281828459045) - 1))
@@ -239,6 +316,31 @@ def normalize_text(text: Column, fmt: Column) -> Column:
         F.when((kind == "Text") & (cleaned != text), "ExtraWhitespace").otherwise("None").alias("issue"))
 
 
+def normalize(tag: Column, text: Column, fmt: Column, system: str = "1900", mode: str = "reference", integers: bool = False) -> Column:
+    """(type, text, number, flag, date, issue) of any cell: the first rule that fits its tag and format.
+
+    Whole numbers stay as they are, without a type, unless ``integers`` treats
+    them as floating-point ones.
+    """
+    value = text.try_cast("double")
+    floating = tag.isin("FloatingPoint", "Integer") if integers else tag == "FloatingPoint"
+    words, numbers = normalize_text(text, fmt), normalize_number(value, fmt, system, mode)
+    none = lambda kind: F.lit(None).cast(kind)
+    of = lambda kind, text=None, number=None, flag=None, date=None: F.struct(
+        kind.alias("type"), (none("string") if text is None else text).alias("text"), (none("double") if number is None else number).alias("number"),
+        (none("boolean") if flag is None else flag).alias("flag"), (none("timestamp") if date is None else date).alias("date"), F.lit("None").alias("issue"))
+    return (F.when((tag == "Empty") | text.isNull(), of(F.lit("Unknown"))).when(tag == "Text", words)
+            .when(floating, of(numbers["type"], number=numbers["number"], date=numbers["date"]))
+            .when(tag == "Boolean", of(F.lit("Boolean"), flag=F.lower(text) == "true")).when(tag == "DateTime", of(F.lit("Date"), date=parse_date(text)))
+            .otherwise(of(F.lit("Unknown"), text=text)))
+
+
+def effective(tag: Column, text: Column, n: Column) -> Column:
+    """Text of a normalised cell: the cleaned value if there is one, else the cell's own."""
+    number = render_double(n["number"])
+    return F.coalesce(n["text"], number, F.upper(n["flag"].cast("string")), F.date_format(n["date"], "yyyy-MM-dd HH:mm:ss"), F.when(n["type"] == "Unknown", F.when(tag == "Empty", "").otherwise(text)), F.lit(""))
+
+
 def normalize_number(value: Column, fmt: Column, system: str = "1900", mode: str = "reference") -> Column:
     """(type, number, date) of a floating-point cell by its number format."""
     kind = (F.when(value.isNull(), "Unknown").when(is_date_format(fmt), "Date").when(is_currency_format(fmt), "Currency")

@@ -76,8 +76,8 @@ def structural_warnings(catalog: DataFrame) -> DataFrame:
     files = catalog.select("file_name").distinct()
     n = files.agg(F.count("*").alias("n_files"))
     seen = catalog.groupBy("col_name").agg(F.countDistinct("file_name").alias("have"))
-    missing = seen.join(F.broadcast(n)).filter("have < n_files").select("col_name", F.lit("Missing").alias("issue"), (F.col("n_files") - F.col("have")).alias("files"))
-    moved = catalog.join(F.broadcast(order), "col_name").filter("col_idx <> place").groupBy("col_name").agg(F.countDistinct("file_name").alias("files"))
+    missing = seen.crossJoin(n).filter("have < n_files").select("col_name", F.lit("Missing").alias("issue"), (F.col("n_files") - F.col("have")).alias("files"))
+    moved = catalog.join(order, "col_name").filter("col_idx <> place").groupBy("col_name").agg(F.countDistinct("file_name").alias("files"))
     return missing.unionByName(moved.select("col_name", F.lit("Position").alias("issue"), "files"))
 
 

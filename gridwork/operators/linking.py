@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,63 @@ def header_groups(headers: DataFrame, included: Sequence[str] | None = None) ->
 
 def invert_selection(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("included", ~F.col("included"))
+
+
+def links_by_name(links: DataFrame) -> DataFrame:
+    """Links in order of their semantic name in any case, then as written, with their place."""
+    return links.withColumn("place", F.row_number().over(Window.orderBy(F.lower("semantic_name"), "semantic_name")) - 1)  # one row a link
+
+
+def merge_groups(members: DataFrame, target: str, sources: Sequence[str]) -> DataFrame:
+    """(link, col_name, type, ord) after links are merged: the members of ``sources`` go to ``target``, whose name stays."""
+    return members.withColumn("link", F.when(F.lower("link").isin(*[s.lower() for s in sources]), target).otherwise(F.col("link")))
+
+
+def rename_link(members: DataFrame, old: str, new: str) -> DataFrame:
+    return members.withColumn("link", F.when(F.lower("link") == old.lower(), new).otherwise(F.col("link")))
+
+
+def add_member(members: DataFrame, columns: DataFrame, link: str) -> DataFrame:
+    """The members of (link, col_name, type, ord), and the columns (col_name, type, ord) under ``link`` unless they are members already."""
+    new = columns.select(F.lit(link).alias("link"), "col_name", "type", "ord")
+    return members.unionByName(new.join(members.filter(F.lower("link") == link.lower()).select("ord"), "ord", "left_anti"))
+
+
+def remove_member(members: DataFrame, link: str, col_name: str) -> DataFrame:
+    """A member leaves its link and is a link of its own, under its own name."""
+    leaves = (F.lower("link") == link.lower()) & (F.col("col_name") == col_name)
+    return members.withColumn("link", F.when(leaves, F.col("col_name")).otherwise(F.col("link")))
+
+
+def group_types(members: DataFrame) -> DataFrame:
+    """Dominant type and size of each link, from its members: the most frequent type, the first one of equals."""
+    by = members.groupBy("link", "type").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return by.groupBy("link").agg(F.max_by("type", F.struct("n", -F.col("first"))).alias("dominant"), F.sum("n").alias("columns"))
+
+
+def resolve_headers(headers: DataFrame, names: Mapping[str, str] | Callable[[Column], Column] | None = None) -> DataFrame:
+    """headers (header) with ``semantic_name``: by a dictionary (exact names), by a function of the column, or none at all; else the header itself."""
+    header = F.col("header")
+    if names is None:
+        found = F.lit(None).cast("string")
+    elif callable(names):
+        found = names(header)
+    else:
+        rows = [(k, v) for k, v in names.items()]
+        if not rows:
+            return headers.withColumn("semantic_name", header)
+        found = F.create_map(*[F.lit(x) for pair in rows for x in pair])[header]
+    return headers.withColumn("semantic_name", F.coalesce(found, header))
+
+
+def semantic_names(columns: DataFrame, links: DataFrame) -> DataFrame:
+    """(file_name, col_name, semantic_name) of the columns that a link renames; a name that differs in case alone is none."""
+    found = semantic_lookup(columns.select(F.col("col_name").alias("header")).distinct(), links)
+    both = columns.join(found.withColumnRenamed("header", "col_name"), "col_name")
+    return both.filter(F.lower("semantic_name") != F.lower("col_name")).select("file_name", "col_name", "semantic_name")
+
+
+def highlighted(columns: DataFrame, template_columns: Sequence[str], source_file: str) -> DataFrame:
+    """The columns (file_name, col_name) with whether a template that came from ``source_file`` has them."""
+    names = [c.lower() for c in template_columns]
+    return columns.withColumn("highlighted", F.lower("col_name").isin(*names) & (F.lower("file_name") == source_file.lower()))

@@ -1,43 +1,52 @@
-"""Merged ranges over long cells (row_idx, col_idx, value) and ranges (ord, r0, c0, r1, c1)."""
+"""Merged ranges over long cells (row_idx, col_idx, value) and ranges (ord, r0, c0, r1, c1).
+
+``by`` names the sheet that both belong to (file and sheet, over many workbooks).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def covered(ranges: DataFrame) -> DataFrame:
+def covered(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every cell of every range with its range: row_idx, col_idx, ord, r0, c0; of overlapping ranges the last wins."""
-    cells = ranges.select("ord", "r0", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_idx")).select("ord", "r0", "c0", "row_idx", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
-    return cells.groupBy("row_idx", "col_idx").agg(F.max(F.struct("ord", "r0", "c0")).alias("m")).select("row_idx", "col_idx", "m.*")
+    cells = ranges.select(*by, "ord", "r0", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_idx")).select(*by, "ord", "r0", "c0", "row_idx", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
+    return cells.groupBy(*by, "row_idx", "col_idx").agg(F.max(F.struct("ord", "r0", "c0")).alias("m")).select(*by, "row_idx", "col_idx", "m.*")
 
 
-def resolve(cells: DataFrame, ranges: DataFrame, strategy: str = "expand") -> DataFrame:
+def resolve(cells: DataFrame, ranges: DataFrame, strategy: str = "expand", by: Sequence[str] = ()) -> DataFrame:
     """Cells with merges resolved: ``expand`` gives all the first one's value, ``keep`` only the first, ``flatten`` the first one all values joined by a blank."""
-    map_ = covered(ranges)
-    tagged = cells.join(map_, ["row_idx", "col_idx"], "left")
-    heads = cells.select(F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), F.col("value").alias("_head"))
+    by = list(by)
+    tagged = cells.join(covered(ranges, by), [*by, "row_idx", "col_idx"], "left")
     first = (F.col("row_idx") == F.col("r0")) & (F.col("col_idx") == F.col("c0"))
     if strategy == "expand":
-        out = tagged.join(heads, ["r0", "c0"], "left").withColumn("value", F.when(F.col("ord").isNotNull(), F.col("_head")).otherwise(F.col("value")))
+        corners = ranges.select(*by, "r0", "c0").distinct()
+        heads = cells.select(*by, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), F.col("value").alias("_head")).join(corners, [*by, "r0", "c0"], "left_semi")
+        out = tagged.join(heads, [*by, "r0", "c0"], "left").withColumn("value", F.when(F.col("ord").isNotNull(), F.col("_head")).otherwise(F.col("value")))
     elif strategy == "keep":
         out = tagged.withColumn("value", F.when(F.col("ord").isNull() | first, F.col("value")))
     elif strategy == "flatten":
-        texts = tagged.filter("ord IS NOT NULL").groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "value"))), lambda x: x["value"]), " ").alias("_all"))
-        out = tagged.join(texts, "ord", "left").withColumn("value", F.when(F.col("ord").isNull(), F.col("value")).when(first, F.col("_all")))
+        texts = tagged.filter("ord IS NOT NULL").groupBy(*by, "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "value"))), lambda x: x["value"]), " ").alias("_all"))
+        out = tagged.join(texts, [*by, "ord"], "left").withColumn("value", F.when(F.col("ord").isNull(), F.col("value")).when(first, F.col("_all")))
     else:
         raise ValueError(strategy)
-    return out.select("row_idx", "col_idx", "value")
+    return out.select(*by, "row_idx", "col_idx", "value")
+
 
+def complexity(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ranges, cells, percent of the bounding box, vertical, horizontal, level and recommended strategy of each sheet.
 
-def complexity(ranges: DataFrame) -> DataFrame:
-    """ranges, cells, percent of the bounding box, vertical, horizontal, level and recommended strategy."""
+    A range is vertical if it has more rows than columns, horizontal if it has
+    more columns, and a square is neither.
+    """
     h, w = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
-    out = ranges.agg(
+    out = ranges.groupBy(*by).agg(
         F.count("*").alias("ranges"), F.coalesce(F.sum(h * w), F.lit(0)).alias("cells"), ((F.max("r1") + 1) * (F.max("c1") + 1)).alias("box"),
-        F.count(F.when(h > 1, 1)).alias("vertical"), F.count(F.when((w > 1) & (h == 1), 1)).alias("horizontal"))
+        F.count(F.when(h > w, 1)).alias("vertical"), F.count(F.when(w > h, 1)).alias("horizontal"))
     out = out.withColumn("percent", F.when(F.col("box") > 0, F.col("cells") / F.col("box")).otherwise(0.0))
-    chaos = (F.col("percent") > 0.2) & (F.col("ranges") >= 5)
-    level = F.when(chaos, "Chaos").when(F.col("vertical") > 0, "Complex").otherwise("Simple")
-    advice = F.when(chaos | (F.col("vertical") > 2 * F.col("horizontal")), "KeepTopLeft").otherwise("ExpandValue")
-    return out.select("ranges", "cells", "percent", "vertical", "horizontal", level.alias("level"), advice.alias("advice"))
+    level = F.when((F.col("percent") > 0.2) & (F.col("ranges") >= 5), "Chaos").when(F.col("vertical") > 0, "Complex").otherwise("Simple")
+    advice = F.when((level == "Chaos") | (F.col("vertical") > 2 * F.col("horizontal")), "KeepTopLeft").otherwise("ExpandValue")
+    return out.select(*by, "ranges", "cells", "percent", "vertical", "horizontal", level.alias("level"), advice.alias("advice"))

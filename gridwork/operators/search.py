@@ -140,3 +140,19 @@ def suggestions(df: DataFrame, column: str, order: str, query: str, around: int
 
 def without_file(hits: DataFrame, file_name: str) -> DataFrame:
     return hits.filter(F.col("file_name") != file_name)
+
+
+def group_tree(hits: DataFrame) -> DataFrame:
+    """Hits by value in any case, file and sheet: the leaves of the result tree."""
+    return hits.groupBy(F.lower("value").alias("value"), "file_name", "sheet_name").agg(F.count("*").alias("hits"))
+
+
+def groups_in_order(groups: DataFrame) -> DataFrame:
+    """Groups of ``group_by_value`` with their place: those that not every file has first, then by value."""
+    return groups.withColumn("place", F.row_number().over(Window.orderBy("found_in_all", "value")) - 1)  # one row per distinct value
+
+
+def distinct_lists(hits: DataFrame) -> DataFrame:
+    """The files and the terms (any case) that occur, each list in order and joined by commas."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return hits.agg(joined(F.col("file_name")).alias("files"), joined(F.lower("value")).alias("terms"))

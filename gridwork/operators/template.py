@@ -20,6 +20,8 @@ class Expected:
     required: bool = True
     alternatives: tuple[str, ...] = ()
     min_confidence: float = 0.8
+    currency: str | None = None
+    semantic: str | None = None
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,7 @@ class Template:
     min_rows: int | None = None
     max_rows: int | None = None
     allow_extra: bool = True
+    sheet: str | None = None
     problems: list[str] = field(default_factory=list, compare=False)
 
     def validate(self) -> list[str]:
@@ -129,15 +132,15 @@ def structure_issues(catalog: DataFrame, template: Template) -> DataFrame:
     names = want.select("ord", "expected", "want", "position", "required", F.explode("names").alias("n")).withColumn("_key", F.lower("n"))
     files = catalog.select("file_name").distinct()
     actual = catalog.select("file_name", "col_name", "col_idx", "type", F.lower("col_name").alias("_key"))
-    met = actual.join(F.broadcast(names), "_key")
+    met = actual.join(names, "_key")
     first = met.groupBy("file_name", "ord").agg(F.min_by(F.struct("col_name", "col_idx", "type", "expected", "want", "position"), "col_idx").alias("m"))
     wrong_place = first.filter("m.position >= 0 AND m.col_idx <> m.position").select("file_name", F.col("m.expected").alias("column"), F.lit("WrongPosition").alias("issue"), F.lit("Warning").alias("severity"))
     wrong_type = first.filter("m.want <> 'Unknown' AND m.type <> m.want").select("file_name", F.col("m.expected").alias("column"), F.lit("TypeMismatch").alias("issue"), F.lit("Error").alias("severity"))
-    every = files.crossJoin(F.broadcast(want.select("ord", "expected", "required")))  # files by a template's few columns
+    every = files.crossJoin(want.select("ord", "expected", "required"))  # files by a template's few columns
     gone = every.join(first.select("file_name", "ord"), ["file_name", "ord"], "left_anti").select("file_name", F.col("expected").alias("column"), F.lit("MissingColumn").alias("issue"), F.when(F.col("required"), "Error").otherwise("Warning").alias("severity"))
     out = wrong_place.unionByName(wrong_type).unionByName(gone)
     if not template.allow_extra:
-        extra = actual.join(F.broadcast(names), "_key", "left_anti").select("file_name", F.col("col_name").alias("column"), F.lit("ExtraColumn").alias("issue"), F.lit("Info").alias("severity"))
+        extra = actual.join(names, "_key", "left_anti").select("file_name", F.col("col_name").alias("column"), F.lit("ExtraColumn").alias("issue"), F.lit("Info").alias("severity"))
         out = out.unionByName(extra)
     return out
 
