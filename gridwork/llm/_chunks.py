@@ -9,6 +9,7 @@ a partition ends: workers outlive their task, and several share an executor.
 from __future__ import annotations
 
 import ctypes
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -16,7 +17,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 
 #: Bytes that a worker remembers, about (text, ids and the dictionary's own); bytes of text of the longest remembered chunk.
-MEMORY_BYTES, LONGEST = 32_000_000, 64
+MEMORY_BYTES, LONGEST = 24_000_000, 64
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 1_000_000
 #: What an entry takes besides the bytes it holds: two objects and its place in the table.
@@ -68,10 +69,20 @@ def released(*memories):
         trim()
 
 
+def settle() -> None:
+    """Keeps a worker small: two threads for the tokenizers library, and two arenas for what they allocate."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+    _libc("mallopt", -8, 2)  # M_ARENA_MAX
+
+
 def trim() -> None:
     pa.default_memory_pool().release_unused()
+    _libc("malloc_trim", 0)
+
+
+def _libc(name: str, *arguments: int) -> None:
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        getattr(ctypes.CDLL("libc.so.6"), name)(*arguments)
     except (OSError, AttributeError):  # not glibc
         pass
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Bytes of an Arrow batch. The default of 256 MB would be held by an executor and its Python workers alike.
-BATCH_BYTES = 8_000_000
+#: Bytes of an Arrow batch. The default of 256 MB would be held by an executor, outside its heap, and its Python workers alike.
+BATCH_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +47,12 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 
 def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of at most BATCH_BYTES; workers give freed memory back when a partition ends."""
-    from gridwork.llm._chunks import trim
+    from gridwork.llm._chunks import settle, trim
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def released(batches):
+        settle()
         try:
             yield from run(batches)
         finally:

@@ -55,7 +55,7 @@ CROWD = 48
 #: Parts of a set's signature.
 SIGNATURE = 128
 #: Bytes of text hashed at a time (the arrays take some fifty times that), and pairs compared at a time.
-SLICE_BYTES, PAIRS = 1_000_000, 256
+SLICE_BYTES, PAIRS = 500_000, 256
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
