@@ -174,12 +174,12 @@ def a1_notation(spark, sf):
     return Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", cell.alias("cell"), X.rc(F.col("l_linenumber"), i).alias("rc"), X.a1_column(cell).cast("long").alias("back"))
 
 
-@query("""SELECT v, tag, count(*) AS n FROM (SELECT CASE WHEN v = '' THEN 'Empty' WHEN regexp_full_match(v, '[0-9]+') THEN 'Integer' WHEN regexp_full_match(v, '-?[0-9]+\\.[0-9]+') THEN 'FloatingPoint' WHEN v IN ('true', 'false') THEN 'Boolean' ELSE 'Text' END AS tag, left(v, 4) AS v FROM
+@query("""SELECT v, tag, count(*) AS n FROM (SELECT CASE WHEN v = '' THEN 'Empty' WHEN regexp_full_match(v, '[0-9]+') THEN 'Integer' WHEN regexp_full_match(v, '-?[0-9]+\\.[0-9]+') THEN 'FloatingPoint' WHEN v IN ('true', 'false') THEN 'Boolean' ELSE 'Text' END AS tag, v FROM
 (SELECT CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN CAST(user_id AS VARCHAR) || '.25' WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END ELSE event_type END AS v FROM events)) GROUP BY v, tag""")
 def cell_type_inference(spark, sf):
     k, u = F.col("event_id") % 5, F.col("user_id").cast("string")
     v = F.when(k == 0, "").when(k == 1, u).when(k == 2, F.concat(u, F.lit(".25"))).when(k == 3, F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")).otherwise(F.col("event_type"))
-    return Tables(spark, sf).events.select(v.alias("v")).select(F.substring("v", 1, 4).alias("v"), X.infer_text(F.col("v")).alias("tag")).groupBy("v", "tag").agg(F.count("*").alias("n"))
+    return Tables(spark, sf).events.select(v.alias("v")).select("v", X.infer_text(F.col("v")).alias("tag")).groupBy("v", "tag").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN true WHEN quality = 1 THEN false END AS flag FROM labels""")
@@ -246,11 +246,10 @@ def csv_format_infer(spark, sf):
     return Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", X.csv_number_format(text).alias("fmt"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN left(text, 40) WHEN text IS NOT NULL THEN '''' || CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '-' END || left(text, 40) END AS guarded FROM documents WHERE regexp_matches(text, '^[A-Za-z]')")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '^([=@\t\r]|[+-]([^0-9]|$))') THEN '''' || t ELSE t END AS guarded FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || text WHEN 1 THEN '-' || text ELSE text END AS t FROM documents)""")
 def csv_sanitize(spark, sf):
-    head = F.substring("text", 1, 40)
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), head)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), head)).otherwise(head)
-    return Tables(spark, sf).documents.filter(F.col("text").rlike("^[A-Za-z]")).select("doc_id", X.csv_guard(text).alias("guarded"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), "text")).otherwise(F.col("text"))
+    return Tables(spark, sf).documents.select("doc_id", X.csv_guard(text).alias("guarded"))
 
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^([=@\t\r]|[+-]([^0-9]|$))') THEN '''' || text ELSE text END AS guarded FROM documents")

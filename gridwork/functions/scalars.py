@@ -39,7 +39,10 @@ def clean_text(text: Column) -> Column:
     no_zero = F.regexp_replace(text, "[\\u200B\\u200C\\u200D\\uFEFF]", "")
     lines = F.regexp_replace(no_zero, "\\r\\n?", "\n")
     plain = F.regexp_replace(lines, "[\\u0000-\\u0008\\u000B\\u000C\\u000E-\\u001F\\u007F-\\u009F]", "")
-    return F.regexp_replace(plain, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    cleaned = F.regexp_replace(plain, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    # Most texts are clean: one search settles it.
+    dirty = "[\\u200B\\u200C\\u200D\\uFEFF\\u0000-\\u0008\\u000B-\\u001F\\u007F-\\u009F]|^[\\s\\p{Z}]|[\\s\\p{Z}]$"
+    return F.when(text.rlike(dirty), cleaned).otherwise(text)
 
 
 def parse_number(text: Column) -> Column:

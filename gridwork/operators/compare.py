@@ -49,12 +49,17 @@ def verdicts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     by = list(by)
     cells = cells.withColumn("value", F.coalesce(F.trim("value"), F.lit("")))
-    freq = cells.filter("value <> ''").groupBy(*by, "value").agg(F.count("*").alias("freq"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("freq"), "value")) - 1
-    freq = freq.withColumn("rank", rank)
-    totals = freq.groupBy(*by).agg(F.count("*").alias("groups"), F.sum("freq").alias("filled"))
-    rows = cells.groupBy(*by).agg(F.count("*").alias("rows")).join(totals, by, "left")
-    out = cells.join(rows, by).join(freq, [*by, "value"], "left")
+    counts = cells.groupBy(*by, "value").agg(F.count("*").alias("freq"))
+    totals = counts.groupBy(*by).agg(F.sum("freq").alias("rows"), F.count(F.when(F.col("value") != "", 1)).alias("groups"), F.sum(F.when(F.col("value") != "", F.col("freq"))).alias("filled"))
+    # A value's rank is its place in its bucket (equal frequency and first characters) after all buckets before: no task orders all values.
+    some = counts.filter("value <> ''").withColumn("_head", F.left("value", F.lit(2)))
+    bucket = [*by, "freq", "_head"]
+    before = Window.partitionBy(*by).orderBy(F.desc("freq"), "_head").rowsBetween(Window.unboundedPreceding, -1)
+    first = some.groupBy(*bucket).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*bucket).orderBy("value")) - 1
+    ranks = some.withColumn("_k", inside).join(first, bucket).select(*by, "value", (F.col("_before") + F.col("_k")).alias("rank"))
+    stats = counts.join(totals, by).join(ranks, [*by, "value"], "left")
+    out = cells.join(stats, [*by, "value"])
     filled, groups = F.coalesce("filled", F.lit(0)), F.coalesce("groups", F.lit(0))
     empty = F.col("value") == ""
     verdict = F.when(empty & (filled > 0), "Missing").when(groups <= 1, "Match").otherwise("Different")

@@ -83,12 +83,11 @@ def search_files(tables: dict[str, DataFrame], query: str, options: Options = Op
         wanted = (columns or {}).get(name, [c for c, t in df.dtypes if t == "string"])
         hits = search_sheet(df, query, options, columns=wanted, file_name=name)
         parts.append(hits.select("file_name", "sheet_name", F.col("row_key").cast("long").alias("row_key"), "col_idx", "col_name", "value"))
-        spark = df.sparkSession
-        for kind, value in (("FileName", name), ("SheetName", "Data")):
-            named = spark.range(1).select(F.lit(name).alias("file_name"), F.lit("Data").alias("sheet_name"), F.lit(-1).cast("long").alias("row_key"), F.lit(-1).alias("col_idx"), F.lit(kind).alias("col_name"), F.lit(value).alias("value"))
-            parts.append(named.filter(matches(F.col("value"), query, options)))
-    out = parts[0]
-    for p in parts[1:]:
+    spark = next(iter(tables.values())).sparkSession
+    # All names in one relation of constants.
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("file_name"), F.lit("Data").alias("sheet_name"), F.lit(-1).cast("long").alias("row_key"), F.lit(-1).alias("col_idx"), F.lit(k).alias("col_name"), F.lit(v).alias("value")) for n in tables for k, v in (("FileName", n), ("SheetName", "Data"))]))
+    out = spark.range(1).select(names.alias("x")).select("x.*").filter(matches(F.col("value"), query, options))
+    for p in parts:
         out = out.unionByName(p)
     return out
 
