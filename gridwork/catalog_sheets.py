@@ -430,3 +430,40 @@ def missing_rows(spark, sf):
     t = Tables(spark, sf)
     hits = t.supplier.select(F.col("s_suppkey").alias("row_key"))
     return compare.missing_rows(t.customer.filter("c_custkey % 2 = 0"), hits, "c_custkey").select(F.col("row_key").alias("s_suppkey"))
+
+
+@query("""SELECT 'o_orderstatus' AS col_name, 'Unique' AS rule, count(o_orderstatus) - count(DISTINCT lower(o_orderstatus)) AS violations FROM orders UNION ALL SELECT 'o_orderkey', 'Unique', count(o_orderkey) - count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'MinLength', count(*) FILTER (length(o_orderpriority) < 6) FROM orders UNION ALL SELECT 'o_orderstatus', 'Numeric', count(*) FROM orders UNION ALL SELECT 'o_custkey', 'TypeMatch', 0 FROM orders
+UNION ALL SELECT 'o_orderstatus', 'TypeMatch', count(*) FROM orders UNION ALL SELECT 'o_orderpriority', 'NotEmpty', count(*) FILTER (o_orderpriority IS NULL OR trim(o_orderpriority) = '') FROM orders UNION ALL SELECT 'price', 'Currency', count(*) FILTER (o_orderkey % 3 = 0) FROM orders""".replace("SELECT 'o_custkey', 'TypeMatch', 0 FROM orders", "SELECT 'o_custkey', 'TypeMatch', count(*) FILTER (o_custkey IS NULL) FROM orders"))
+def rules_more(spark, sf):
+    price = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "$ ").when(F.col("o_orderkey") % 3 == 1, "€ ").otherwise("EUR "), F.col("o_totalprice").cast("string"))
+    wanted = [("o_orderstatus", "Unique", ""), ("o_orderkey", "Unique", ""), ("o_orderpriority", "MinLength", "6"), ("o_orderstatus", "Numeric", ""), ("o_custkey", "TypeMatch", "Number"), ("o_orderstatus", "TypeMatch", "Number"), ("o_orderpriority", "NotEmpty", ""), ("price", "Currency", "EUR")]
+    return template.rule_violations(Tables(spark, sf).orders.withColumn("price", price), [template.Rule(*w) for w in wanted])
+
+
+@query("SELECT c_custkey, c_custkey AS at, c_custkey + 1 AS number FROM customer")
+def row_indexes(spark, sf):
+    return Tables(spark, sf).customer.select("c_custkey", X.sheet_row(F.col("c_custkey") + 1).alias("at"), X.row_number_of(F.col("c_custkey")).alias("number"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Match' WHEN 1 THEN 'Different' WHEN 2 THEN 'Missing' ELSE 'New' END AS verdict, (o_orderkey % 101) / 100.0 AS x FROM orders), h AS (SELECT *, (90 - x * 40) / 100 AS l, (70 + x * 20) / 100 AS s FROM v), c AS (SELECT *, (1 - abs(2 * l - 1)) * s AS chroma FROM h)
+SELECT o_orderkey, CASE verdict WHEN 'Match' THEN '#FFFFFF' WHEN 'New' THEN '#F8FDF9' WHEN 'Missing' THEN '#FEF8F8' ELSE '#' || upper(printf('%02x', CAST(floor((l + chroma / 2) * 255 + 1e-9) AS INTEGER)) || printf('%02x', CAST(floor((l - chroma / 2) * 255 + 1e-9) AS INTEGER)) || printf('%02x', CAST(floor((l - chroma / 6) * 255 + 1e-9) AS INTEGER))) END AS colour FROM c""")
+def verdict_colours(spark, sf):
+    verdict = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'Match' WHEN 1 THEN 'Different' WHEN 2 THEN 'Missing' ELSE 'New' END")
+    return Tables(spark, sf).orders.select("o_orderkey", X.verdict_colour(verdict, F.col("o_orderkey") % 101 / 100).alias("colour"))
+
+
+@query("""WITH c AS (SELECT 'f' || r_name AS file_name, 'Build ' || CAST(n_regionkey AS VARCHAR) AS sheet_name, n_name || ' is built in ' || r_name AS value, n_nationkey AS ord FROM nation JOIN region ON n_regionkey = r_regionkey), s AS (SELECT sheet_name AS t, 1 AS k, min(ord) AS o FROM c GROUP BY 1
+UNION ALL SELECT CASE WHEN strpos(value, 'built') - 10 > 1 THEN '...' ELSE '' END || substr(value, CAST(greatest(strpos(value, 'built') - 10, 1) AS INTEGER), CAST(least(strpos(value, 'built') + 15, length(value) + 1) - greatest(strpos(value, 'built') - 10, 1) AS INTEGER)) || CASE WHEN strpos(value, 'built') + 15 <= length(value) THEN '...' ELSE '' END, 2, min(ord) FROM c GROUP BY 1),
+q AS (SELECT t, k, o FROM s WHERE k = 2) SELECT t AS suggestion FROM q ORDER BY o LIMIT 10""")
+def suggestions_sheets(spark, sf):
+    t = Tables(spark, sf)
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    cells = rows.select(F.concat(F.lit("f"), "r_name").alias("file_name"), F.concat(F.lit("Build "), F.col("n_regionkey").cast("string")).alias("sheet_name"), F.concat("n_name", F.lit(" is built in "), "r_name").alias("value"), F.col("n_nationkey").alias("ord"))
+    return search.suggestions_of_sheets(cells, "built")
+
+
+@query("SELECT n_name AS col_name, CASE WHEN n_nationkey % 4 = 0 THEN 'Group' ELSE n_name END AS shown FROM nation WHERE n_nationkey % 3 <> 0")
+def included_columns(spark, sf):
+    n = Tables(spark, sf).nation.select(F.col("n_name").alias("col_name"), F.when(F.col("n_nationkey") % 4 == 0, "Group").alias("semantic_name"), (F.col("n_nationkey") % 3 == 0).alias("included"))
+    return linking.included_names(linking.invert_selection(n))

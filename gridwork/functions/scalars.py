@@ -189,6 +189,32 @@ def a1_row(reference: Column) -> Column:
     return F.when(number == "", 0).otherwise(number.try_cast("long") - 1)
 
 
+def sheet_row(row: Column) -> Column:
+    """0-based row of a sheet's row number; raises below 1."""
+    return F.when(row < 1, F.raise_error(F.lit("row numbers begin at 1")).cast("long")).otherwise(row - 1)
+
+
+def row_number_of(row: Column) -> Column:
+    """A sheet's row number of a 0-based row; raises below 0."""
+    return F.when(row < 0, F.raise_error(F.lit("rows begin at 0")).cast("long")).otherwise(row + 1)
+
+
+# Colours of verdicts in light and dark surroundings.
+VERDICT_COLOURS = {"Match": ("#FFFFFF", "#0D1117"), "New": ("#F8FDF9", "#0F1A14"), "Missing": ("#FEF8F8", "#1A1214")}
+
+
+def verdict_colour(verdict: Column, strength: Column, dark: bool = False) -> Column:
+    """A verdict's colour as #RRGGBB: a hue of 340 degrees for Different, the more saturated and nearer to half light the stronger."""
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), strength))
+    light, full = ((20 + x * 30) / 100, (60 + x * 20) / 100) if dark else ((90 - x * 40) / 100, (70 + x * 20) / 100)
+    chroma = (1 - F.abs(2 * light - 1)) * full
+    low = light - chroma / 2
+    # At 340 degrees red is full, green none, blue a third of the chroma.
+    part = lambda c: F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (low + c) * 255 + 1e-9))).cast("long")), 2, "0")
+    shade = F.concat(F.lit("#"), part(chroma), part(F.lit(0.0)), part(chroma / 3))
+    return F.when(verdict == "Different", shade).otherwise(F.coalesce(_choice(verdict, [(k, v[dark]) for k, v in VERDICT_COLOURS.items()]), F.lit(VERDICT_COLOURS["Match"][dark])))
+
+
 def rc(row: Column, column: Column) -> Column:
     """``R{r}C{c}``, 1-based."""
     return F.concat(F.lit("R"), (row + 1).cast("string"), F.lit("C"), (column + 1).cast("string"))

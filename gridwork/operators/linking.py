@@ -117,3 +117,12 @@ def highlighted(columns: DataFrame, template_columns: Sequence[str], source_file
     """The columns (file_name, col_name) with whether a template that came from ``source_file`` has them."""
     names = [c.lower() for c in template_columns]
     return columns.withColumn("highlighted", F.lower("col_name").isin(*names) & (F.lower("file_name") == source_file.lower()))
+
+
+def included_names(catalog: DataFrame) -> DataFrame:
+    """Included columns with the name they go by: the semantic one, else their own."""
+    return catalog.filter("included").select("col_name", F.coalesce("semantic_name", "col_name").alias("shown"))
+
+
+def select_all(catalog: DataFrame, included: bool = True) -> DataFrame:
+    return catalog.withColumn("included", F.lit(included))

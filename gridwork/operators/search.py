@@ -137,6 +137,20 @@ def suggestions(df: DataFrame, column: str, order: str, query: str, around: int
     return first.orderBy("_order").limit(keep).select("fragment")
 
 
+def suggestions_of_sheets(cells: DataFrame, query: str, around: int = 10, keep: int = 10) -> DataFrame:
+    """Suggestions over (file_name, sheet_name, value, ord): file names, then sheet names, then fragments of values, distinct in any case, the first ``keep``."""
+    if len(query.strip()) < 2:
+        return cells.select(F.col("value").alias("suggestion")).filter(F.lit(False))
+    named = lambda c, k: cells.filter(F.lower(c).contains(query.lower())).groupBy(F.lower(c).alias("_key")).agg(F.min_by(F.col(c), "ord").alias("suggestion"), F.struct(F.lit(k).alias("k"), F.min("ord").alias("ord")).alias("_order"))
+    low = F.locate(query.lower(), F.lower("value"))
+    begin, end = F.greatest(low - around, F.lit(1)), F.least(low + len(query) + around, F.length("value") + 1)
+    fragment = F.concat(F.when(begin > 1, "...").otherwise(""), F.substring(F.col("value"), begin, end - begin), F.when(end <= F.length("value"), "...").otherwise(""))
+    found = cells.filter(low > 0).select(fragment.alias("suggestion"), "ord").groupBy(F.lower("suggestion").alias("_key")).agg(F.min_by("suggestion", "ord").alias("suggestion"), F.struct(F.lit(2).alias("k"), F.min("ord").alias("ord")).alias("_order"))
+    every = named("file_name", 0).unionByName(named("sheet_name", 1)).unionByName(found)
+    first = every.groupBy("_key").agg(F.min_by("suggestion", "_order").alias("suggestion"), F.min("_order").alias("_order"))
+    return first.orderBy("_order").limit(keep).select("suggestion")
+
+
 def without_file(hits: DataFrame, file_name: str) -> DataFrame:
     return hits.filter(F.col("file_name") != file_name)
 

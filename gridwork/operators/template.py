@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwork.functions.scalars import currency_code, infer_text
+
 # Severities in order.
 SEVERITIES = ("Info", "Warning", "Error", "Critical")
 
@@ -94,6 +96,11 @@ def passes(column: Column, kind: str, argument: str = "") -> Column:
         ok = F.length(text) <= int(argument)
     elif kind == "InList":
         ok = F.lower(text).isin(*[x.strip().lower() for x in argument.split(",")])
+    elif kind == "TypeMatch":
+        found = infer_text(text)
+        ok = F.when(found.isin("Integer", "FloatingPoint"), F.lit(argument in ("Number", "Currency", "Percentage"))).when(found == "DateTime", F.lit(argument == "Date")).otherwise(found == argument)
+    elif kind == "Currency":  # the sign or code that the text bears
+        ok = F.coalesce(currency_code(text), F.when(text.rlike(r"\b[A-Z]{3}\b"), F.regexp_extract(text, r"\b([A-Z]{3})\b", 1))) == argument.upper()
     elif kind == "DateFormat":
         ok = F.try_to_timestamp(text, F.lit(argument)).isNotNull()
     else:
@@ -102,8 +109,15 @@ def passes(column: Column, kind: str, argument: str = "") -> Column:
 
 
 def rule_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows that break each rule, counted in one pass: col_name, rule, violations."""
-    sums = df.agg(*[F.sum(F.when(passes(F.col(r.column), r.kind, r.argument), 0).otherwise(1)).cast("long").alias(f"r{i}") for i, r in enumerate(rules)])
+    """Rows that break each rule, counted in one pass: col_name, rule, violations. Unique counts the rows beyond the first of each value in any case."""
+
+    def broken(r: Rule) -> Column:
+        if r.kind == "Unique":
+            text = F.nullif(F.col(r.column).cast("string"), F.lit(""))
+            return F.count(text) - F.countDistinct(F.lower(text))
+        return F.sum(F.when(passes(F.col(r.column), r.kind, r.argument), 0).otherwise(1))
+
+    sums = df.agg(*[broken(r).cast("long").alias(f"r{i}") for i, r in enumerate(rules)])
     entries = F.array(*[F.struct(F.lit(r.column).alias("col_name"), F.lit(r.kind).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0).cast("long")).alias("violations")) for i, r in enumerate(rules)])
     return sums.select(F.explode(entries).alias("x")).select("x.*")
 

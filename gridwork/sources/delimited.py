@@ -17,7 +17,13 @@ def detect_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
     return max(even, key=lambda x: x[0])[1] if even else ","
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Trimmed fields as texts under the header's names, read in parallel; a file with a header alone gives no rows."""
-    rows = spark.read.csv(path, header=True, sep=delimiter or detect_delimiter(spark, path), quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", header: bool = True, line_breaks: bool = True) -> DataFrame:
+    """Trimmed fields as texts under the header's names (without header Column_0 and so on); a file with a header alone gives no rows.
+
+    Fields may hold line breaks, for which a file is read by one task; without
+    ``line_breaks`` a large file is split among tasks.
+    """
+    rows = spark.read.csv(path, header=header, sep=delimiter or detect_delimiter(spark, path), quote='"', escape='"', encoding=encoding, multiLine=line_breaks, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    if not header:
+        rows = rows.toDF(*[f"Column_{i}" for i in range(len(rows.columns))])
     return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
