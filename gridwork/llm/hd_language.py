@@ -65,7 +65,8 @@ def grams(texts: list[str]):
     import numpy as np
 
     ends = np.cumsum([len(t) + N for t in texts])
-    joined = (" " * N).join(texts) + " " * N
+    # Gaps before a text are its own, so no n-gram is counted for a neighbour.
+    joined = "".join([" " * N + t for t in texts]) + " " * N
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     symbol = _symbols()[np.minimum(code, 0x3FFFF)]
     g = symbol[:-2] * (SYMBOLS * SYMBOLS) + symbol[1:-1] * SYMBOLS + symbol[2:]

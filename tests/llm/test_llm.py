@@ -587,6 +587,42 @@ def test_chat_odd(spark, tmp_path):
     assert chat.rotate(df.filter("false")).collect() == []
 
 
+def test_language_brute_force(spark, sf):
+    """Prototypes and predictions letter by letter, from the same letter vectors."""
+    docs = [r for r in documents(spark, sf).select("doc_id", "text", "lang").collect() if r.text and len(r.text) < 1500][:60] + [(9001, "123 !", "en"), (9002, None, "en"), (9003, "ÀB漢x\U00020000", None)]
+    df = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string, lang string")
+    base, symbols = [v.astype(int) for v in hd_language.letter_vectors()], hd_language._symbols()
+
+    def vector(text):
+        total = np.zeros(hd_language.DIM, int)
+        padded = [0, 0, 0, *(int(symbols[ord(c)]) for c in text), 0, 0, 0]
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            if (a, b, c) != (0, 0, 0):
+                total += base[0][a] * base[1][b] * base[2][c]
+        return total
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    whole = {}
+    for i, text, lang in map(tuple, docs):
+        if text and lang and not held(i):
+            whole[lang] = whole.get(lang, 0) + vector(text)
+    rows = {r.doc_id: r for r in hd_language.language_report(df).collect()}
+    names = sorted(whole)
+    sure = 0
+    for i, text, _ in map(tuple, docs):
+        v = vector(text or "")
+        if not any(ch.isalpha() for ch in text or ""):
+            assert rows[i].lang_pred == "und" and rows[i].score == 0
+            continue
+        cosine = [float(v @ whole[n] / np.linalg.norm(v) / np.linalg.norm(whole[n])) for n in names]
+        best = max(cosine)
+        assert rows[i].score == pytest.approx(max(0.0, best), abs=2e-3)
+        if best - sorted(cosine)[-2] > 5e-3:
+            assert rows[i].lang_pred == names[cosine.index(best)]
+            sure += 1
+    assert sure > 50
+
+
 def fluid_amounts(sizes, weights, slot):
     """Blocks of each source that the fluid mix has given before a slot, exactly."""
     from fractions import Fraction
@@ -674,6 +710,31 @@ def test_mix_reaches_the_end(spark, sf, tmp_path):
             assert abs(order[:end].count(s) - end * n / sum(blocks.values())) < pfair_mix.BLOCK
 
 
+def test_pipeline_stages(spark, sf, tmp_path):
+    """Each stage on what its predecessor kept, against a plain version."""
+    import corpus_pipeline
+    import sentencepiece
+
+    before, rows = documents(spark, sf), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, sf).write.parquet(f"{tmp_path}/{name}")
+        before = spark.read.parquet(f"{tmp_path}/{name}")
+        rows[name] = {r.doc_id: r for r in before.collect()}
+    docs = {r.doc_id: r for r in documents(spark, sf).collect()}
+    said = {r.doc_id: r for r in hd_language.language_report(documents(spark, sf)).collect()}
+    assert set(rows["language"]) == {i for i, r in said.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_COSINE}
+    assert all(rows["language"][i].text == docs[i].text for i in rows["language"])
+    assert set(rows["near_dups"]) == {c for _, c in brute_components([(i, r.text) for i, r in rows["language"].items()]).values()}
+    assert set(rows["pii"]) == set(rows["near_dups"])
+    for i, r in rows["pii"].items():
+        assert base_spans(r.text) == [] and r.n_chars == len(r.text)
+        if not base_spans(docs[i].text) and not re.search("[0-9]", docs[i].text):
+            assert r.text == docs[i].text
+    assert {(i, r.text) for i, r in rows["mix"].items()} == {(i, r.text) for i, r in rows["pii"].items()} and len({r.position for r in rows["mix"].values()}) == len(rows["mix"])
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    assert all(list(r.ids) == sp.encode(rows["mix"][i].text) and r.n_tokens == len(r.ids) and r.position == rows["mix"][i].position for i, r in rows["encode"].items()) and set(rows["encode"]) == set(rows["mix"])
+
+
 def test_pipeline_odd(spark, sf):
     """Nulls, copies, clashing columns and an empty table through all stages."""
     import corpus_pipeline
