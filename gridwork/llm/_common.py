@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,10 +15,18 @@ BATCH_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``. It has no stand-in: a folder of one machine would lose rows on a cluster."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session within one process (master local, as in tests)
+    gets a folder of its own; any other one raises, as a folder of one machine
+    would lose rows on a cluster.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="gridwork-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
