@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +15,22 @@ from pyspark.sql import functions as F
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def detect_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
-    """The delimiter that occurs equally often, and most often, in each of the first lines; else a comma."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect()]
+#: Bytes of the largest text file that one task reads whole, and of an Arrow batch.
+MAX_BYTES, BATCH_BYTES = 100 * 2**20, 16 * 2**20
+CELLS = "kind string, file string, row_idx long, col_idx int, value string"
+
+
+def delimiter_of(head: list[str]) -> str:
+    """The delimiter that occurs equally often, and most often, in each of these lines; else a comma."""
     counts = {d: {line.count(d) for line in head} for d in DELIMITERS}
     even = [(c.copy().pop(), d) for d, c in counts.items() if len(c) == 1 and 0 not in c]
     return max(even, key=lambda x: x[0])[1] if even else ","
 
 
+def detect_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
+    return delimiter_of([r.value for r in spark.read.text(path).limit(lines).collect()])
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", header: bool = True, line_breaks: bool = True) -> DataFrame:
     """Trimmed fields as texts under the header's names (without header Column_0 and so on); a file with a header alone gives no rows.
 
@@ -27,3 +41,39 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     if not header:
         rows = rows.toDF(*[f"Column_{i}" for i in range(len(rows.columns))])
     return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+
+
+def rows_of(file: str, raw: bytes) -> Iterator[tuple]:
+    """(kind, file, row_idx, col_idx, value): a file's trimmed fields under its header (row 0); missing fields are empty, further ones are left out."""
+    text = raw.decode("utf-8-sig", "replace")
+    reader = csv.reader(io.StringIO(text), delimiter=delimiter_of(text[:100_000].splitlines()[:5]))
+    try:
+        width, row = 0, -1
+        for fields in reader:
+            if not fields:
+                continue
+            row, width = row + 1, width or len(fields)
+            for i in range(width):
+                yield ("cell", file, row, i, fields[i].strip() if i < len(fields) else "")
+        yield ("sheet", file, None, None, None) if row > 0 else ("error", file, None, None, "no data rows")
+    except csv.Error as e:
+        yield ("broken", file, None, None, f"broken text: {e}")
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]") -> DataFrame:
+    """Rows (see ``CELLS``) of all text files under ``path``: a task reads a file, and a file's delimiter and header are its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
+        pack = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], [c.split()[0] for c in CELLS.split(", ")])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = rows_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                while held := list(islice(rows, 20_000)):
+                    yield pack(held)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    fits = files.filter(F.col("length") <= MAX_BYTES).select("path", "content").mapInArrow(run, CELLS)
+    large = files.filter(F.col("length") > MAX_BYTES).select(F.lit("broken").alias("kind"), F.col("path").alias("file"), F.lit("file too large; read_csv splits it").alias("value"))
+    return fits.unionByName(large, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwork.functions.scalars import csv_guard, csv_number, csv_number_format, infer_text
 from gridwork.operators.sheet import load_status, with_headers
-from gridwork.sources.delimited import read_csv
+from gridwork.sources.delimited import read_texts
 from gridwork.sources.xlsx import read_workbooks
 
 # The extensions that are read.
@@ -23,35 +23,28 @@ def kind_of(path: str) -> str | None:
     return "workbook" if end in WORKBOOKS else "text" if end in TEXTS else None
 
 
-def csv_cells(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """One CSV file as long cells: sheet Data, the header as row 0, numbers with the format they suggest."""
-    table = read_csv(spark, path, delimiter).withColumn("_row", F.monotonically_increasing_id())
-    names = [c for c in table.columns if c != "_row"]
-    number = {c: F.coalesce(csv_number_format(F.col(f"`{c}`")), F.lit(None).cast("string")) for c in names}
-    text = lambda c: F.when(number[c].isNotNull(), csv_number(F.col(f"`{c}`")).cast("string")).otherwise(csv_guard(F.coalesce(F.col(f"`{c}`"), F.lit(""))))
-    tag = lambda c: F.when(number[c].isNotNull(), "FloatingPoint").otherwise(infer_text(F.col(f"`{c}`")))
-    cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"), text(c).alias("value"), tag(c).alias("tag"), number[c].alias("fmt")) for i, c in enumerate(names)])
-    rows = table.select((F.col("_row") + 1).alias("row_idx"), F.explode(cells).alias("x")).select("row_idx", "x.*")
-    head = spark.createDataFrame([(0, i, c, c, "Text", None) for i, c in enumerate(names)], "row_idx long, col_idx int, col_name string, value string, tag string, fmt string")
-    return head.unionByName(rows).withColumn("file", F.lit(path)).withColumn("sheet", F.lit("Data")).withColumn("sheet_idx", F.lit(0))
+def text_cells(rows: DataFrame) -> DataFrame:
+    """Cells of ``read_texts``: sheet Data, numbers with the format that they suggest, texts guarded against formulas."""
+    fmt = F.when(F.col("row_idx") > 0, csv_number_format(F.col("value")))
+    number = F.when(fmt.isNotNull(), csv_number(F.col("value")).cast("string"))
+    return rows.filter("kind = 'cell'").select(
+        "file", F.lit("Data").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_idx", "col_idx", F.coalesce(number, csv_guard(F.col("value"))).alias("value"),
+        F.when(number.isNotNull(), "FloatingPoint").when(F.col("row_idx") == 0, "Text").otherwise(infer_text(F.col("value"))).alias("tag"), fmt.alias("fmt"))
 
 
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All files under a folder: cells with column names, errors (file, severity, message), and files with their status.
 
-    Workbooks are read in one scan. A file of another format is Failed, and one
+    Workbooks are read in one scan, texts in another. A file of another format is Failed, and one
     broken file fails no other.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"))
     end = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
     unknown = listed.filter(~end.isin(*WORKBOOKS, *TEXTS)).select("file", F.lit("Critical").alias("severity"), F.lit("only these are read: " + ", ".join((*WORKBOOKS, *TEXTS))).alias("message"))
-    rows = read_workbooks(spark, folder)
-    cells = with_headers(rows.filter("kind = 'cell'").select(*CELLS)).drop("header_row")
+    rows, texts = read_workbooks(spark, folder), read_texts(spark, folder)
+    cells = with_headers(rows.filter("kind = 'cell'").select(*CELLS).unionByName(text_cells(texts))).drop("header_row")
     errors = unknown.unionByName(rows.filter("kind = 'error'").select("file", "severity", F.col("value").alias("message")))
-    sheets = rows.filter("kind = 'sheet'").select("file", "sheet")
-    for r in listed.filter(end.isin(*TEXTS)).toLocalIterator():  # one plan a text file: each has a header of its own
-        one = csv_cells(spark, r.file)
-        cells = cells.unionByName(one)
-        sheets = sheets.unionByName(one.select("file", "sheet").distinct())
+    errors = errors.unionByName(texts.filter("kind IN ('error', 'broken')").select("file", F.when(F.col("kind") == "broken", "Critical").otherwise("Info").alias("severity"), F.col("value").alias("message")))
+    sheets = rows.filter("kind = 'sheet'").select("file", "sheet").unionByName(texts.filter("kind = 'sheet'").select("file", F.lit("Data").alias("sheet")))
     files = listed.join(sheets.groupBy("file").agg(F.countDistinct("sheet").alias("sheets")), "file", "left").na.fill(0)
     return cells, errors, load_status(files, errors)
