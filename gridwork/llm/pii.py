@@ -30,7 +30,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone")
+#: The kinds of base patterns, and the one that only the method adds.
+ALL_KINDS = (*KINDS, "secret")
 
 #: Base patterns. Each finds what the plain pattern beside it finds, leftmost
 #: and non-overlapping, but cannot step back over a run again and again.
@@ -136,7 +138,7 @@ def candidates(text: Column) -> Column:
     """Base spans and freer candidates of every kind."""
     every = []
     for kind, pattern, base in [(k, p, True) for k, p in BASE.items()] + [(k, p, False) for k, p in GENERATORS]:
-        hits = found(text, pattern, KINDS.index(kind), base)
+        hits = found(text, pattern, ALL_KINDS.index(kind), base)
         hits = F.filter(hits, _checked(kind)) if base else hits
         every.append(F.when(F.regexp_like(text, F.lit(pattern)), hits).otherwise(F.array().cast(KIND)))
     return F.concat(*every)
@@ -150,8 +152,8 @@ def features(kind: Column, match: Column, before: Column, after: Column) -> list
     """Numbers the trees look at: the match's format, then its surroundings."""
     d = digits(match)
     words = lambda w: rf"(?i)(?<![A-Za-z]){'(?:' + w + ')'}(?![A-Za-z])"
-    own = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]))) for k, name in enumerate(KINDS)])
-    near = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]) + r"[^A-Za-z]*(?:[A-Za-z]{1,3}[^A-Za-z]*)?$")) for k, name in enumerate(KINDS)])
+    own = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]))) for k, name in enumerate(ALL_KINDS)])
+    near = F.coalesce(*[F.when(kind == k, before.rlike(words(TELLING[name]) + r"[^A-Za-z]*(?:[A-Za-z]{1,3}[^A-Za-z]*)?$")) for k, name in enumerate(ALL_KINDS)])
     return [
         kind.cast("double"), F.length(match).cast("double"), F.length(d).cast("double"),
         F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")).cast("double"),
@@ -236,7 +238,7 @@ def model(spark: SparkSession) -> tuple[str, list[float]]:
         precise = steps.groupBy("kind", "step").agg(F.avg("label").alias("p")).filter(F.col("p") >= PRECISION).groupBy("kind").agg(F.min("step").alias("t"))
         least = {r.kind: r.t for r in precise.collect()}
         rows.unpersist()
-        _MODELS["it"] = score, [least.get(k, float("inf")) for k in range(len(KINDS))]
+        _MODELS["it"] = score, [least.get(k, float("inf")) for k in range(len(ALL_KINDS))]
     return _MODELS["it"]
 
 
@@ -313,7 +315,7 @@ def _evaluate(sql: str, f: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same columns; every span in ``text`` becomes its kind in brackets. Spans that overlap become one, named by the first; a null text stays null."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     whole = F.col(text)
 
     def clean(found: Column) -> Column:
@@ -333,7 +335,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest, all spans as text, and n_spans (how many they are)."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     rows = spans(docs.select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
