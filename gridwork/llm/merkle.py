@@ -179,13 +179,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     around = Window.orderBy("_bucket")  # one row a range
     heads = heads.select("_bucket", "head", F.lag("_bucket").over(around).alias("_before"), F.max("_bucket").over(Window.partitionBy()).alias("_last"))
     heads = heads.select("_bucket", F.col("head._at").alias("_at"), F.col("head._h").alias("_h"), F.coalesce("_before", "_last").alias("_before"), F.col("_before").isNull().alias("_wrap"))
-    rows = rows.join(heads, ["_bucket", "_at", "_h"], "left")
+    # One row a range: at most two for each of MOST_BUCKETS limits, some 60 bytes each.
+    rows = rows.join(F.broadcast(heads), ["_bucket", "_at", "_h"], "left")
     guest = F.struct(F.col("_before").alias("b"), F.lit(True).alias("guest"))
     home = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest"))
     both = rows.withColumn("_to", F.explode(F.when(F.col("_before").isNull(), F.array(home)).otherwise(F.array(home, guest))))
-    window = Window.partitionBy("_to.b").orderBy("_to.guest", "_at", "_h", "text")
+    # Columns of their own, so that both windows below are of one partitioning and the texts move once.
+    both = both.withColumn("_b", F.col("_to.b")).withColumn("_guest", F.col("_to.guest")).drop("_to")
+    window = Window.partitionBy("_b").orderBy("_guest", "_at", "_h", "text")
     both = both.withColumn("next_text", F.lead("text").over(window)).withColumn("tree", tree(F.col("text")))
-    both = both.withColumn("next_tree", F.lead("tree").over(window)).filter("NOT _to.guest")
+    both = both.withColumn("next_tree", F.lead("tree").over(window)).filter("NOT _guest")
     return both.select("doc_id", "text", "tree", F.coalesce("next_text", "text").alias("next_text"), F.coalesce("next_tree", "tree").alias("next_tree"))
 
 
