@@ -78,7 +78,13 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
-ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix]
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.filter_audit import filter_report
+
+    return filter_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix, op11_filter_audit]
 
 
 def queries() -> dict:
@@ -86,6 +92,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridwork.llm import chat
+    from gridwork.llm import chat, filter_audit
 
-    return {"op3_chat_rotation": chat.ORACLE}
+    return {"op3_chat_rotation": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
