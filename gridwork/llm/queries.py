@@ -84,7 +84,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix, op11_filter_audit]
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.hard_negatives import negative_report
+
+    return negative_report(table(spark, sf_dir, "embeddings"))
+
+
+ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix, op11_filter_audit, op12_hard_negatives]
 
 
 def queries() -> dict:
@@ -92,6 +98,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridwork.llm import chat, filter_audit
+    from gridwork.llm import chat, filter_audit, hard_negatives
 
-    return {"op3_chat_rotation": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+    return {"op3_chat_rotation": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
