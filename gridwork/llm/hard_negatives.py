@@ -45,8 +45,8 @@ from gridwork.llm._common import in_batches, removed, written
 
 #: Pivots, the bounded sample of vectors that they are fitted on, and passes over it. Any pivots give the same results.
 PIVOTS, PIVOT_SAMPLE, PASSES = 24, 4096, 8
-#: Components in a stored block, anchors in a block, anchors looked at together.
-BLOCK_NUMBERS, ASKED_BLOCK, TOGETHER = 2**19, 1024, 64
+#: Components in a stored block, rows it has at least, anchors in a block, anchors looked at together.
+BLOCK_NUMBERS, LEAST_ROWS, ASKED_BLOCK, TOGETHER = 2**19, 256, 1024, 64
 #: Shares of all blocks that have been scanned after each ring.
 RINGS = (1 / 16, 1 / 4, 1.0)
 #: Share of M by which distances are taken shorter and longer, for rounding.
@@ -211,7 +211,7 @@ class Index:
         self.n, self.most = facts.n, float(facts.most or 0.0)
         sample = [r.x for r in held.orderBy(F.xxhash64("h", "g"), "label").limit(PIVOT_SAMPLE).select("x").collect()]  # bounded
         self.pivots = fit_pivots(sample, self.most)
-        self.blocks = max(1, -(-self.n // max(256, BLOCK_NUMBERS // max(1, facts.dim or 1))))
+        self.blocks = max(1, -(-self.n // max(LEAST_ROWS, BLOCK_NUMBERS // max(1, facts.dim or 1))))
         keyed = with_keys(held, "label long, ids array<long>", self.pivots, self.most, True)
         ordered = keyed.repartitionByRange(self.blocks, "pivot", "dist", F.element_at("ids", 1)).sortWithinPartitions("pivot", "dist")
         self.rows = written(ordered.withColumn("block", F.spark_partition_id()), "distance-keys", scratch)

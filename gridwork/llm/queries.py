@@ -90,7 +90,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negative_report(table(spark, sf_dir, "embeddings"))
 
 
-ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix, op11_filter_audit, op12_hard_negatives]
+def op13_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwork.llm.quality_gam import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ALL = [op1_jaccard_join, op5_pii_boosting, op7_merkle, op2_token_binary, op3_chat_rotation, op4_ann_blocks, op6_html_cut, op8_hd_language, op9_piece_codec, op10_pfair_mix, op11_filter_audit, op12_hard_negatives, op13_quality_gam]
 
 
 def queries() -> dict:
