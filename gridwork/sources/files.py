@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwork.functions.scalars import csv_guard, csv_number, csv_number_format, infer_text
 from gridwork.operators.sheet import load_status, with_headers
 from gridwork.sources.delimited import read_texts
+from gridwork.sources.xls import read_xls
 from gridwork.sources.xlsx import read_workbooks
 
 # The extensions that are read.
-WORKBOOKS, TEXTS = ("xlsx", "xlsm", "xltx", "xltm"), ("csv",)
+WORKBOOKS, OLD_WORKBOOKS, TEXTS = ("xlsx", "xlsm", "xltx", "xltm"), ("xls", "xlt"), ("csv",)
 CELLS = ("file", "sheet", "sheet_idx", "row_idx", "col_idx", "value", "tag", "fmt")
 
 
@@ -20,7 +23,7 @@ def kind_of(path: str) -> str | None:
     if not path or not path.strip():
         raise ValueError("a path is needed")
     end = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    return "workbook" if end in WORKBOOKS else "text" if end in TEXTS else None
+    return "workbook" if end in WORKBOOKS else "old workbook" if end in OLD_WORKBOOKS else "text" if end in TEXTS else None
 
 
 def text_cells(rows: DataFrame) -> DataFrame:
@@ -35,16 +38,24 @@ def text_cells(rows: DataFrame) -> DataFrame:
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All files under a folder: cells with column names, errors (file, severity, message), and files with their status.
 
-    Workbooks are read in one scan, texts in another. A file of another format is Failed, and one
-    broken file fails no other.
+    Workbooks are read in one scan, old workbooks and texts in one each. A file
+    of another format is Failed, as is one that no reader says anything about, and
+    one broken file fails no other.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"))
+    known = (*WORKBOOKS, *OLD_WORKBOOKS, *TEXTS)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # Scans pass over files without a byte; the index of the folder has their names, too.
+    listed = there.select(F.col("path").alias("file")).union(spark.createDataFrame([(unquote(f),) for f in there.inputFiles()], "file string")).distinct()
     end = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
-    unknown = listed.filter(~end.isin(*WORKBOOKS, *TEXTS)).select("file", F.lit("Critical").alias("severity"), F.lit("only these are read: " + ", ".join((*WORKBOOKS, *TEXTS))).alias("message"))
-    rows, texts = read_workbooks(spark, folder), read_texts(spark, folder)
+    unknown = listed.filter(~end.isin(*known)).select("file", F.lit("Critical").alias("severity"), F.lit("only these are read: " + ", ".join(known)).alias("message"))
+    old, texts = read_xls(spark, folder), read_texts(spark, folder)
+    typed = F.when((F.col("kind") == "cell") & (F.col("tag") == "Text") & (F.col("row_idx") > 0), infer_text(F.col("value"))).otherwise(F.col("tag"))
+    rows = read_workbooks(spark, folder).unionByName(old.withColumn("tag", typed))
     cells = with_headers(rows.filter("kind = 'cell'").select(*CELLS).unionByName(text_cells(texts))).drop("header_row")
     errors = unknown.unionByName(rows.filter("kind = 'error'").select("file", "severity", F.col("value").alias("message")))
     errors = errors.unionByName(texts.filter("kind IN ('error', 'broken')").select("file", F.when(F.col("kind") == "broken", "Critical").otherwise("Info").alias("severity"), F.col("value").alias("message")))
     sheets = rows.filter("kind = 'sheet'").select("file", "sheet").unionByName(texts.filter("kind = 'sheet'").select("file", F.lit("Data").alias("sheet")))
     files = listed.join(sheets.groupBy("file").agg(F.countDistinct("sheet").alias("sheets")), "file", "left").na.fill(0)
+    silent = files.filter("sheets = 0").join(errors.select("file"), "file", "left_anti").select("file", F.lit("Critical").alias("severity"), F.lit("nothing was read").alias("message"))
+    errors = errors.unionByName(silent)
     return cells, errors, load_status(files, errors)

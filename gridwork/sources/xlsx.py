@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -169,24 +170,23 @@ def rows_of(file: str, raw: bytes) -> Iterator[tuple]:
         yield ("error", file, None, None, None, None, None, None, why, None, None, None, "Critical")
 
 
+def packed(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of ``ROWS`` in Arrow batches."""
+    kinds = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[k]) for n, k in (c.split() for c in ROWS.split(", "))])
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """Rows (see ``ROWS``) of all workbooks under ``path``. Files above MAX_BYTES are not fetched; their rows say so."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    kinds = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[k]) for n, k in (c.split() for c in ROWS.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                held = []
-                for row in rows_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xl[st][xm]").option("recursiveFileLookup", "true").load(path)
+                yield from packed(rows_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sStT][xXmM]").option("recursiveFileLookup", "true").load(path)
     fits = files.filter(F.col("length") <= MAX_BYTES).select("path", "content").mapInArrow(run, ROWS)
     large = files.filter(F.col("length") > MAX_BYTES).select(F.lit("error").alias("kind"), F.col("path").alias("file"), F.lit("file too large").alias("value"), F.lit("Critical").alias("severity"))
     return fits.unionByName(large, allowMissingColumns=True)

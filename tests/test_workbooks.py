@@ -54,11 +54,12 @@ def test_load_a_folder(spark, tmp_path):
     (tmp_path / "in" / "empty.xlsx").write_bytes(book("<sheetData/>"))
     (tmp_path / "in" / "wrong.xlsx").write_bytes(book("<sheetData><row><c r='1A'><v>1</v></c></row></sheetData>"))
     (tmp_path / "in" / "old.xls").write_bytes(b"text")
+    (tmp_path / "in" / "UPPER.XLSX").write_bytes(open(manifest[0].path, "rb").read())
     (tmp_path / "in" / "t.csv").write_text("id;what\n1;=2+3\n2,5;x\n")
     cells, errors, status = files.load(spark, str(tmp_path / "in"))
     by = {r.file.rsplit("/", 1)[-1]: (r.status, r.sheets) for r in status.collect()}
     name = manifest[0].path.rsplit("/", 1)[-1]
-    assert by == {name: ("Success", 2), "bad.xlsx": ("Failed", 0), "cut.xlsx": ("Failed", 0), "empty.xlsx": ("Success", 0), "wrong.xlsx": ("Failed", 0), "old.xls": ("Failed", 0), "t.csv": ("Success", 1)}
+    assert by == {name: ("Success", 2), "bad.xlsx": ("Failed", 0), "cut.xlsx": ("Failed", 0), "empty.xlsx": ("Success", 0), "wrong.xlsx": ("Failed", 0), "UPPER.XLSX": ("Success", 2), "old.xls": ("Failed", 0), "t.csv": ("Success", 1)}
     assert {r.severity for r in errors.filter("file LIKE '%empty.xlsx'").collect()} == {"Info"}
     rows = cells.filter(F.col("file").endswith(name) & (F.col("sheet") == "A sheet with a name that is muc")).collect()
     table = {(r.row_idx, r.col_name): (r.value, r.tag, r.fmt) for r in rows}
