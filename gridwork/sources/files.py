@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     known = (*WORKBOOKS, *OLD_WORKBOOKS, *TEXTS)
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     # Scans pass over files without a byte; the index of the folder has their names, too.
-    listed = there.select(F.col("path").alias("file")).union(spark.createDataFrame([(unquote(f),) for f in there.inputFiles()], "file string")).distinct()
+    listed = there.select(F.col("path").alias("file")).union(spark.createDataFrame([(re.sub("^file:///", "file:/", unquote(f)),) for f in there.inputFiles()], "file string")).distinct()
     end = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
     unknown = listed.filter(~end.isin(*known)).select("file", F.lit("Critical").alias("severity"), F.lit("only these are read: " + ", ".join(known)).alias("message"))
     old, texts = read_xls(spark, folder), read_texts(spark, folder)
