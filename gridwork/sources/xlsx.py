@@ -30,15 +30,19 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 BATCH_BYTES = 16 * 2**20
 
 
+def suspicious(parts: list[tuple[str, int, int]]) -> str | None:
+    """Why a workbook of these parts (name, size, packed size) isn't opened, or None."""
+    if sum(size for _, size, _ in parts) > MAX_UNPACKED or any(size > MAX_RATIO * max(1, few) for _, size, few in parts):
+        return "suspicious compression"
+    return None if any(name == "xl/workbook.xml" for name, _, _ in parts) else "no workbook part"
+
+
 def guard(raw: bytes) -> str | None:
     """Why a file isn't opened, or None."""
     try:
-        parts = zipfile.ZipFile(io.BytesIO(raw)).infolist()
+        return suspicious([(p.filename, p.file_size, p.compress_size) for p in zipfile.ZipFile(io.BytesIO(raw)).infolist()])
     except zipfile.BadZipFile:
         return "not a workbook"
-    if sum(p.file_size for p in parts) > MAX_UNPACKED or any(p.file_size > MAX_RATIO * max(1, p.compress_size) for p in parts):
-        return "suspicious compression"
-    return None if any(p.filename == "xl/workbook.xml" for p in parts) else "no workbook part"
 
 
 def _local(node) -> str:
@@ -59,17 +63,17 @@ def place(reference: str) -> tuple[int, int]:
 
 
 class Book:
-    """One workbook's parts."""
+    """One workbook's parts, from a file that can seek; ``parts`` False is for the names of its sheets alone."""
 
-    def __init__(self, raw: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(raw))
+    def __init__(self, file, parts: bool = True):
+        self.zip = zipfile.ZipFile(file)
         root = self._root("xl/workbook.xml")
         targets = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in self._root("xl/_rels/workbook.xml.rels")}
         self.sheets = [(n.get("name"), f"xl/{targets[n.get(_REL)]}") for n in root.iter() if _local(n) == "sheet"]
         flag = next((n.get("date1904") for n in root.iter() if _local(n) == "workbookPr"), None)
         self.date_system = "1904" if (flag or "").lower() in ("1", "true", "on") else "1900"
-        self.shared = list(self._shared())
-        self.formats = list(self._formats())
+        self.shared = list(self._shared()) if parts else []
+        self.formats = list(self._formats()) if parts else []
 
     def _root(self, name: str):
         return ElementTree.fromstring(self.zip.read(name))
@@ -92,8 +96,11 @@ class Book:
                     at = int(n.get("numFmtId", 0))
                     yield BUILT_IN.get(at) if at < FIRST_CUSTOM else custom.get(at)
 
-    def rows(self, name: str, part_name: str) -> Iterator[tuple]:
-        """(kind, row, column, last row, last column, value, tag, fmt, severity) of a sheet's cells and merges."""
+    def rows(self, name: str, part_name: str, keep=None, last: int | None = None) -> Iterator[tuple]:
+        """(kind, row, column, last row, last column, value, tag, fmt, severity) of a sheet's cells and merges.
+
+        Cells that ``keep`` (of row and column) doesn't want are not decoded, their value is null; rows behind ``last`` are not read, nor is what follows them.
+        """
         row, column = -1, -1
         with self.zip.open(part_name) as part:
             for event, node in ElementTree.iterparse(part, events=("start", "end")):
@@ -102,10 +109,15 @@ class Book:
                     if kind == "row":
                         row = int(node.get("r")) - 1 if node.get("r") else row + 1
                         column = -1
+                        if last is not None and row > last:
+                            return
                 elif kind == "c":
                     # A cell without a reference stands after the one before.
                     at = place(node.get("r")) if node.get("r") else (row, column + 1)
                     column = at[1]
+                    if keep and not keep(*at):
+                        yield ("cell", *at, None, None, None, None, None, None)
+                        continue
                     style = int(node.get("s", -1))
                     yield ("cell", *at, None, None, *self.decoded(node), self.formats[style] if 0 <= style < len(self.formats) else None, None)
                 elif kind == "row":
@@ -154,7 +166,7 @@ def rows_of(file: str, raw: bytes) -> Iterator[tuple]:
     why = guard(raw)
     try:
         if why is None:
-            book = Book(raw)
+            book = Book(io.BytesIO(raw))
             for i, (sheet, part) in enumerate(book.sheets):
                 filled = False
                 for kind, r, c, r1, c1, value, tag, fmt, severity in book.rows(sheet, part):
