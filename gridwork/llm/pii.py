@@ -78,12 +78,15 @@ MISLEADING = ("version|release|orders?|invoice|isbn|section|figure|parts?|serial
               "date|dated|year|population|score|scored|coordinates|lat|lon|mac|time|file|image|slug|between|total|batch|item|model|rev|digest|hash|uuid|meet|look|arrived|stayed")
 #: Ends of common domains.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|me|co|eu|de|fr|es|it|nl|be|ch|at|uk|us|ca|au|br|mx|ar|jp|cn|in|ru|pl|se|no|dk|fi|pt|ie"
-KIND = "array<struct<kind:int,start:int,end:int,base:boolean,match:string>>"
+SPAN = "struct<kind:int,start:int,end:int,base:boolean,match:string>"
+KIND = f"array<{SPAN}>"
+#: Items of a walk's segment; code points of a block.
+CHUNK, BLOCK = 64, 1024
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is computed once, and not copied as ``transform`` would do."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def digits(text: Column) -> Column:
@@ -112,22 +115,48 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, pattern: str, k: int, base: bool) -> Column:
-    """Matches of a pattern with their places: the pieces between matches and the matches take turns."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
+def walk(items: Column, start: Column, step, kind: str, end=None) -> Column:
+    """What ``step`` (of state and item: the next state, and what comes out or null) puts out along an array of items, as an array of ``kind``.
 
-    def walk(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(matches, i))
-        one = F.struct(F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), F.lit(base).alias("base"), F.get(matches, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(one)).alias("all"))
+    ``aggregate`` copies what it holds at every step, so what comes out must not
+    pile up in it: the items are cut into segments of CHUNK, a first walk that puts
+    nothing out finds the state at each segment's start, and then every segment
+    puts out its own. ``end`` puts out one more thing of the last state.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(KIND).alias("all"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), nothing, walk, lambda s: s["all"])
+    def cut_up(items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array())
 
+    def states(segments: Column) -> Column:
+        def over(held: Column, segment: Column) -> Column:
+            last = F.aggregate(segment, F.element_at(held, -1), lambda s, x: step(s, x)["state"])
+            return F.concat(held, F.array(last))
 
-def _checked(kind: str):
-    return lambda x: valid(kind, x["match"])
+        return F.aggregate(segments, F.array(start), over)
+
+    def put_out(segments: Column, at: Column) -> Column:
+        def take(s: Column, x: Column) -> Column:
+            put = lambda y: F.struct(y["state"].alias("state"), F.when(y["out"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(y["out"].cast(kind)))).alias("out"))
+            return let(step(s["state"], x), put)
+
+        each = F.transform(segments, lambda g, i: F.aggregate(g, F.struct(F.get(at, i).alias("state"), none.alias("out")), take, lambda s: s["out"]))
+        found = F.coalesce(F.flatten(each), none)
+        return found if end is None else let(end(F.element_at(at, -1)), lambda y: F.when(y.isNull(), found).otherwise(F.concat(found, F.array(y.cast(kind)))))
+
+    return let(let(items, cut_up), lambda segments: let(states(segments), lambda at: put_out(segments, at)))
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, in which a place is found without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, n: Column) -> Column:
+    """``n`` code points of a text in blocks, from a place on."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((start + n) / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, n)
 
 
 def _is_base(k: int):
@@ -135,13 +164,26 @@ def _is_base(k: int):
 
 
 def candidates(text: Column) -> Column:
-    """Base spans and freer candidates of every kind."""
-    every = []
-    for kind, pattern, base in [(k, p, True) for k, p in BASE.items()] + [(k, p, False) for k, p in GENERATORS]:
-        hits = found(text, pattern, ALL_KINDS.index(kind), base)
-        hits = F.filter(hits, _checked(kind)) if base else hits
-        every.append(F.when(F.regexp_like(text, F.lit(pattern)), hits).otherwise(F.array().cast(KIND)))
-    return F.concat(*every)
+    """Base spans and freer candidates of every kind.
+
+    A pattern cuts the text once into pieces and matches, which take turns; one
+    walk over the matches of all patterns finds their places.
+    """
+    item = "array<struct<match:string,n:int,gap:int,kind:int,base:boolean,first:boolean>>"
+
+    def sized(k: int, pattern: str, base: bool) -> Column:
+        both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)).alias("matches"))
+        each = lambda c: F.transform(c["matches"], lambda m, i: F.struct(m, F.length(m), F.length(F.get(c["pieces"], i)), F.lit(k), F.lit(base), i == 0)).cast(item)
+        return F.when(F.regexp_like(text, F.lit(pattern)), let(both, each)).otherwise(F.array().cast(item))
+
+    def step(at: Column, x: Column) -> Column:
+        start = F.when(x["first"], 0).otherwise(at) + x["gap"]
+        one = F.struct(x["kind"].alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["base"].alias("base"), x["match"].alias("match"))
+        return F.struct((start + x["n"]).alias("state"), one.alias("out"))
+
+    every = F.concat(*[sized(ALL_KINDS.index(kind), pattern, True) for kind, pattern in BASE.items()], *[sized(ALL_KINDS.index(kind), pattern, False) for kind, pattern in GENERATORS])
+    sound = lambda x: F.coalesce(*[F.when(_is_base(k)(x), valid(kind, x["match"])) for k, kind in enumerate(BASE)], F.lit(True))
+    return F.filter(walk(every, F.lit(0), step, SPAN), sound)
 
 
 def _flag(test: Column) -> Column:
@@ -191,12 +233,12 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     table = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<id:int,text:string,kind:int,start:int,end:int>>")).alias("r")).select("r.*")
     table = table.withColumn("x", F.explode(F.filter(candidates(F.col("text")), lambda x: ~x["base"])))
     right = (F.col("x.kind") == F.col("kind")) & (F.col("x.start") == F.col("start")) & (F.col("x.end") == F.col("end"))
-    return table.select(F.col("x.kind").alias("kind"), F.array(*_features_at(F.col("text"), F.col("x"))).alias("f"), F.coalesce(right, F.lit(False)).cast("double").alias("label"), F.when(F.col("id") % 3 == 2, 1).otherwise(0).alias("part"))
+    return table.select(F.col("x.kind").alias("kind"), F.array(*_features_at(blocks_of(F.col("text")), F.col("x"))).alias("f"), F.coalesce(right, F.lit(False)).cast("double").alias("label"), F.when(F.col("id") % 3 == 2, 1).otherwise(0).alias("part"))
 
 
-def _features_at(text: Column, x: Column) -> list[Column]:
-    before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-    return features(x["kind"], x["match"], before, F.substring(text, x["end"] + 1, F.lit(AROUND)))
+def _features_at(blocks: Column, x: Column) -> list[Column]:
+    left = F.least(x["start"], F.lit(AROUND))
+    return features(x["kind"], x["match"], cut(blocks, x["start"] - left, left), cut(blocks, x["end"], F.lit(AROUND)))
 
 
 def _as_sql(description: str, depth_first: bool = True) -> str:
@@ -246,25 +288,35 @@ def spans_of(spark: SparkSession, text: Column) -> Column:
     """Array of (kind, start, end, base, match), sorted by kind and start, of a text that is not null."""
     score, thresholds = model(spark)
     limit = F.array(*[F.lit(float(t)) for t in thresholds])
-    scored = lambda x: F.struct(x.alias("x"), let(F.array(*_features_at(text, x)), lambda f: _evaluate(score, f)).alias("s"))
     touch = lambda x, y: (x["kind"] == y["kind"]) & (x["start"] < y["end"]) & (y["start"] < x["end"])
+    scored_kind = f"struct<kind:int,start:int,end:int,x:{SPAN},s:double>"
 
-    def chosen(every: Column) -> Column:
-        return let(F.filter(every, lambda x: x["base"]), lambda base: F.concat(base, best(F.filter(every, lambda x: ~x["base"] & ~F.exists(base, lambda b: touch(x, b))))))
+    def apart(spans: Column, back: bool) -> Column:
+        """Sorted spans without free ones that overlap a base span of their kind which begins before them (``back``: after them)."""
+        edge = lambda x: F.struct(x["kind"].alias("kind"), x["start" if back else "end"].alias("at"))
+
+        def step(s: Column, x: Column) -> Column:
+            over = (s["kind"] == x["kind"]) & ((x["end"] > s["at"]) if back else (x["start"] < s["at"]))
+            return F.struct(F.when(x["base"], edge(x)).otherwise(s).alias("state"), F.when(x["base"] | ~over, x).alias("out"))
 
-    def best(free: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("at"))
+        return walk(F.reverse(spans) if back else spans, start, step, SPAN)
+
+    def best(free: Column, blocks: Column) -> Column:
         """In order of place; of two that overlap the one of higher score stays, then the first."""
-        kept = F.filter(F.transform(free, scored), lambda y: y["s"] >= F.get(limit, y["x"]["kind"]))
-        placed = F.array_sort(F.transform(kept, lambda y: F.struct(y["x"]["kind"].alias("kind"), y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"].alias("x"), y["s"].alias("s"))))
+        scored = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x.alias("x"), let(F.array(*_features_at(blocks, x)), lambda f: _evaluate(score, f)).alias("s"))
+        placed = F.array_sort(F.filter(F.transform(free, scored), lambda y: y["s"] >= F.get(limit, y["kind"])))
+
+        def step(last: Column, y: Column) -> Column:
+            meet = last["kind"].isNotNull() & touch(last, y)
+            return F.struct(F.when(~meet | (y["s"] > last["s"]), y).otherwise(last).alias("state"), F.when(~meet & last["kind"].isNotNull(), last["x"]).alias("out"))
 
-        def step(out: Column, y: Column) -> Column:
-            last = F.get(out, F.size(out) - 1)
-            shorter = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
-            return (F.when(F.size(out) == 0, F.array(y)).when(~touch(last, y), F.concat(out, F.array(y)))
-                    .when(y["s"] > last["s"], F.concat(shorter, F.array(y))).otherwise(out))
+        nobody = F.lit(None).cast(scored_kind)
+        return walk(placed, nobody, step, SPAN, lambda last: last["x"])
 
-        nothing = F.array().cast(f"array<struct<kind:int,start:int,end:int,x:{KIND[6:-1]},s:double>>")
-        return F.when(F.size(placed) > 0, F.transform(F.aggregate(placed, nothing, step), lambda y: y["x"])).otherwise(F.array().cast(KIND))
+    def chosen(every: Column) -> Column:
+        clear = let(apart(F.array_sort(every), False), lambda z: apart(z, True))
+        return let(clear, lambda z: F.concat(F.filter(z, lambda x: x["base"]), let(blocks_of(text), lambda blocks: best(F.filter(z, lambda x: ~x["base"]), blocks))))
 
     # Most texts have no sign of any kind and skip all of this.
     return F.when(text.rlike(SIGN), F.array_sort(let(candidates(text), chosen))).otherwise(F.array().cast(KIND))
@@ -321,14 +373,14 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     def clean(found: Column) -> Column:
         by_place = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-        def step(state: Column, x: Column) -> Column:
-            fresh = x["start"] >= state["at"]
-            piece = F.concat(F.substring(whole, state["at"] + 1, x["start"] - state["at"]), F.get(names, x["kind"]))
-            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+        def joined(blocks: Column) -> Column:
+            def step(at: Column, x: Column) -> Column:
+                piece = F.concat(cut(blocks, at, x["start"] - at), F.get(names, x["kind"]))
+                return F.struct(F.greatest(at, x["end"]).alias("state"), F.when(x["start"] >= at, piece).alias("out"))
+
+            return F.array_join(walk(by_place, F.lit(0), step, "string", lambda at: cut(blocks, at, F.length(whole) - at)), "")
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        joined = F.aggregate(by_place, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
-        return F.when(F.size(found) > 0, joined).otherwise(whole)
+        return F.when(F.size(found) > 0, let(blocks_of(whole), joined)).otherwise(whole)
 
     return df.withColumn(text, F.when(whole.isNotNull(), let(spans_of(df.sparkSession, whole), clean)))
 
