@@ -366,38 +366,59 @@ def coalesce_groups(spark, sf):
 
 # Catalogues of columns ------------------------------------------------
 
-CATALOG = (("a.xlsx", "Name", 0, "Text"), ("a.xlsx", "Amount", 1, "Number"), ("a.xlsx", "Date", 2, "Date"), ("b.xlsx", "name ", 0, "Text"), ("b.xlsx", "Amount", 1, "Currency"),
-           ("c.csv", "Amount", 0, "Number"), ("c.csv", "NAME", 1, "Text"), ("c.csv", "Note", 2, "Text"))
+#: Tables as files, with their columns in order. Headers lose the table's prefix; nation has them in capitals, supplier with a blank behind.
+FILES = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+         "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")}
 
 
-def _catalog(spark) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(CATALOG)], "ord long, file_name string, col_name string, col_idx int, type string")
+def _header(table: str, column: str) -> str:
+    name = column.partition("_")[2]
+    return name.upper() if table == "nation" else f"{name} " if table == "supplier" else name
 
 
-_CATALOG = "cat(ord, file_name, col_name, col_idx, type) AS (VALUES " + ", ".join(f"({i}, '{f}', '{c}', {x}, '{t}')" for i, (f, c, x, t) in enumerate(CATALOG)) + ")"
+_HEADERS = [(100 * k + i, f"{t}.xlsx", _header(t, c), i, t, c) for k, (t, columns) in enumerate(FILES.items()) for i, c in enumerate(columns)]
 
 
-@query(f"""WITH {_CATALOG}, h AS (SELECT col_name, row_number() OVER (ORDER BY min(file_name || '|' || col_idx)) - 1 AS place, count(DISTINCT file_name) AS have FROM cat GROUP BY 1)
-SELECT col_name, 'Missing' AS issue, 3 - have AS files FROM h WHERE have < 3 UNION ALL SELECT col_name, 'Position', count(DISTINCT file_name) FROM cat JOIN h USING (col_name) WHERE col_idx <> place GROUP BY 1""")
+def _catalog(spark, sf) -> DataFrame:
+    """A row for each column of the tables, its type the commonest of all its values: ord, file_name, col_name, col_idx, type."""
+    cells = None
+    for t, columns in FILES.items():
+        own = [h for h in _HEADERS if h[4] == t]
+        one = F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(f).alias("file_name"), F.lit(n).alias("col_name"), F.lit(i).alias("col_idx"), F.col(c).cast("string").alias("value")) for o, f, n, i, _, c in own])
+        rows = getattr(Tables(spark, sf), t).select(F.explode(one).alias("x")).select("x.*")
+        cells = rows if cells is None else cells.unionByName(rows)
+    tag = X.infer_text(F.col("value"))
+    kind = F.when(tag.isin("Integer", "FloatingPoint"), "Number").when(tag == "DateTime", "Date").otherwise(tag)
+    counts = cells.withColumn("type", kind).groupBy("ord", "file_name", "col_name", "col_idx", "type").agg(F.count("*").alias("n"))
+    return counts.groupBy("ord", "file_name", "col_name", "col_idx").agg(F.max_by("type", F.struct("n", "type")).alias("type"))
+
+
+_CATALOG = "vals AS (" + " UNION ALL ".join(f"SELECT CAST({o} AS BIGINT) AS ord, '{f}' AS file_name, '{n}' AS col_name, {i} AS col_idx, CAST({c} AS VARCHAR) AS v FROM {t}" for o, f, n, i, t, c in _HEADERS) + """),
+kinds AS (SELECT ord, file_name, col_name, col_idx, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]{1,18}|[+-]?([0-9][0-9,]*\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'Number' ELSE 'Text' END AS type, count(*) AS n FROM vals GROUP BY ALL),
+cat AS (SELECT ord, file_name, col_name, col_idx, arg_max(type, n * 100000 + length(type)) AS type FROM kinds GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CATALOG}, h AS (SELECT col_name, row_number() OVER (ORDER BY min(file_name || '|' || lpad(CAST(col_idx AS VARCHAR), 3, '0'))) - 1 AS place, count(DISTINCT file_name) AS have FROM cat GROUP BY 1)
+SELECT col_name, 'Missing' AS issue, 5 - have AS files FROM h WHERE have < 5 UNION ALL SELECT col_name, 'Position', count(DISTINCT file_name) FROM cat JOIN h USING (col_name) WHERE col_idx <> place GROUP BY 1""")
 def structural_warnings(spark, sf):
-    return compare.structural_warnings(_catalog(spark)).select("col_name", "issue", "files")
+    return compare.structural_warnings(_catalog(spark, sf)).select("col_name", "issue", "files")
 
 
 @query(f"""WITH {_CATALOG}, g AS (SELECT lower(trim(col_name)) AS k, arg_min(col_name, ord) AS semantic_name, count(*) AS columns, count(DISTINCT lower(file_name)) AS sources, count(DISTINCT col_name) AS case_variants, count(DISTINCT type) AS type_variants, list_sort(list(DISTINCT col_name)) AS ns, list_sort(list(DISTINCT type)) AS ts FROM cat GROUP BY 1),
 d AS (SELECT k, type AS dominant FROM (SELECT lower(trim(col_name)) AS k, type, row_number() OVER (PARTITION BY lower(trim(col_name)) ORDER BY count(*) DESC, min(ord)) AS r FROM cat GROUP BY 1, 2) WHERE r = 1)
 SELECT semantic_name, dominant, columns, sources, case_variants, type_variants, nullif(concat_ws('; ', CASE WHEN case_variants > 1 THEN 'case: ' || array_to_string(ns[1:3], ', ') END, CASE WHEN type_variants > 1 THEN 'types: ' || array_to_string(ts, ', ') END), '') AS warning FROM g JOIN d USING (k)""")
 def column_links(spark, sf):
-    return linking.column_links(_catalog(spark)).select("semantic_name", "dominant", "columns", "sources", *_long("case_variants", "type_variants"), "warning")
+    return linking.column_links(_catalog(spark, sf)).select("semantic_name", "dominant", "columns", "sources", *_long("case_variants", "type_variants"), "warning")
 
 
-@query(f"WITH {_CATALOG} SELECT ord, CASE WHEN lower(trim(col_name)) = 'note' THEN 'Name' ELSE col_name END AS link FROM cat")
+@query(f"WITH {_CATALOG} SELECT ord, CASE WHEN lower(trim(col_name)) = 'brand' THEN 'Name' ELSE col_name END AS link FROM cat")
 def merge_links(spark, sf):
-    return linking.merge_links(_catalog(spark), "Name", "Note").select("ord", "link")
+    return linking.merge_links(_catalog(spark, sf), "Name", "Brand").select("ord", "link")
 
 
 @query(f"WITH {_CATALOG} SELECT display, string_agg(col_name, '|' ORDER BY ord) AS headers, min(ord) AS place FROM (SELECT *, first_value(d) OVER (PARTITION BY lower(d) ORDER BY ord) AS display FROM (SELECT *, trim(col_name) AS d FROM cat)) GROUP BY 1")
 def header_groups(spark, sf):
-    return linking.header_groups(_catalog(spark).select("ord", F.col("col_name").alias("header"), F.trim("col_name").alias("display"))).select("display", "headers", "place")
+    return linking.header_groups(_catalog(spark, sf).select("ord", F.col("col_name").alias("header"), F.trim("col_name").alias("display"))).select("display", "headers", "place")
 
 
 @query("SELECT c_mktsegment AS header, CASE c_mktsegment WHEN 'BUILDING' THEN 'Works' WHEN 'MACHINERY' THEN 'Works' ELSE c_mktsegment END AS semantic_name FROM customer")
@@ -408,8 +429,8 @@ def semantic_lookup(spark, sf):
 
 # Templates ------------------------------------------------------------
 
-TEMPLATE = template.Template("sales", (template.Expected("Name", "Text", 0), template.Expected("Amount", "Number", 1), template.Expected("Date", "Date", required=False)), allow_extra=False)
-_ISSUES = f"""WITH {_CATALOG}, want(name, type, pos, req) AS (VALUES ('Name', 'Text', 0, true), ('Amount', 'Number', 1, true), ('Date', 'Date', -1, false)), m AS (SELECT file_name, name, c.type AS got, want.type AS wt, col_idx, pos FROM cat c JOIN want ON lower(c.col_name) = lower(name)),
+TEMPLATE = template.Template("parties", (template.Expected("Name", "Text", 1), template.Expected("AcctBal", "Number", 2), template.Expected("Brand", "Number", required=False)), allow_extra=False)
+_ISSUES = f"""WITH {_CATALOG}, want(name, type, pos, req) AS (VALUES ('Name', 'Text', 1, true), ('AcctBal', 'Number', 2, true), ('Brand', 'Number', -1, false)), m AS (SELECT file_name, name, c.type AS got, want.type AS wt, col_idx, pos FROM cat c JOIN want ON lower(c.col_name) = lower(name)),
 issues AS (SELECT file_name, name AS "column", 'WrongPosition' AS issue, 'Warning' AS severity FROM m WHERE pos >= 0 AND col_idx <> pos UNION ALL SELECT file_name, name, 'TypeMismatch', 'Error' FROM m WHERE got <> wt
 UNION ALL SELECT f.file_name, name, 'MissingColumn', CASE WHEN req THEN 'Error' ELSE 'Warning' END FROM (SELECT DISTINCT file_name FROM cat) f, want WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_name = f.file_name AND m.name = want.name)
 UNION ALL SELECT file_name, col_name, 'ExtraColumn', 'Info' FROM cat WHERE NOT EXISTS (SELECT 1 FROM want WHERE lower(name) = lower(col_name)))"""
@@ -417,17 +438,17 @@ UNION ALL SELECT file_name, col_name, 'ExtraColumn', 'Info' FROM cat WHERE NOT E
 
 @query(f"{_ISSUES} SELECT * FROM issues")
 def template_structure(spark, sf):
-    return template.structure_issues(_catalog(spark), TEMPLATE)
+    return template.structure_issues(_catalog(spark, sf), TEMPLATE)
 
 
 @query(f"{_ISSUES} SELECT file_name, count(*) FILTER (severity IN ('Error', 'Critical')) AS errors, count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Info') AS infos, CASE WHEN count(*) FILTER (severity IN ('Error', 'Critical')) > 0 THEN 'Invalid' WHEN count(*) FILTER (severity = 'Warning') > 0 THEN 'ValidWithWarnings' ELSE 'Valid' END AS status FROM issues GROUP BY 1")
 def report_rollup(spark, sf):
-    return template.report(template.structure_issues(_catalog(spark), TEMPLATE))
+    return template.report(template.structure_issues(_catalog(spark, sf), TEMPLATE))
 
 
 @query(f"{_ISSUES} SELECT severity, file_name AS context, count(*) AS n FROM issues GROUP BY GROUPING SETS ((severity), (file_name), ())")
 def error_summary(spark, sf):
-    return template.error_summary(template.structure_issues(_catalog(spark), TEMPLATE))
+    return template.error_summary(template.structure_issues(_catalog(spark, sf), TEMPLATE))
 
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS value, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1 ORDER BY n DESC, min(c_custkey) LIMIT 5")
@@ -477,12 +498,6 @@ def merge_flatten(spark, sf):
     return _merged(spark, sf, "flatten")
 
 
-@query("SELECT CAST(3 AS BIGINT) AS ranges, CAST(8 AS BIGINT) AS cells, CAST(2 AS BIGINT) AS vertical, CAST(1 AS BIGINT) AS horizontal, 'Complex' AS level, 'ExpandValue' AS advice, round(8.0 / 18, 6) AS percent")
-def merge_complexity(spark, sf):
-    out = merged.complexity(spark.createDataFrame(RANGES, "ord int, r0 long, c0 int, r1 long, c1 int"))
-    return out.select(*_long("ranges", "cells", "vertical", "horizontal"), "level", "advice", F.round("percent", 6).alias("percent"))
-
-
 def queries() -> dict:
     from gridwork import catalog_sheets  # noqa: F401  registers its queries
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwork.functions.scalars import intensity
+from gridwork.operators.order import numbered
 
 
 def extract_rows(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
@@ -77,11 +78,10 @@ def structural_warnings(catalog: DataFrame) -> DataFrame:
     appearance over files in order of name.
     """
     first = catalog.groupBy("col_name").agg(F.min(F.struct("file_name", "col_idx")).alias("f"))
-    order = first.select("col_name", (F.row_number().over(Window.orderBy("f")) - 1).alias("place"))  # one row per header
-    files = catalog.select("file_name").distinct()
-    n = files.agg(F.count("*").alias("n_files"))
+    order = numbered(first, ["f"]).select("col_name", "place")
+    n = catalog.agg(F.countDistinct("file_name").alias("n_files"))
     seen = catalog.groupBy("col_name").agg(F.countDistinct("file_name").alias("have"))
-    missing = seen.crossJoin(n).filter("have < n_files").select("col_name", F.lit("Missing").alias("issue"), (F.col("n_files") - F.col("have")).alias("files"))
+    missing = seen.join(F.broadcast(n)).filter("have < n_files").select("col_name", F.lit("Missing").alias("issue"), (F.col("n_files") - F.col("have")).alias("files"))
     moved = catalog.join(order, "col_name").filter("col_idx <> place").groupBy("col_name").agg(F.countDistinct("file_name").alias("files"))
     return missing.unionByName(moved.select("col_name", F.lit("Position").alias("issue"), "files"))
 

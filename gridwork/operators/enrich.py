@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwork.operators.order import numbered
 from gridwork.functions import scalars as X
 from gridwork.operators import merged, profile
 
@@ -59,7 +60,7 @@ def catalog(files: DataFrame, columns: DataFrame) -> DataFrame:
     """Columns (file, sheet, col_idx, col_name, type) of files (file, status) that loaded, blank headers aside, with ``ord`` by place."""
     loaded = files.filter(F.col("status").isin("Success", "PartialSuccess")).select("file")
     rows = columns.join(loaded, "file", "left_semi").filter(F.trim("col_name") != "").withColumn("type", F.coalesce("type", F.lit("Unknown")))
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("file", "sheet", "col_idx")) - 1)  # one row per column
+    return numbered(rows, ["file", "sheet", "col_idx"], "ord")
 
 
 def comparison(cells: DataFrame, hits: DataFrame, name: str | None = None, at: datetime | None = None, header_rows: int = 1) -> tuple[DataFrame, DataFrame]:

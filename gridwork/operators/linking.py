@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwork.operators.order import numbered
+
 
 def name_key(name: Column) -> Column:
     return F.lower(F.trim(name))
@@ -61,7 +63,7 @@ def invert_selection(catalog: DataFrame) -> DataFrame:
 
 def links_by_name(links: DataFrame) -> DataFrame:
     """Links in order of their semantic name in any case, then as written, with their place."""
-    return links.withColumn("place", F.row_number().over(Window.orderBy(F.lower("semantic_name"), "semantic_name")) - 1)  # one row a link
+    return numbered(links, [F.lower("semantic_name"), "semantic_name"])
 
 
 def merge_groups(members: DataFrame, target: str, sources: Sequence[str]) -> DataFrame:

@@ -11,16 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def covered(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every cell of every range with its range: row_idx, col_idx, ord, r0, c0; of overlapping ranges the last wins."""
-    cells = ranges.select(*by, "ord", "r0", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row_idx")).select(*by, "ord", "r0", "c0", "row_idx", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
-    return cells.groupBy(*by, "row_idx", "col_idx").agg(F.max(F.struct("ord", "r0", "c0")).alias("m")).select(*by, "row_idx", "col_idx", "m.*")
+def covered(cells: DataFrame, ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(row_idx, col_idx) of the cells within a range, with its ord, r0, c0; of overlapping ranges the last wins.
+
+    An index of intervals, not a list of cells: a range is held in the tiles of
+    its own size, the powers of two next to its height and width, of which it
+    meets four at most, whatever it covers. A cell looks into one tile of each
+    size that its sheet has.
+    """
+    by = list(by)
+    power = lambda n: F.ceil(F.log2(n.cast("double"))).cast("int")
+    sized = ranges.withColumn("_h", power(F.col("r1") - F.col("r0") + 1)).withColumn("_w", power(F.col("c1") - F.col("c0") + 1))
+    tile = lambda c, p: F.expr(f"shiftright(CAST({c} AS BIGINT), {p})")
+    held = sized.withColumn("_tr", F.explode(F.sequence(tile("r0", "_h"), tile("r1", "_h")))).withColumn("_tc", F.explode(F.sequence(tile("c0", "_w"), tile("c1", "_w"))))
+    sizes = sized.select(*by, "_h", "_w").distinct()  # few a sheet: at most 21 heights by 15 widths
+    places = cells.select(*by, "row_idx", "col_idx")
+    asked = (places.join(sizes, by) if by else places.join(F.broadcast(sizes))).withColumn("_tr", tile("row_idx", "_h")).withColumn("_tc", tile("col_idx", "_w"))
+    met = asked.join(held, [*by, "_h", "_w", "_tr", "_tc"]).filter("row_idx BETWEEN r0 AND r1 AND col_idx BETWEEN c0 AND c1")
+    return met.groupBy(*by, "row_idx", "col_idx").agg(F.max(F.struct("ord", "r0", "c0")).alias("m")).select(*by, "row_idx", "col_idx", "m.*")
 
 
 def resolve(cells: DataFrame, ranges: DataFrame, strategy: str = "expand", by: Sequence[str] = ()) -> DataFrame:
     """Cells with merges resolved: ``expand`` gives all the first one's value, ``keep`` only the first, ``flatten`` the first one all values joined by a blank."""
     by = list(by)
-    tagged = cells.join(covered(ranges, by), [*by, "row_idx", "col_idx"], "left")
+    tagged = cells.join(covered(cells, ranges, by), [*by, "row_idx", "col_idx"], "left")
     first = (F.col("row_idx") == F.col("r0")) & (F.col("col_idx") == F.col("c0"))
     if strategy == "expand":
         corners = ranges.select(*by, "r0", "c0").distinct()

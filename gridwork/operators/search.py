@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwork.functions.scalars import rc
+from gridwork.operators.order import numbered
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,7 @@ def group_tree(hits: DataFrame) -> DataFrame:
 
 def groups_in_order(groups: DataFrame) -> DataFrame:
     """Groups of ``group_by_value`` with their place: those that not every file has first, then by value."""
-    return groups.withColumn("place", F.row_number().over(Window.orderBy("found_in_all", "value")) - 1)  # one row per distinct value
+    return numbered(groups, ["found_in_all", "value"])
 
 
 def distinct_lists(hits: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ BUILT_IN = {
     37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
 }
 FIRST_CUSTOM = 164
-#: kind is sheet, cell, merge or error; r1 and c1 are a merge's last row and column, date_system is on sheet rows.
+#: kind is sheet, cell, merge or error; r1, c1 and fmt are a merge's last row and column and its place among the sheet's merges, date_system is on sheet rows.
 ROWS = "kind string, file string, sheet string, sheet_idx int, row_idx long, col_idx int, r1 long, c1 int, value string, tag string, fmt string, date_system string, severity string"
 _NAMES = [c.split()[0] for c in ROWS.split(", ")]
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -101,7 +101,7 @@ class Book:
 
         Cells that ``keep`` (of row and column) doesn't want are not decoded, their value is null; rows behind ``last`` are not read, nor is what follows them.
         """
-        row, column = -1, -1
+        row, column, merges = -1, -1, 0
         with self.zip.open(part_name) as part:
             for event, node in ElementTree.iterparse(part, events=("start", "end")):
                 kind = _local(node)
@@ -123,16 +123,17 @@ class Book:
                 elif kind == "row":
                     node.clear()
                 elif kind == "mergeCell":
-                    yield self._merge(name, node.get("ref") or "")
+                    yield self._merge(name, node.get("ref") or "", merges)
+                    merges += 1
 
-    def _merge(self, sheet: str, reference: str) -> tuple:
+    def _merge(self, sheet: str, reference: str, order: int) -> tuple:
         try:
             (r0, c0), (r1, c1) = map(place, reference.split(":"))
         except (AttributeError, ValueError):
             return ("error", None, None, None, None, f"{sheet}: {reference} is no range", None, None, "Warning")
         if r1 < r0 or c1 < c0:
             return ("error", None, None, None, None, f"{sheet}: {reference} ends before it begins", None, None, "Warning")
-        return ("merge", r0, c0, r1, c1, reference, None, None, None)
+        return ("merge", r0, c0, r1, c1, reference, None, str(order), None)
 
     def decoded(self, node) -> tuple[str, str]:
         """Text and tag of a cell: texts stay texts, whole numbers are Integer, a date is DateTime."""
@@ -212,5 +213,5 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merged_ranges(rows: DataFrame) -> DataFrame:
-    """Ranges (file, sheet, ord, r0, c0, r1, c1) of ``read_workbooks``."""
-    return rows.filter("kind = 'merge'").select("file", "sheet", (F.col("row_idx") * 20_000 + F.col("col_idx")).alias("ord"), F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), "r1", "c1")
+    """Ranges (file, sheet, ord, r0, c0, r1, c1) of ``read_workbooks``; ord is their order in the file."""
+    return rows.filter("kind = 'merge'").select("file", "sheet", F.col("fmt").cast("long").alias("ord"), F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), "r1", "c1")
