@@ -61,27 +61,49 @@ def cell(reference: str, value, fmt: str | None, formats: Formats, date_format:
     return f'<c r="{reference}" t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
 
+class Frame:
+    """What a workbook has besides the rows of its sheets."""
+
+    TAIL = "</sheetData></worksheet>"
+
+    @staticmethod
+    def head(frozen: bool) -> str:
+        """What a sheet begins with."""
+        pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if frozen else ""
+        return f'{_HEAD}<worksheet xmlns="{_MAIN}">{pane}<sheetData>'
+
+    def __call__(self, sheets: Sequence[str], formats: Formats) -> dict[str, str]:
+        """The other parts by name, for sheets of these names."""
+        n = range(1, len(sheets) + 1)
+        names = "".join(f'<sheet name="{escape(s[:MAX_NAME], {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, s in zip(n, sheets))
+        links = "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in n)
+        return {
+            "xl/workbook.xml": f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{names}</sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">{links}<Relationship Id="rIdS" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>',
+            "xl/styles.xml": formats.xml(),
+            "_rels/.rels": f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+            "[Content_Types].xml": f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
+        }
+
+
+frame = Frame()
+
+
 def workbook(sheets: Sequence[tuple[str, Sequence[str], Iterable[Sequence], Mapping[str, str]]], date_format: str = "yyyy-mm-dd", frozen: bool = False) -> bytes:
     """Bytes of a workbook of (name, header, rows, formats by header)."""
     out, formats = io.BytesIO(), Formats()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for k, (_, header, rows, by) in enumerate(sheets, 1):
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as part:
-                pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if frozen else ""
-                part.write(f'{_HEAD}<worksheet xmlns="{_MAIN}">{pane}<sheetData>'.encode())
+                part.write(frame.head(frozen).encode())
                 columns = [letters(i) for i in range(len(header))]
                 part.write(('<row r="1">' + "".join(cell(f"{c}1", h, None, formats, date_format) for c, h in zip(columns, header)) + "</row>").encode())
                 for r, row in enumerate(rows, 2):
                     part.write((f'<row r="{r}">' + "".join(cell(f"{c}{r}", v, by.get(h), formats, date_format) for c, h, v in zip(columns, header, row)) + "</row>").encode())
-                part.write(b"</sheetData></worksheet>")
-        names = "".join(f'<sheet name="{escape(n[:MAX_NAME], {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, (n, *_) in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">{links}<Relationship Id="rIdS" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", formats.xml())
-        z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
+                part.write(frame.TAIL.encode())
+        for name, text in frame([n for n, *_ in sheets], formats).items():
+            z.writestr(name, text)
     return out.getvalue()
 
 
