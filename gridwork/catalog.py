@@ -88,9 +88,10 @@ def search_regex_ci(spark, sf):
     return _hits(Tables(spark, sf).part, "^brand#[1-3]$", Options(regex=True), columns=["p_brand", "p_type"])
 
 
-@query(_hit_sql("part", "p_partkey", ["p_name", "p_brand"], "contains(lower({v}), '[a')"))
+@query(_hit_sql("documents", "doc_id", ["text"], "contains({v}, '***')"))
 def search_bad_regex_fallback(spark, sf):
-    return _hits(Tables(spark, sf).part, "[a", Options(regex=True), columns=["p_name", "p_brand"])
+    """``***`` is no regular expression, so it is searched as it stands."""
+    return _hits(Tables(spark, sf).documents, "***", Options(regex=True), columns=["text"])
 
 
 @query(_hit_sql("supplier", "s_suppkey", ["s_name"], "contains(lower({v}), '1')"))
@@ -456,6 +457,13 @@ def duplicates_top5(spark, sf):
     return template.duplicates(Tables(spark, sf).customer, "c_nationkey", "c_custkey")
 
 
+@query("SELECT lower(p_type) AS value, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, min(p_partkey) LIMIT 5")
+def duplicates_in_any_case(spark, sf):
+    """Values that repeat when case is set aside."""
+    mixed = Tables(spark, sf).part.withColumn("p_type", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type")))
+    return template.duplicates(mixed, "p_type", "p_partkey").select(F.lower("value").alias("value"), "n")
+
+
 @query("SELECT 'text' AS col_name, count(*) FILTER (trim(text, ' ') <> '') AS filled FROM documents UNION ALL SELECT 'lang', count(*) FILTER (trim(lang, ' ') <> '') FROM documents")
 def not_empty(spark, sf):
     return template.not_empty(Tables(spark, sf).documents, ["text", "lang"])
@@ -499,7 +507,7 @@ def merge_flatten(spark, sf):
 
 
 def queries() -> dict:
-    from gridwork import catalog_sheets  # noqa: F401  registers its queries
+    from gridwork import catalog_files, catalog_sheets  # noqa: F401  register their queries
 
     return dict(QUERIES)
 

@@ -376,9 +376,9 @@ def groups_sorted(spark, sf):
     return search.groups_in_order(search.group_by_value(hits, 25)).select("value", "found_in_all", "place")
 
 
-@query("SELECT min(n_name) AS name FROM nation WHERE n_name LIKE '%AN%' GROUP BY lower(n_name) ORDER BY min(n_nationkey) LIMIT 10")
+@query("SELECT min(n_name) AS name FROM nation WHERE contains(lower(n_name), 'tion_1') GROUP BY lower(n_name) ORDER BY min(n_nationkey) LIMIT 10")
 def suggestion_narrowing(spark, sf):
-    return sheet.narrowed(Tables(spark, sf).nation.select(F.col("n_name").alias("name"), "n_nationkey"), "an", "n_nationkey")
+    return sheet.narrowed(Tables(spark, sf).nation.select(F.col("n_name").alias("name"), "n_nationkey"), "Tion_1", "n_nationkey")
 
 
 @query("SELECT n_nationkey, 'CELL' AS code, CASE WHEN n_nationkey % 4 = 0 THEN 'Critical' ELSE 'Error' END AS severity, n_name AS message, n_nationkey % 4 <> 0 AS recoverable, CAST(n_nationkey AS BIGINT) AS row, CAST(n_nationkey * 30 AS BIGINT) AS col FROM nation")
@@ -467,3 +467,24 @@ def suggestions_sheets(spark, sf):
 def included_columns(spark, sf):
     n = Tables(spark, sf).nation.select(F.col("n_name").alias("col_name"), F.when(F.col("n_nationkey") % 4 == 0, "Group").alias("semantic_name"), (F.col("n_nationkey") % 3 == 0).alias("included"))
     return linking.included_names(linking.invert_selection(n))
+
+
+@query(f"WITH {CELLS_SQL} SELECT file, count(*) AS hits FROM cells WHERE contains(lower(value), 'u') AND file <> 'n3.xlsx' GROUP BY file")
+def hits_without_file(spark, sf):
+    """Hits that are left when a file is closed."""
+    hits = _cells(spark, sf).filter(F.lower("value").contains("u")).withColumnRenamed("file", "file_name")
+    return search.without_file(hits, "n3.xlsx").groupBy(F.col("file_name").alias("file")).agg(F.count("*").alias("hits"))
+
+
+@query(f"WITH {CELLS_SQL}, h AS (SELECT DISTINCT file, col_idx, CASE WHEN file = 'n5.xlsx' AND col_idx = 1 THEN 'Saldo' ELSE col_name END AS col_name FROM cells) SELECT file, count(*) FILTER (lower(col_name) = 'name' AND col_idx = 0) > 0 AND count(*) FILTER (lower(col_name) = 'balance') > 0 AS ok FROM h GROUP BY file")
+def template_quick_check(spark, sf):
+    """Whether each sheet has the columns that a template asks for; one has its balance under another name."""
+    heads = _cells(spark, sf).select("file", "col_idx", F.when((F.col("file") == "n5.xlsx") & (F.col("col_idx") == 1), "Saldo").otherwise(F.col("col_name")).alias("col_name")).distinct()
+    wanted = template.Template("t", (template.Expected("name", "Text", 0), template.Expected("Balance", "Number"), template.Expected("Other", "Text", required=False)))
+    return validate.quick_check(heads, wanted)
+
+
+@query(f"WITH {CELLS_SQL} SELECT file, row_idx, col_idx, concat('R', CAST(row_idx + 1 AS VARCHAR), 'C', CAST(col_idx + 1 AS VARCHAR)) AS coordinates FROM cells WHERE contains(lower(value), 'furn')")
+def hit_coordinates(spark, sf):
+    hits = _cells(spark, sf).filter(F.lower("value").contains("furn")).withColumnRenamed("row_idx", "row_key")
+    return search.coordinates(hits).select("file", F.col("row_key").alias("row_idx"), "col_idx", "coordinates")
