@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 LONGEST, DIGITS = 32, 16
 #: Paragraphs of a section on average, in texts of up to so many paragraphs.
 SECTION = ((8, 512), (64, 32_768), (512, None))
+#: Names of a list that is searched from its start.
+SHORT = 24
 #: Documents of a bucket of neighbours, and most limits of buckets.
 NEIGHBOURS, MOST_BUCKETS = 1500, 20_000
 
@@ -98,14 +100,20 @@ def parsed(text: Column) -> Column:
     return F.transform(F.array(F.split(text, ";")), lambda f: F.struct(f[0].alias("root"), F.transform(F.slice(f, F.lit(2), F.greatest(F.size(f) - 1, F.lit(0))), section).alias("s")))[0]
 
 
+def _held(names: Column, name: Column) -> Column:
+    """Whether a sorted list holds a name: by halving where it is long, so that texts of many sections take no square of time."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(names) + 1.0)).cast("int"))
+    return F.when(F.size(names) <= SHORT, F.array_contains(names, name)).otherwise(F.coalesce(F.get(names, _halved(names, F.size(names), name, steps) - 1) == name, F.lit(False)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of pieces that two trees have in common: all of equal sections, and the distinct ones that differing sections share."""
-    names = lambda t: F.transform(t["s"], lambda x: x["h"])
+    names = lambda t: F.array_sort(F.transform(t["s"], lambda x: x["h"]))
     n_pieces = lambda s: F.aggregate(s["p"], F.lit(0), lambda t, p: t + F.size(p["k"]))
 
     def parts(t: Column, other: Column) -> Column:
-        equal = F.filter(t["s"], lambda s: F.array_contains(other, s["h"]))
-        apart = F.filter(t["s"], lambda s: ~F.array_contains(other, s["h"]))
+        equal = F.filter(t["s"], lambda s: _held(other, s["h"]))
+        apart = F.filter(t["s"], lambda s: ~_held(other, s["h"]))
         below = F.flatten(F.transform(apart, lambda s: F.flatten(F.transform(s["p"], lambda p: p["k"]))))
         return F.struct(F.aggregate(equal, F.lit(0), lambda n, s: n + n_pieces(s)).alias("n"), F.array_distinct(below).alias("k"))
 
@@ -193,16 +201,19 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def _bisect(array: Column, n: int, x: Column) -> Column:
-    """How many of n sorted limits are at most x, by halving."""
-    steps = max(1, n.bit_length())
+    """How many of n sorted limits are at most x."""
+    return _halved(array, F.lit(n), x, F.sequence(F.lit(0), F.lit(max(1, n.bit_length()))))
+
+
+def _halved(array: Column, n: Column, x: Column, steps: Column) -> Column:
+    """How many of n sorted values are at most x, by halving."""
 
     def halve(state: Column, _: Column) -> Column:
         middle = F.floor((state["a"] + state["b"]) / 2).cast("int")
         right = (state["a"] < state["b"]) & (F.get(array, middle) <= x)
         return F.struct(F.when(right, middle + 1).otherwise(state["a"]).alias("a"), F.when(right | (state["a"] >= state["b"]), state["b"]).otherwise(middle).alias("b"))
 
-    start = F.struct(F.lit(0).alias("a"), F.lit(n).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, halve, lambda s: s["a"])
+    return F.aggregate(steps, F.struct(F.lit(0).alias("a"), n.alias("b")), halve, lambda s: s["a"])
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
