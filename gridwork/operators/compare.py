@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwork.functions.scalars import intensity
@@ -52,13 +52,10 @@ def verdicts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     cells = cells.withColumn("value", F.coalesce(F.trim("value"), F.lit("")))
     counts = cells.groupBy(*by, "value").agg(F.count("*").alias("freq"))
     totals = counts.groupBy(*by).agg(F.sum("freq").alias("rows"), F.count(F.when(F.col("value") != "", 1)).alias("groups"), F.sum(F.when(F.col("value") != "", F.col("freq"))).alias("filled"))
-    # A value's rank is its place in its bucket (equal frequency and first characters) after all buckets before: no task orders all values.
-    some = counts.filter("value <> ''").withColumn("_head", F.left("value", F.lit(2)))
-    bucket = [*by, "freq", "_head"]
-    before = Window.partitionBy(*by).orderBy(F.desc("freq"), "_head").rowsBetween(Window.unboundedPreceding, -1)
-    first = some.groupBy(*bucket).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy(*bucket).orderBy("value")) - 1
-    ranks = some.withColumn("_k", inside).join(first, bucket).select(*by, "value", (F.col("_before") + F.col("_k")).alias("rank"))
+    # A value's rank is its place among all values, less that of its group's first: no task orders all values, and none those of one group or frequency.
+    placed = numbered(counts.filter("value <> ''"), [*by, -F.col("freq"), "value"], "_place")
+    first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
+    ranks = placed.join(first, by).select(*by, "value", (F.col("_place") - F.col("_first")).alias("rank"))
     stats = counts.join(totals, by).join(ranks, [*by, "value"], "left")
     out = cells.join(stats, [*by, "value"])
     filled, groups = F.coalesce("filled", F.lit(0)), F.coalesce("groups", F.lit(0))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridwork.operators import merged, order
+from gridwork.operators import compare, merged, order
 from gridwork.sources import xlsx
 
 
@@ -24,10 +24,28 @@ def test_numbered_ranges_are_even(spark):
     df = spark.range(50_000).select(F.format_string("Customer#%09d", F.col("id")).alias("k"))
     plan = order.numbered(df, ["k"])
     assert plan.select(F.max("place")).first()[0] == 49_999
-    shown = df.select("k").orderBy(F.xxhash64(F.struct("k"))).limit(order.SHOWN).orderBy("k").collect()
+    shown = df.select("k").orderBy(F.xxhash64(F.struct("k"))).limit(order.SHOWN * order.RANGES).orderBy("k").collect()
     cuts = [r.k for r in shown][:: max(1, len(shown) // order.RANGES)][1:]
-    sizes = df.groupBy(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("k")))).count().collect()
-    assert len(sizes) >= 90 and max(r["count"] for r in sizes) < 6 * 50_000 / len(sizes)
+    table = spark.createDataFrame([(cuts,)], "_cuts array<string>")
+    by = df.join(F.broadcast(table)).select("k", order._at_most("_cuts", len(cuts), F.col("k")).alias("n"), F.size(F.filter("_cuts", lambda c: c <= F.col("k"))).alias("want"))
+    assert by.filter("n <> want").count() == 0
+    sizes = by.groupBy("n").count().collect()
+    assert len(sizes) >= 90 and max(r["count"] for r in sizes) < 3 * 50_000 / len(sizes)
+
+
+def test_verdict_ranks(spark):
+    """Ranks by frequency, then value, within each group, where all values begin alike and occur once."""
+    import math
+
+    cells = spark.range(6000).select((F.col("id") % 3).alias("g"), F.format_string("Customer#%09d", F.col("id")).alias("value")).unionByName(spark.createDataFrame([(0, "Customer#000000003"), (1, "b"), (2, "")], "g long, value string"))
+    got = {(r.g, r.value): r.intensity for r in compare.verdicts(cells, ["g"]).select("g", "value", "intensity").distinct().collect()}
+    for g in range(3):
+        counts = {}
+        for r in cells.filter(F.col("g") == g).collect():
+            counts[r.value] = counts.get(r.value, 0) + bool(r.value)
+        ordered = sorted((v for v in counts if v), key=lambda v: (-counts[v], v))
+        for k, v in enumerate(ordered):
+            assert abs(got[g, v] - math.log(1 + k / (len(ordered) - 1) * (math.e - 1))) < 1e-9
 
 
 def test_merges_by_index(spark):
