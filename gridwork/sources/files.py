@@ -36,8 +36,8 @@ def text_cells(rows: DataFrame) -> DataFrame:
         F.when(number.isNotNull(), "FloatingPoint").when(F.col("row_idx") == 0, "Text").otherwise(infer_text(F.col("value"))).alias("tag"), fmt.alias("fmt"))
 
 
-def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All files under a folder: cells with column names, errors (file, severity, message), and files with their status.
+def load(spark: SparkSession, folder: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All files under a folder, or of a list: cells with column names, errors (file, severity, message), and files with their status.
 
     Workbooks are read in one scan, old workbooks and texts in one each. A file
     of another format is Failed, as is one that no reader says anything about, and
