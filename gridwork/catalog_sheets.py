@@ -314,7 +314,7 @@ def load_status(spark, sf):
     return sheet.load_status(files, _errors(spark, sf)).select("file", "status")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY lower(n_name), n_name) - 1 AS INTEGER) AS place, n_name AS semantic_name FROM nation")
+@query("SELECT CAST(row_number() OVER (ORDER BY upper(n_name), n_name) - 1 AS INTEGER) AS place, n_name AS semantic_name FROM nation")
 def links_sorted(spark, sf):
     return linking.links_by_name(Tables(spark, sf).nation.select(F.col("n_name").alias("semantic_name"))).select("place", "semantic_name")
 
@@ -369,7 +369,7 @@ def _segment_hits(spark, sf) -> DataFrame:
     return Tables(spark, sf).customer.select(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file_name"), F.lit("Data").alias("sheet_name"), F.col("c_mktsegment").alias("value"))
 
 
-@query("WITH g AS (SELECT lower(c_mktsegment) AS value, count(DISTINCT c_nationkey) AS files FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_nationkey <> 3 GROUP BY 1) SELECT value, files = 25 AS found_in_all, CAST(row_number() OVER (ORDER BY files = 25, value) - 1 AS INTEGER) AS place FROM g")
+@query("WITH g AS (SELECT lower(c_mktsegment) AS value, count(DISTINCT c_nationkey) AS files FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_nationkey <> 3 GROUP BY 1) SELECT value, files = 25 AS found_in_all, CAST(row_number() OVER (ORDER BY files = 25, value COLLATE de, value) - 1 AS INTEGER) AS place FROM g")
 def groups_sorted(spark, sf):
     """Values that some file lacks first, then by value."""
     hits = _segment_hits(spark, sf).filter("value <> 'BUILDING' OR file_name <> 'f3'")
@@ -488,3 +488,22 @@ def template_quick_check(spark, sf):
 def hit_coordinates(spark, sf):
     hits = _cells(spark, sf).filter(F.lower("value").contains("furn")).withColumnRenamed("row_idx", "row_key")
     return search.coordinates(hits).select("file", F.col("row_key").alias("row_idx"), "col_idx", "coordinates")
+
+
+_ACCENTS = "CASE n_nationkey % 4 WHEN 0 THEN 'é' WHEN 1 THEN '_' WHEN 2 THEN 'E' ELSE 'ä_' END || lower(n_name)"
+
+
+@query(f"SELECT {_ACCENTS} AS value, n_nationkey % 3 = 0 AS found_in_all, CAST(row_number() OVER (ORDER BY n_nationkey % 3 = 0, {_ACCENTS} COLLATE de, {_ACCENTS}) - 1 AS INTEGER) AS place FROM nation")
+def groups_by_culture(spark, sf):
+    """Values with accents, capitals and underscores in a dictionary's order."""
+    groups = Tables(spark, sf).nation.select(F.expr(_ACCENTS).alias("value"), (F.col("n_nationkey") % 3 == 0).alias("found_in_all"))
+    return search.groups_in_order(groups).select("value", "found_in_all", "place")
+
+
+_UNDERSCORES = "CASE WHEN n_nationkey % 2 = 0 THEN lower(replace(n_name, '_', 'b')) ELSE n_name END"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY upper({_UNDERSCORES}), {_UNDERSCORES}) - 1 AS INTEGER) AS place, {_UNDERSCORES} AS semantic_name FROM nation")
+def links_in_any_case(spark, sf):
+    """Names in both cases, underscores after all letters."""
+    return linking.links_by_name(Tables(spark, sf).nation.select(F.expr(_UNDERSCORES).alias("semantic_name"))).select("place", "semantic_name")

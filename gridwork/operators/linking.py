@@ -62,8 +62,8 @@ def invert_selection(catalog: DataFrame) -> DataFrame:
 
 
 def links_by_name(links: DataFrame) -> DataFrame:
-    """Links in order of their semantic name in any case, then as written, with their place."""
-    return numbered(links, [F.lower("semantic_name"), "semantic_name"])
+    """Links in order of their semantic name in capitals, so that ``_`` follows the letters, then as written, with their place."""
+    return numbered(links, [F.upper("semantic_name"), "semantic_name"])
 
 
 def merge_groups(members: DataFrame, target: str, sources: Sequence[str]) -> DataFrame:

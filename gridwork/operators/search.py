@@ -162,8 +162,8 @@ def group_tree(hits: DataFrame) -> DataFrame:
 
 
 def groups_in_order(groups: DataFrame) -> DataFrame:
-    """Groups of ``group_by_value`` with their place: those that not every file has first, then by value."""
-    return numbered(groups, ["found_in_all", "value"])
+    """Groups of ``group_by_value`` with their place: those that not every file has first, then by value as a dictionary has it (accents and case aside, ``_`` before letters)."""
+    return numbered(groups, ["found_in_all", F.collate("value", "UNICODE"), "value"])
 
 
 def distinct_lists(hits: DataFrame) -> DataFrame:
