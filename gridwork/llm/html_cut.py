@@ -7,7 +7,7 @@ link density, length and punctuation into a probability; the negative logarithms
 of both labels' probabilities are the block's capacities to the two terminals.
 Neighbouring blocks and blocks of one parent element are tied by smoothness
 edges on the same scale, whose capacities are those of the best token F1 on
-generated pages that the classifier has not seen. The maximum flow gives the
+generated pages that the classifier has not seen, and never 0. The maximum flow gives the
 cheapest labelling, and the blocks on the source's side are the main text.
 
 Defined results: a null or empty page, or one without content, gives an empty
@@ -66,10 +66,13 @@ GROUP_OF = {w: g for g, words in WORDS.items() for w in words}
 #: Further features: heading, no element or word of the above, share of linked characters, length, end mark, and the constant.
 FEATURES = [*TAGS, *WORDS, "heading", "bare", "links", "length", "mark", "one"]
 PLACE = {f: i for i, f in enumerate(FEATURES)}
+#: Features that speak for content; share of the page's text that an element around it has, and length of a block that may be prose.
+SPEAKING_FOR = frozenset(PLACE[f] for f in ("article", "main", "section", "p", "blockquote", "pre", "figcaption", "content", "heading"))
+NEARLY, PROSE = 0.85, 80
 #: Elements that may hold the whole page or its article: a word of their class never counts against them.
 WHOLE = frozenset("html body main article".split())
 #: Generated pages (half to fit on, half to choose the edges' capacities on), and capacities to choose from.
-EXAMPLES, CAPACITIES = 800, (0.0, 0.25, 0.5, 1.0, 1.5, 2.0)
+EXAMPLES, CAPACITIES = 800, (0.25, 0.5, 1.0, 1.5, 2.0)
 
 
 def words_of(attributes: str) -> list[str]:
@@ -104,7 +107,7 @@ def marks_of(tag: str, attributes: str) -> tuple[int, ...]:
 
 def blocks_of(page: str) -> list[tuple[str, frozenset[int], float, int]]:
     """Blocks in page order: text, features of its chain, share of linked characters, number of its parent element."""
-    found: list[tuple[str, frozenset[int], float, int]] = []
+    found: list[tuple[str, tuple, float, int]] = []  # with the elements that say something, each with its number
     stack: list[tuple[str, tuple[int, ...], int, int, int]] = []  # open elements: name, features, number; blocks and link before it
     parts: list[str] = []
     linked, in_link, count, at, n = 0, 0, 0, 0, len(page)
@@ -117,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[int], float, int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text and hidden_at < 0:
-                marks = frozenset(i for x in stack for i in x[1])
+                marks = tuple((x[2], x[1]) for x in stack if x[1])
                 parent = next((x[2] for x in reversed(stack) if x[0] not in BLOCKS), 0)
                 found.append((text, marks, min(1.0, linked / len(text)), parent))
         linked = 0
@@ -185,7 +188,21 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[int], float, int]]:
                 marks = marks_of(name, m[3])
                 stack.append((name, (*marks, heading) if name in BLOCKS and name != "p" else marks, count, len(found), in_link))
     flush()
-    return found
+    return _without_wrappers(found)
+
+
+def _without_wrappers(found: list[tuple[str, tuple, float, int]]) -> list[tuple[str, frozenset[int], float, int]]:
+    """Blocks with the features of their chains. What an element around nearly all text says against it is not counted, if there is prose in it:
+    a form around the page, a nav without an end, or a wrapper whose class happens to name a share price is no sign of boilerplate."""
+    total = sum(len(b[0]) for b in found)
+    held: dict[int, int] = {}
+    for text, chain, _, _ in found:
+        for number, _ in chain:
+            held[number] = held.get(number, 0) + len(text)
+    prose = {number for text, chain, links, _ in found if len(text) >= PROSE and links < 0.3 and text[-1] in _END_MARKS for number, _ in chain}
+    around = {number for number, size in held.items() if size >= NEARLY * total and number in prose}
+    kept = lambda number, marks: (i for i in marks if number not in around or i in SPEAKING_FOR)
+    return [(text, frozenset(i for number, marks in chain for i in kept(number, marks)), links, parent) for text, chain, links, parent in found]
 
 
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}

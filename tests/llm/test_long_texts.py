@@ -44,3 +44,20 @@ def test_many_sections_in_one_text(spark):
     names = spark.range(300).select(F.array_sort(F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda i: F.left(F.sha2((i * 3).cast("string"), 256), F.lit(16)))).alias("n"), F.left(F.sha2((F.col("id") % 97).cast("string"), 256), F.lit(16)).alias("x"))
     assert names.filter(merkle._held(F.col("n"), F.col("x")) != F.array_contains("n", F.col("x"))).count() == 0
     assert names.filter(merkle._held(F.col("n"), F.col("x"))).count() > 20
+
+
+PROSE = "The committee published its yearly report on Tuesday, and it describes in some detail how the coastal towns recovered."
+ARTICLE = f"<h1>Report</h1><p>{PROSE}</p><p>{PROSE} It was read by many.</p>"
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/>News</a></li><li><a href=/>About us</a></li></ul>"
+
+
+def test_wrappers_around_a_page():
+    """An element that holds nearly the whole page does not take its article away, whatever it is called; menus and comments still go."""
+    from gridwork.llm import html_cut
+
+    want = f"Report {PROSE} {PROSE} It was read by many."
+    pages = [f"<body><nav>{MENU}<article>{ARTICLE}</article></body>", f"<body><form id='aspnetForm'><div class='menu'>{MENU}</div><div>{ARTICLE}</div></form></body>", f"<body>{MENU}<div id='post-comment-policy'><article>{ARTICLE}</article></div></body>",
+             f"<body><div class='search-story'>{ARTICLE}</div></body>", f"<body><nav>{MENU}</nav><div class='share-price'>{ARTICLE}</div></body>", f"<body><article>{ARTICLE}</article><div class='comments'><p>{PROSE}</p></div></body>"]
+    assert [html_cut.extract(p) for p in pages] == [want] * len(pages)
+    assert html_cut.extract(f"<body><nav>{MENU}</nav></body>") == html_cut.extract(f"<body><form><input><button>Send</button></form><footer>{MENU}</footer></body>") == ""
+    assert all(c > 0 for c in html_cut.model()[1:])
