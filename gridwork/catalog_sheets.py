@@ -118,14 +118,14 @@ CASE WHEN col_idx = 2 AND c_custkey % 7 = 2 THEN CAST(value AS TIMESTAMP) WHEN c
 
 @query(f"WITH {_NORMAL} SELECT c_custkey, col_name, type, issue, number, text, strftime(date, '%Y-%m-%d') AS date FROM nrm")
 def normalize_cells(spark, sf):
-    out = enrich.normalized(_cells(spark, sf))
+    out = enrich.normalized(_cells(spark, sf), mode="days")
     return out.select("c_custkey", "col_name", "n.type", "n.issue", "n.number", "n.text", F.date_format("n.date", "yyyy-MM-dd").alias("date"))
 
 
 @query(f"WITH {_NORMAL} SELECT n.c_custkey, n.col_name, CASE WHEN row_idx > 100 THEN value WHEN n.text IS NOT NULL THEN n.text WHEN number IS NOT NULL THEN NULL WHEN type = 'Boolean' THEN 'TRUE' WHEN date IS NOT NULL THEN strftime(date, '%Y-%m-%d') ELSE '' END AS cleaned FROM nrm n JOIN cells c ON n.c_custkey = c.c_custkey AND n.col_name = c.col_name")
 def enrich_sheet(spark, sf):
     """The cells' cleaned texts; of numbers only that they are there."""
-    cells, _, _ = enrich.enrich(_cells(spark, sf))
+    cells, _, _ = enrich.enrich(_cells(spark, sf), mode="days")
     inside = F.col("row_idx") <= 100
     shown = F.when(inside & F.col("n.number").isNotNull(), None).when(inside & F.col("n.date").isNotNull(), F.date_format("n.date", "yyyy-MM-dd")).otherwise(F.col("cleaned"))
     return cells.select("c_custkey", "col_name", shown.alias("cleaned"))

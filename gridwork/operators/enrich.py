@@ -32,11 +32,12 @@ def resolved(cells: DataFrame, ranges: DataFrame, strategy: str = "expand") -> D
     return both.withColumn("tag", F.when(filled, "Text").when(F.col("_value").isNull(), "Empty").otherwise(F.col("tag"))).withColumn("value", F.coalesce("_value", F.lit(""))).drop("_value")
 
 
-def enrich(cells: DataFrame, ranges: DataFrame | None = None, strategy: str = "expand", sample: int | None = profile.SAMPLE, header_rows: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def enrich(cells: DataFrame, ranges: DataFrame | None = None, strategy: str = "expand", sample: int | None = profile.SAMPLE, header_rows: int = 1, mode: str = "reference") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The cells with their cleaned values, the columns with their analysis, and the anomalies as errors.
 
     Cleaning and analysis look at the first ``sample`` data rows (None: all), the
     analysis at the original values. Columns without any content are left out.
+    ``mode`` is that of serial dates.
     """
     if ranges is not None:
         cells = resolved(cells, ranges, strategy)
@@ -44,7 +45,7 @@ def enrich(cells: DataFrame, ranges: DataFrame | None = None, strategy: str = "e
     full = data.filter(F.trim("value") != "").select(*COLUMN).distinct()
     cells = cells.join(full, list(COLUMN), "left_semi")
     inside = (F.col("row_idx") >= header_rows) & (F.lit(True) if sample is None else F.col("row_idx") < header_rows + sample)
-    out = normalized(cells).withColumn("cleaned", F.when(inside, F.col("cleaned")).otherwise(F.col("value"))).withColumn("type", X.cell_type(F.col("tag"), F.col("value"), F.col("fmt")))
+    out = normalized(cells, mode=mode).withColumn("cleaned", F.when(inside, F.col("cleaned")).otherwise(F.col("value"))).withColumn("type", X.cell_type(F.col("tag"), F.col("value"), F.col("fmt")))
     seen = out.filter(inside)
     return out, profile.analyse(seen, COLUMN), anomaly_errors(profile.anomalies(seen, COLUMN))
 
