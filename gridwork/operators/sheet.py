@@ -27,6 +27,9 @@ def with_headers(cells: DataFrame, by: Sequence[str] = SHEET) -> DataFrame:
     """Cells under the names of their sheet's first row: columns outside its span go, and rows are numbered by the sheet's own numbers.
 
     Columns inside the span that the first row leaves blank get a name, too.
+    The names come by a merge join: packed files look small to the planner, which
+    would else send all their cells to the driver and from there to every executor,
+    to be joined by the one task that has the names.
     """
     by = list(by)
     top = cells.groupBy(*by).agg(F.min("row_idx").alias("header_row"))
@@ -35,7 +38,7 @@ def with_headers(cells: DataFrame, by: Sequence[str] = SHEET) -> DataFrame:
     every = span.select(*by, "header_row", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
     named = every.join(head.select(*by, "col_idx", F.col("value").alias("name")), [*by, "col_idx"], "left")
     names = unique_names(named, by).select(*by, "col_idx", "col_name", "header_row")
-    return cells.join(names, [*by, "col_idx"])
+    return cells.join(names.hint("merge"), [*by, "col_idx"])
 
 
 def data_rows(cells: DataFrame, header_rows: int = 1) -> DataFrame:

@@ -92,6 +92,16 @@ def test_headers_and_merges(spark):
     assert {r.value for r in merged.resolve(named.select("file", "sheet", "row_idx", "col_idx", "value"), other, by=["file", "sheet"]).collect()} == {"A", " ", "v", "w", ""}
 
 
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """Packed files look small; the names of their columns go to the cells, not all cells to the names."""
+    rows = spark.range(3000).select("id", F.lit("x").alias("Name")).repartition(3)
+    sink.write_xlsx(rows, str(tmp_path)).collect()
+    cells, _, _ = files.load(spark, str(tmp_path))
+    assert "BuildLeft" not in cells._jdf.queryExecution().executedPlan().toString()
+    got = cells.filter("row_idx > 0").groupBy("file", "col_name").count().collect()
+    assert len(got) == 6 and {r.col_name for r in got} == {"id", "Name"} and sum(r["count"] for r in got) == 6000
+
+
 @pytest.mark.parametrize("shape, level", [((2, 5), ("Simple", "ExpandValue", 0, 1)), ((3, 3), ("Simple", "ExpandValue", 0, 0)), ((5, 2), ("Complex", "KeepTopLeft", 1, 0))])
 def test_merge_shapes(spark, shape, level):
     r = merged.complexity(spark.createDataFrame([(1, 30, 30, 30 + shape[0] - 1, 30 + shape[1] - 1)], "ord int, r0 long, c0 int, r1 long, c1 int")).first()
