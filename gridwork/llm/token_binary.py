@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwork.llm._chunks import ChunkMemory, by_separator, released, segments, slices
+from gridwork.llm._chunks import ChunkMemory, LastingMemory, by_separator, by_word_end, segments, slices
 from gridwork.llm._common import fresh_path, in_batches, written
 
 # Fixed values of the zstandard seekable format.
@@ -42,6 +42,8 @@ HAS_CHECKSUMS = 0x80
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 256_000_000
+#: Bytes of words that a worker remembers, from one shard to the next.
+REMEMBERED = 128_000_000
 #: ASCII white space.
 EDGE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -59,8 +61,8 @@ def _memory(tokenizer_path: str) -> ChunkMemory:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         mark = "<|endoftext|>"
-        many = by_separator(tokenizer, mark, tokenizer.token_to_id(mark))
-        _MEMORY[:] = [(tokenizer_path, ChunkMemory(lambda chunks: many([c.decode("utf-8") for c in chunks])))]
+        many = by_word_end(tokenizer, by_separator(tokenizer, mark, tokenizer.token_to_id(mark)))
+        _MEMORY[:] = [(tokenizer_path, LastingMemory(lambda chunks: many([c.decode("utf-8") for c in chunks]), REMEMBERED))]
     return _MEMORY[0][1]
 
 
@@ -163,14 +165,13 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, pa
         part = TaskContext.get().partitionId()
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tokens"
         tokens = 0
-        with released(memory):
-            for batch in slices(batches, "text"):
-                texts = batch.column(1).cast(pa.binary()).to_pylist()
-                many = memory.encode([(t or b"").split() for t in texts]) if len(texts) > 1 else encoded(memory, texts)
-                for doc_id, found in zip(batch.column(0).to_pylist(), many):
-                    out = out or ShardWriter(name)
-                    out.add(doc_id, found + end)
-                    n, tokens = n + 1, tokens + len(found) // 4 + 1
+        for batch in slices(batches, "text"):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            many = memory.encode([(t or b"").split() for t in texts]) if len(texts) > 1 else encoded(memory, texts)
+            for doc_id, found in zip(batch.column(0).to_pylist(), many):
+                out = out or ShardWriter(name)
+                out.add(doc_id, found + end)
+                n, tokens = n + 1, tokens + len(found) // 4 + 1
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n], "n_tokens": [tokens]})

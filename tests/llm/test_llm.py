@@ -763,3 +763,28 @@ def test_pipeline(spark, sf):
     first = {c for _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()]).values()}
     assert len(got) == len({r.doc_id for r in got}) and {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
     assert len({r.doc_id for r in got}) >= 0.9 * len(first)
+
+
+def test_words_by_their_ends():
+    """Words of letters go through the tokenizer together, without marks; odd ones by themselves, with the same ids."""
+    from tokenizers import Tokenizer
+
+    from gridwork.llm import _chunks
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    asked = []
+    alone = lambda chunks: asked.extend(chunks) or [np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    words = [f"{a}{b}" for a in ("house", "Été", "straße", "ﬁ", "日本", "Ω", "x") for b in ("", "ly", "ñ", "zzqx")]
+    odd = ["it's", "a.b", "2024", "<|endoftext|>", "—", "don't!", "x1"]
+    many = _chunks.by_word_end(tokenizer, alone, joined=5)
+    got = many(words + odd)
+    assert sorted(asked) == sorted(odd)
+    assert got == alone(words + odd)
+    assert many(["one", "İstanbul", "two"]) == alone(["one", "İstanbul", "two"])  # a letter that becomes two, one of them no letter
+    # The memory keeps what is in use, within its bytes, and gives the same ids whatever it forgets.
+    memory = _chunks.LastingMemory(lambda chunks: many([c.decode() for c in chunks]), 20_000)
+    for k in range(40):
+        text = [b"house", *(f"w{chr(97 + k % 26)}{chr(97 + i)}{'q' * (k // 26)}".encode() for i in range(20)), b"y" * 70]
+        assert list(memory.encode([text, text[::-1]])) == [b"".join(alone([c.decode() for c in t])) for t in (text, text[::-1])]
+        assert b"house" in memory.known and sum(_chunks.ENTRY + len(c) + len(x) for d in (memory.known, memory.old) for c, x in d.items()) <= 21_000
+    assert memory.old
