@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 #: Documents in a block, slots in a frame, documents in a bucket of a source's order.
 BLOCK, FRAME, BUCKET = 32, 256, 1024
-#: Entries of a plan: each frame holds one per source. More sources are scheduled in bundles, each a plan of its own.
+#: A plan has an entry for each source, and each frame looks at all of them. Above so many that takes long; the result is of the same kind.
 MOST_SOURCES = 10_000
 
 
@@ -64,27 +64,16 @@ def dealt(docs: DataFrame, source: str, seed: int, n_docs: int) -> tuple[DataFra
 def fluid(sizes: DataFrame) -> DataFrame:
     """One row a group: the sources' names, block counts and weights, as an array, and the total."""
     one = F.struct(F.col("_source").alias("name"), F.col("blocks").alias("n"), F.col("w").alias("w"))
-    return sizes.groupBy("_group").agg(F.sort_array(F.collect_list(one)).alias("s"), F.sum("blocks").alias("total"))  # MOST_SOURCES entries at most
+    return sizes.groupBy("_group").agg(F.sort_array(F.collect_list(one)).alias("s"), F.sum("blocks").alias("total"))  # an entry for each source
 
 
 def schedule(sizes: DataFrame, weights: Mapping[str, float], default_weight: float, frame: int = FRAME) -> DataFrame:
     """Slots for (_source, blocks), one row per source: name, block (from 1), slot, release, deadline."""
     sizes = sizes.select("_source", "blocks", weight_of(F.col("_source"), weights, default_weight).alias("w"))
-    n = sizes.count()
-    if n <= MOST_SOURCES:
-        return _slots(sizes.withColumn("_group", F.lit("")), frame, True).drop("_group")
-    bundles = max(2, min(MOST_SOURCES - len(weights), int(n**0.5)))
-    bundled = F.concat(F.lit("#"), F.pmod(F.xxhash64("_source"), F.lit(bundles)).cast("string"))
-    own = F.col("_source").isin(list(weights)) if weights else F.lit(False)
-    sizes = sizes.withColumn("_group", F.when(own, F.concat(F.lit("="), F.col("_source"))).otherwise(bundled))
-    inside = _slots(sizes, frame, False).select("_group", "name", "block", (F.col("slot") + 1).alias("_turn"))
-    whole = sizes.groupBy("_group").agg(F.sum("blocks").alias("blocks"), F.sum("w").alias("w"))
-    outside = _slots(whole.select(F.col("_group").alias("_source"), "blocks", "w", F.lit("").alias("_group")), frame, True)
-    outside = outside.select(F.col("name").alias("_group"), F.col("block").alias("_turn"), "slot", "release", "deadline")
-    return inside.join(outside, ["_group", "_turn"]).select("name", "block", "slot", "release", "deadline")
-
-
-def _slots(sizes: DataFrame, frame: int, one_plan: bool) -> DataFrame:
+    return _slots(sizes.withColumn("_group", F.lit("")), frame).drop("_group")
+
+
+def _slots(sizes: DataFrame, frame: int) -> DataFrame:
     """Slots of each group (_group, _source, blocks, w): _group, name, block, slot, release, deadline."""
     plan = fluid(sizes)
     # Virtual time v: a source with n blocks and weight w has given min(n, w v). Sources end at n / w.
@@ -115,14 +104,14 @@ def _slots(sizes: DataFrame, frame: int, one_plan: bool) -> DataFrame:
     frames = sizes.groupBy("_group").agg(F.floor((F.sum("blocks") - 1) / frame).alias("_last")).filter("_last >= 0")
     frames = frames.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / 4096))))
     frames = frames.select("_group", F.explode(F.sequence(F.col("_k") * 4096, F.least(F.col("_last"), F.col("_k") * 4096 + 4095))).alias("f")).repartition("_group", "f")
-    # A single plan has at most MOST_SOURCES entries.
-    frames = frames.join(F.broadcast(plan) if one_plan else plan, "_group")
+    frames = frames.join(F.broadcast(plan), "_group")  # a row
     frames = frames.withColumn("from", F.col("f") * frame).withColumn("to", F.least(F.col("total"), (F.col("f") + 1) * frame))
     for name in ("from", "to"):
         frames = frames.withColumn(f"_{name}", slots_until(F.col(name)))
         short = F.col(name) - F.aggregate(f"_{name}", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        frames = frames.withColumn("_up", F.transform(F.slice(F.array_sort(F.transform(f"_{name}", lambda x: F.struct(x["d"], x["i"]))), F.lit(1), F.greatest(short, F.lit(0)).cast("int")), lambda x: x["i"]))
-        frames = frames.withColumn(f"_{name}", F.transform(f"_{name}", lambda x: x["n"] + F.array_contains("_up", x["i"]).cast("long")))
+        due = lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"))
+        frames = frames.withColumn("_cut", F.get(F.array_sort(F.transform(f"_{name}", due)), (short - 1).cast("int")))  # the last one rounded up; null if none is
+        frames = frames.withColumn(f"_{name}", F.transform(f"_{name}", lambda x: x["n"] + F.coalesce(due(x) <= F.col("_cut"), F.lit(False)).cast("long")))
     # Blocks of the frame, with windows in slots: released where the fluid mix begins them, due where it ends them.
     give = lambda v: F.aggregate("s", F.lit(0.0), lambda a, y: a + F.least(y["n"].cast("double"), y["w"] * v))
     blocks = F.flatten(F.transform("s", lambda x, i: F.when(

@@ -788,3 +788,18 @@ def test_words_by_their_ends():
         assert list(memory.encode([text, text[::-1]])) == [b"".join(alone([c.decode() for c in t])) for t in (text, text[::-1])]
         assert b"house" in memory.known and sum(_chunks.ENTRY + len(c) + len(x) for d in (memory.known, memory.old) for c, x in d.items()) <= 21_000
     assert memory.old
+
+
+def test_pfair_without_a_switch(spark, monkeypatch):
+    """The slots are those of the exact mix, whatever the number of sources."""
+    sizes = {f"s{i}": 1 + i % 3 for i in range(40)}
+    df = spark.createDataFrame(list(sizes.items()), "_source string, blocks long")
+    of = {s: {"s0": 4.0}.get(s, 1.0) for s in sizes}
+    few = sorted(map(tuple, pfair_mix.schedule(df, {"s0": 4.0}, 1.0, frame=16).collect()))
+    monkeypatch.setattr(pfair_mix, "MOST_SOURCES", 5)
+    assert sorted(map(tuple, pfair_mix.schedule(df, {"s0": 4.0}, 1.0, frame=16).collect())) == few
+    placed = {s: 0 for s in sizes}
+    for name, _, slot, release, deadline in sorted(few, key=lambda r: r[2]):
+        placed[name] += 1
+        ideal = fluid_amounts(sizes, of, slot + 1)
+        assert release <= slot < deadline and all(abs(placed[s] - ideal[s]) < 1 for s in sizes)
