@@ -7,6 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gridwork import catalog
 from gridwork.functions import scalars as X
 from gridwork.operators import enrich, merged, sheet, template
 from gridwork.sinks import delimited, xlsx as sink
@@ -102,6 +103,13 @@ def test_cells_are_not_broadcast(spark, tmp_path):
     assert len(got) == 6 and {r.col_name for r in got} == {"id", "Name"} and sum(r["count"] for r in got) == 6000
 
 
+@pytest.mark.parametrize("name", ["load_folder", "load_folder_status"])
+def test_loads_spread_their_cells(spark, sf, name):
+    """The task that has the names of the columns is not sent all cells."""
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("shape, level", [((2, 5), ("Simple", "ExpandValue", 0, 1)), ((3, 3), ("Simple", "ExpandValue", 0, 0)), ((5, 2), ("Complex", "KeepTopLeft", 1, 0))])
 def test_merge_shapes(spark, shape, level):
     r = merged.complexity(spark.createDataFrame([(1, 30, 30, 30 + shape[0] - 1, 30 + shape[1] - 1)], "ord int, r0 long, c0 int, r1 long, c1 int")).first()
