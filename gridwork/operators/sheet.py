@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SHEET = ("file", "sheet")
 # Severities, the gravest first.
 BY_GRAVITY = ("Critical", "Error", "Warning", "Info")
+#: Rows of a sheet whose cells of one column meet their name in one task.
+STRETCH = 16_384
 
 
 def unique_names(headers: DataFrame, by: Sequence[str] = SHEET) -> DataFrame:
@@ -23,22 +25,29 @@ def unique_names(headers: DataFrame, by: Sequence[str] = SHEET) -> DataFrame:
     return rows.withColumn("col_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("_"), F.col("_n").cast("string")))).drop("_name", "_n")
 
 
-def with_headers(cells: DataFrame, by: Sequence[str] = SHEET) -> DataFrame:
+def with_headers(cells: DataFrame, by: Sequence[str] = SHEET, tasks: int | None = None) -> DataFrame:
     """Cells under the names of their sheet's first row: columns outside its span go, and rows are numbered by the sheet's own numbers.
 
     Columns inside the span that the first row leaves blank get a name, too.
-    The names come by a merge join: packed files look small to the planner, which
-    would else send all their cells to the driver and from there to every executor,
-    to be joined by the one task that has the names.
+    Packed files look small to the planner, which would send all their cells to the
+    driver and from there to every executor. So only a row for each sheet is sent
+    around, and cells meet their names by a merge join, dealt by sheet, column and
+    stretch of rows: no sheet is too long for a task. ``tasks`` is how many tasks the
+    cells are dealt to, or more where ``spark.sql.shuffle.partitions`` is; without it
+    the planner goes by packed bytes.
     """
     by = list(by)
-    top = cells.groupBy(*by).agg(F.min("row_idx").alias("header_row"))
-    head = cells.join(top, by).filter("row_idx = header_row")
-    span = head.groupBy(*by).agg(F.min("col_idx").alias("c0"), F.max("col_idx").alias("c1"), F.first("header_row").alias("header_row"))
-    every = span.select(*by, "header_row", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
-    named = every.join(head.select(*by, "col_idx", F.col("value").alias("name")), [*by, "col_idx"], "left")
-    names = unique_names(named, by).select(*by, "col_idx", "col_name", "header_row")
-    return cells.join(names.hint("merge"), [*by, "col_idx"])
+    top = cells.groupBy(*by).agg(F.min("row_idx").alias("header_row"), F.max("row_idx").alias("last_row"))
+    head = cells.join(F.broadcast(top), by).filter("row_idx = header_row")
+    # Each name stands for its own column; those that are left blank behind it follow.
+    after = F.greatest(F.lead("col_idx").over(Window.partitionBy(*by).orderBy("col_idx")) - 1, F.col("col_idx"))
+    every = head.withColumn("_after", after).select(*by, "header_row", "last_row", "value", F.posexplode(F.sequence("col_idx", "_after")).alias("_n", "col_idx"))
+    names = unique_names(every.withColumn("name", F.when(F.col("_n") == 0, F.col("value"))), by)
+    stretch = lambda row: F.floor(F.col(row) / STRETCH)
+    names = names.select(*by, "col_idx", "col_name", "header_row", F.explode(F.sequence(stretch("header_row"), stretch("last_row"))).alias("_stretch"))
+    keys = [*by, "col_idx", "_stretch"]
+    cells = cells.withColumn("_stretch", stretch("row_idx"))
+    return (cells.repartition(tasks, *keys) if tasks else cells).join(names.hint("merge"), keys).drop("_stretch")
 
 
 def data_rows(cells: DataFrame, header_rows: int = 1) -> DataFrame:

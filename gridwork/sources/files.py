@@ -17,6 +17,8 @@ from gridwork.sources.xlsx import read_workbooks
 # The extensions that are read.
 WORKBOOKS, OLD_WORKBOOKS, TEXTS = ("xlsx", "xlsm", "xltx", "xltm"), ("xls", "xlt"), ("csv",)
 CELLS = ("file", "sheet", "sheet_idx", "row_idx", "col_idx", "value", "tag", "fmt")
+#: Bytes of files, as they are stored, whose cells a task holds.
+TASK_BYTES = 4 * 2**20
 
 
 def kind_of(path: str) -> str | None:
@@ -41,7 +43,8 @@ def load(spark: SparkSession, folder: str | list[str]) -> tuple[DataFrame, DataF
 
     Workbooks are read in one scan, old workbooks and texts in one each. A file
     of another format is Failed, as is one that no reader says anything about, and
-    one broken file fails no other.
+    one broken file fails no other. The cells are dealt to as many tasks as the
+    files' bytes ask for, so a task's share doesn't grow with the folder.
     """
     known = (*WORKBOOKS, *OLD_WORKBOOKS, *TEXTS)
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -52,7 +55,8 @@ def load(spark: SparkSession, folder: str | list[str]) -> tuple[DataFrame, DataF
     old, texts = read_xls(spark, folder), read_texts(spark, folder)
     typed = F.when((F.col("kind") == "cell") & (F.col("tag") == "Text") & (F.col("row_idx") > 0), infer_text(F.col("value"))).otherwise(F.col("tag"))
     rows = read_workbooks(spark, folder).unionByName(old.withColumn("tag", typed))
-    cells = with_headers(rows.filter("kind = 'cell'").select(*CELLS).unionByName(text_cells(texts))).drop("header_row")
+    tasks = max(1, -(-(there.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    cells = with_headers(rows.filter("kind = 'cell'").select(*CELLS).unionByName(text_cells(texts)), tasks=tasks).drop("header_row")
     errors = unknown.unionByName(rows.filter("kind = 'error'").select("file", "severity", F.col("value").alias("message")))
     errors = errors.unionByName(texts.filter("kind IN ('error', 'broken')").select("file", F.when(F.col("kind") == "broken", "Critical").otherwise("Info").alias("severity"), F.col("value").alias("message")))
     sheets = rows.filter("kind = 'sheet'").select("file", "sheet").unionByName(texts.filter("kind = 'sheet'").select("file", F.lit("Data").alias("sheet")))

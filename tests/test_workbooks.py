@@ -110,6 +110,19 @@ def test_loads_spread_their_cells(spark, sf, name):
     assert "BuildLeft" not in plan and "SortMergeJoin" in plan
 
 
+def test_no_task_has_most_cells(spark, tmp_path, monkeypatch):
+    """A task's share of a load doesn't grow with the folder: one column of one long sheet goes to many tasks."""
+    monkeypatch.setattr(sheet, "STRETCH", 50)
+    sink.write_xlsx(spark.range(4000).select("id").coalesce(1), str(tmp_path)).collect()
+    cells, _, _ = files.load(spark, str(tmp_path))
+    shares = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 4001 and max(shares) < 2000
+    assert [tuple(r) for r in cells.filter("row_idx > 0").agg(F.count("*"), F.countDistinct("row_idx"), F.min("col_name"), F.max("col_name"), F.sum(F.col("value").cast("long"))).collect()] == [(4000, 4000, "id", "id", 7998000)]
+    monkeypatch.setattr(files, "TASK_BYTES", 1000)
+    cells, _, _ = files.load(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() > 8  # by the bytes of the files, above the 8 of the session
+
+
 @pytest.mark.parametrize("shape, level", [((2, 5), ("Simple", "ExpandValue", 0, 1)), ((3, 3), ("Simple", "ExpandValue", 0, 0)), ((5, 2), ("Complex", "KeepTopLeft", 1, 0))])
 def test_merge_shapes(spark, shape, level):
     r = merged.complexity(spark.createDataFrame([(1, 30, 30, 30 + shape[0] - 1, 30 + shape[1] - 1)], "ord int, r0 long, c0 int, r1 long, c1 int")).first()
