@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwork.llm._chunks import ChunkMemory, LastingMemory, by_separator, by_word_end, segments, slices
+from gridwork.llm._chunks import SLICE_BYTES, WordColumn, by_separator, by_word_end, gathered, segments
 from gridwork.llm._common import fresh_path, in_batches, written
 
 # Fixed values of the zstandard seekable format.
@@ -42,15 +42,17 @@ HAS_CHECKSUMS = 0x80
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 256_000_000
-#: Bytes of words that a worker remembers, from one shard to the next.
+#: Bytes of pieces of words that a worker remembers, from one shard to the next.
 REMEMBERED = 128_000_000
+#: Bytes of text whose distinct words are looked up at a time.
+TOGETHER = 8_000_000
 #: ASCII white space.
 EDGE = re.compile(rb"[\x20\x09-\x0D]")
 
-_MEMORY: list[tuple[str, ChunkMemory]] = []
+_MEMORY: list[tuple[str, WordColumn]] = []
 
 
-def _memory(tokenizer_path: str) -> ChunkMemory:
+def _memory(tokenizer_path: str) -> WordColumn:
     """This worker's chunk memory for a tokenizer that drops white space; a worker has one at a time.
 
     ASCII white space never lies inside a token of such a tokenizer and no
@@ -61,15 +63,16 @@ def _memory(tokenizer_path: str) -> ChunkMemory:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         mark = "<|endoftext|>"
-        many = by_word_end(tokenizer, by_separator(tokenizer, mark, tokenizer.token_to_id(mark)))
-        _MEMORY[:] = [(tokenizer_path, LastingMemory(lambda chunks: many([c.decode("utf-8") for c in chunks]), REMEMBERED))]
+        otherwise = by_word_end(tokenizer, by_separator(tokenizer, mark, tokenizer.token_to_id(mark)))
+        _MEMORY[:] = [(tokenizer_path, WordColumn(tokenizer, otherwise, REMEMBERED))]
     return _MEMORY[0][1]
 
 
-def encoded(memory: ChunkMemory, texts: list[bytes | None]) -> Iterator[bytes]:
+def encoded(memory: WordColumn, texts: pa.Array) -> Iterator[bytes]:
     """The ids of each text; a long text is cut a segment at a time."""
-    for text in texts:
-        yield b"".join(x for s in segments(text or b"", EDGE) for x in memory.encode([s.split()]))
+    if len(texts) > 1 or len(text := texts.cast(pa.binary())[0].as_py() or b"") <= SLICE_BYTES:
+        return memory(texts)
+    return iter([b"".join(x for s in segments(text, EDGE) for x in memory(pa.array([s]).cast(pa.string())))])
 
 
 def _open(path: str, mode: str):
@@ -165,10 +168,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, pa
         part = TaskContext.get().partitionId()
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tokens"
         tokens = 0
-        for batch in slices(batches, "text"):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            many = memory.encode([(t or b"").split() for t in texts]) if len(texts) > 1 else encoded(memory, texts)
-            for doc_id, found in zip(batch.column(0).to_pylist(), many):
+        for batch in gathered(batches, "text", TOGETHER):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoded(memory, batch.column(1))):
                 out = out or ShardWriter(name)
                 out.add(doc_id, found + end)
                 n, tokens = n + 1, tokens + len(found) // 4 + 1

@@ -803,3 +803,40 @@ def test_pfair_without_a_switch(spark, monkeypatch):
         placed[name] += 1
         ideal = fluid_amounts(sizes, of, slot + 1)
         assert release <= slot < deadline and all(abs(placed[s] - ideal[s]) < 1 for s in sizes)
+
+
+def test_word_columns():
+    """Capitals and marks make no new piece; odd texts have the tokenizer's own ids, also with a small memory and another normaliser."""
+    import json
+    import struct
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from gridwork.llm import _chunks
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    own = lambda t, x: struct.pack(f"<{len(i := t.encode(x or '', add_special_tokens=False).ids)}I", *i)
+    texts = [None, "", " \x0b\x0c\r\n\t ", "Word, WORD! (word) word's WE'LL i'd 'S 't' !'s a1b22", "".join(map(chr, range(1, 256))), " ".join(map(chr, range(1, 256))), "ÀÉÎ,Õü ÿß!? µ ª º ² × ÷ \x7f\x80\x85\xa0x \x1c y\x1fz",
+             "İ, I\u0307, e\u0301,e =\u0338 >\u0338. ΟΔΟΣ, ΣΑΣ 日本語 ١٢ ½ 😀! \u2028q", "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|> <|x </w> a</w>b", "no<b>de</b>", "x" * 300 + "." + "é" * 90 + " end"]
+    asked = []
+    for limit, made in ((4_000_000, tokenizer), (2_000, tokenizer)):
+        column = _chunks.WordColumn(made, lambda chunks: [own(made, c) for c in chunks], limit)
+        many = column.pieces.encode_many
+        column.pieces.encode_many = lambda pieces, many=many: asked.extend(pieces) or many(pieces)
+        for _ in range(3):
+            assert list(column(pa.array(texts, pa.string()))) == [own(made, t) for t in texts]
+        assert list(column(pa.array([None, ""], pa.string()))) == [b"", b""] and list(column(pa.array([], pa.string()))) == []
+        assert list(column(pa.array(["日本 語"]))) == [own(made, "日本 語")]
+    column.pieces.clear()
+    asked.clear()
+    assert list(column(pa.array(texts[3:4]))) == [own(tokenizer, texts[3])] and asked.count("word") == 1 and "Word" not in asked and "word," not in asked
+    upper = json.loads(tokenizer.to_str())
+    upper["normalizer"] = None
+    upper = Tokenizer.from_str(json.dumps(upper))
+    column = _chunks.WordColumn(upper, lambda chunks: [own(upper, c) for c in chunks], 4_000_000)
+    assert column.pieces is None and list(column(pa.array(texts[3:4]))) == [b"".join(own(upper, c) for c in texts[3].split())]
+    rows = pa.record_batch({"text": pa.array(["a" * 10, None, "b " * 2_000_000, "c"])})
+    assert [b.num_rows for b in _chunks.gathered([rows, rows], "text", 100)] == [2, 1, 3, 1, 1]
+    assert [b.num_rows for b in _chunks.gathered([rows.slice(0, 2)] * 3, "text", 100)] == [6]
+    assert list(token_binary.encoded(token_binary._memory(queries.vocabulary("word_bpe_49k.json")), rows.column(0)[2:3])) == [own(tokenizer, "b " * 2_000_000)]
